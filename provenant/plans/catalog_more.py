@@ -1,3 +1,736 @@
-"""Registered queries, part two (joins, aggregates, feeds, retrieval, review)."""
+"""Registered queries, part two: joins, aggregates, feeds, evidence, retrieval
+and the review workflow."""
 
 from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..config import EXPECTED_CONTRACTS
+from ..operators import curate, enrichment, evidence, retrieval, review
+from ..sources import adapters
+from ..sources.tables import read_table
+from .catalog import ISSUE_OUT, ing, register
+from .oracle import RUN_ID
+
+# =============================================================================== 2.4 joins
+
+
+@register("projects_with_features",
+          "SELECT p.project_id, p.title, p.country, p.region, p.sector, f.notice_count, f.award_count, "
+          "round(f.award_amount, 2) AS award_amount, f.linkage_status, f.quality_score "
+          "FROM projects p LEFT JOIN features f USING (project_id)")
+def q_projects_with_features(spark, sf):
+    i = ing(spark, sf)
+    f = i.features()
+    return i.projects().join(f, "project_id", "left").select(
+        "project_id", "title", "country", "region", "sector", "notice_count", "award_count",
+        F.round("award_amount", 2).alias("award_amount"), "linkage_status", "quality_score")
+
+
+@register("linkage_status", "SELECT project_id, linkage_status FROM features")
+def q_linkage_status(spark, sf):
+    return ing(spark, sf).features().select("project_id", "linkage_status")
+
+
+@register("unlinked_projects",
+          "SELECT DISTINCT project_id FROM notices WHERE project_id NOT IN (SELECT project_id FROM projects)")
+def q_unlinked_projects(spark, sf):
+    i = ing(spark, sf)
+    return curate.unlinked_projects(i.notices(), i.projects())
+
+
+@register("linked_projects",
+          "SELECT project_id FROM (SELECT project_id FROM notices UNION SELECT project_id FROM awards) "
+          "WHERE project_id IN (SELECT project_id FROM projects)")
+def q_linked_projects(spark, sf):
+    i = ing(spark, sf)
+    return curate.linked_projects(i.notices(), i.awards(), i.projects())
+
+
+PROJECT_360_ID = "P100002"
+
+
+@register("project_360",
+          f"SELECT p.project_id, p.title, (SELECT count(*) FROM notices WHERE project_id = '{PROJECT_360_ID}') AS notices, "
+          f"(SELECT count(*) FROM awards WHERE project_id = '{PROJECT_360_ID}') AS awards, "
+          f"round(f.award_amount, 2) AS award_amount, f.linkage_status FROM projects p "
+          f"LEFT JOIN features f USING (project_id) WHERE p.project_id = '{PROJECT_360_ID}'")
+def q_project_360(spark, sf, project_id: str = PROJECT_360_ID):
+    i = ing(spark, sf)
+    pid = project_id.upper()
+    p = i.projects().filter(F.col("project_id") == pid).select("project_id", "title")
+    n = i.notices().filter(F.col("project_id") == pid).groupBy("project_id").agg(F.count(F.lit(1)).alias("notices"))
+    a = i.awards().filter(F.col("project_id") == pid).groupBy("project_id").agg(F.count(F.lit(1)).alias("awards"))
+    f = i.features().filter(F.col("project_id") == pid).select("project_id", "award_amount", "linkage_status")
+    return p.join(n, "project_id", "left").join(a, "project_id", "left").join(f, "project_id", "left").select(
+        "project_id", "title", F.coalesce("notices", F.lit(0)).cast("long").alias("notices"),
+        F.coalesce("awards", F.lit(0)).cast("long").alias("awards"),
+        F.round("award_amount", 2).alias("award_amount"), "linkage_status")
+
+
+_COS = ("list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / "
+        "(sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * "
+        "sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))")
+_CORPUS_SQL = """
+corpus AS (
+  SELECT CAST(vec_id AS VARCHAR) AS chunk_id, 'vector' AS record_type, CAST(vec_id AS VARCHAR) AS record_id,
+         CAST(vec_id % 10 AS VARCHAR) AS project_id, 'L' || CAST(label AS VARCHAR) AS country,
+         'https://example.org/vectors/' || CAST(vec_id AS VARCHAR) AS official_url, embedding,
+         'driver-64d' AS embedding_model, label
+  FROM embeddings
+),
+rq AS (
+  SELECT vec_id AS query_id, embedding AS q_embedding, label AS q_label,
+         CASE WHEN vec_id % 2 = 1 THEN 'L' || CAST(label AS VARCHAR) END AS country_filter,
+         CAST(NULL AS VARCHAR) AS project_filter, 'driver-64d' AS q_model
+  FROM embeddings WHERE vec_id < 5
+  UNION ALL
+  SELECT -1, embedding, label, 'L-unknown', NULL, 'driver-64d' FROM embeddings WHERE vec_id = 0
+),
+scored AS (
+  SELECT q.query_id, q.q_label, q.country_filter, c.*, """ + _COS.format(a="c.embedding", b="q.q_embedding") + """ AS score
+  FROM rq q JOIN corpus c ON c.embedding_model = q.q_model
+   AND (q.country_filter IS NULL OR lower(c.country) = lower(q.country_filter))
+   AND (q.project_filter IS NULL OR c.project_id = q.project_filter)
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored
+)
+"""
+
+
+def _with_corpus(select: str) -> str:
+    return "," + _CORPUS_SQL + select
+
+
+def corpus(spark, sf) -> DataFrame:
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    vid = F.col("vec_id").cast("string")
+    return e.select(vid.alias("chunk_id"), F.lit("vector").alias("record_type"), vid.alias("record_id"),
+                    (F.col("vec_id") % 10).cast("string").alias("project_id"),
+                    F.concat(F.lit("L"), F.col("label").cast("string")).alias("country"),
+                    F.concat(F.lit("https://example.org/vectors/"), vid).alias("official_url"),
+                    "embedding", F.lit("driver-64d").alias("embedding_model"), "label")
+
+
+def labelled_queries(spark, sf, n: int = 5) -> DataFrame:
+    """The evaluation set: the first ``n`` vectors as queries (odd ones filtered
+    to their own label), plus one query whose filter matches nothing."""
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    base = e.filter(F.col("vec_id") < n).select(
+        F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("q_label"),
+        F.when(F.col("vec_id") % 2 == 1, F.concat(F.lit("L"), F.col("label").cast("string"))).alias("country_filter"))
+    unsupported = e.filter(F.col("vec_id") == 0).select(
+        F.lit(-1).cast("long").alias("query_id"), "embedding", F.col("label").alias("q_label"),
+        F.lit("L-unknown").alias("country_filter"))
+    return base.unionByName(unsupported).withColumn("project_filter", F.lit(None).cast("string")) \
+        .withColumn("embedding_model", F.lit("driver-64d"))
+
+
+@register("query_cross_join",
+          _with_corpus("SELECT chunk_id, round(" + _COS.format(a="c.embedding", b="q.embedding") + ", 4) AS score "
+                       "FROM corpus c JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q ON TRUE"))
+def q_query_cross_join(spark, sf):
+    c = corpus(spark, sf)
+    q = read_table(spark, sf, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") == 0) \
+        .select(F.col("embedding").alias("q_embedding"))
+    # one bounded query row: broadcast it (its size does not grow with the corpus)
+    return c.join(F.broadcast(q), how="inner").select(
+        "chunk_id", F.round(retrieval.cosine(F.col("embedding"), F.col("q_embedding")), 4).alias("score"))
+
+
+# --- Fixed values: country alias table (label -> atlas name) ---
+COUNTRY_ALIASES = [("nation_1", "nation 1"), ("nation_2", "nation 2"), ("nation_3", "nation 3"),
+                   ("nation_5", "nation 5"), ("nation_8", "nation 8"), ("nation_13", "nation 13"),
+                   ("nation_21", "nation 21")]
+# --- Fixed values: FX rates to USD and the region -> currency rule ---
+FX_RATES = [("EUR", 1.1), ("GBP", 1.25), ("JPY", 0.0068)]
+REGION_CURRENCY = [("Region 0", "USD"), ("Region 1", "EUR"), ("Region 2", "GBP"), ("Region 3", "JPY")]
+
+
+def _values_sql(rows, cols):
+    vals = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
+    return f"(VALUES {vals}) AS t({', '.join(cols)})"
+
+
+@register("country_conform",
+          "SELECT a.atlas_id, sum(cc.records) AS records FROM "
+          "(SELECT country, count(*) AS records FROM chunks WHERE regexp_replace(coalesce(country, ''), '^\\s+|\\s+$', '', 'g') <> '' GROUP BY country) cc "
+          f"LEFT JOIN {_values_sql(COUNTRY_ALIASES, ['label', 'atlas_name'])} al ON lower(regexp_replace(cc.country, '^\\s+|\\s+$', '', 'g')) = al.label "
+          "JOIN (SELECT lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS atlas_id, lower(replace(n_name, '_', ' ')) AS atlas_name FROM nation) a "
+          "ON a.atlas_name = coalesce(al.atlas_name, lower(regexp_replace(cc.country, '^\\s+|\\s+$', '', 'g'))) GROUP BY a.atlas_id")
+def q_country_conform(spark, sf):
+    from .catalog import country_counts
+    counts = country_counts(ing(spark, sf).chunks())
+    aliases = spark.createDataFrame(COUNTRY_ALIASES, "label string, atlas_name string")
+    atlas = read_table(spark, sf, "nation", "n_nationkey", "n_name").select(
+        F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("atlas_id"),
+        F.lower(F.regexp_replace("n_name", "_", " ")).alias("atlas_name"))
+    return enrichment.country_conform(counts, aliases, atlas)
+
+
+@register("fx_convert",
+          "SELECT w.award_id, round(w.amount, 2) AS amount, r.currency, "
+          "round(CASE WHEN w.amount IS NOT NULL AND r.currency IS NOT NULL AND r.currency <> 'USD' "
+          "THEN w.amount * fx.usd_rate ELSE w.amount END, 2) AS usd_amount "
+          "FROM awards w JOIN projects p USING (project_id) "
+          f"LEFT JOIN {_values_sql(REGION_CURRENCY, ['region', 'currency'])} r ON p.region = r.region "
+          f"LEFT JOIN {_values_sql(FX_RATES, ['currency', 'usd_rate'])} fx ON r.currency = fx.currency")
+def q_fx_convert(spark, sf):
+    i = ing(spark, sf)
+    currency = spark.createDataFrame(REGION_CURRENCY, "region string, currency string")
+    rates = spark.createDataFrame(FX_RATES, "currency string, usd_rate double")
+    awards = i.awards().join(i.projects().select("project_id", "region"), "project_id") \
+        .join(F.broadcast(currency), "region", "left")
+    return enrichment.fx_convert(awards, rates).select(
+        "award_id", F.round("amount", 2).alias("amount"), "currency", F.round("usd_amount", 2).alias("usd_amount"))
+
+
+_INDICATOR_SQL = ("(SELECT n.n_name AS country, 'ORDER_VALUE' AS indicator, year(o.o_orderdate) AS year, "
+                  "CASE WHEN year(o.o_orderdate) % 5 = 0 THEN NULL ELSE round(sum(o.o_totalprice), 2) END AS value "
+                  "FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey "
+                  "GROUP BY n.n_name, year(o.o_orderdate))")
+
+
+@register("country_context",
+          "SELECT p.country, "
+          "CASE WHEN regexp_matches(p.country, '(?i)region|africa$') THEN 'regional' ELSE 'ready' END AS context_status, "
+          "CASE WHEN regexp_matches(p.country, '(?i)region|africa$') THEN NULL ELSE i.year END AS indicator_year, "
+          "CASE WHEN regexp_matches(p.country, '(?i)region|africa$') THEN NULL ELSE i.value END AS indicator_value "
+          "FROM (SELECT DISTINCT country FROM projects) p LEFT JOIN "
+          f"(SELECT country, max(year) AS year, arg_max(value, year) AS value FROM {_INDICATOR_SQL} WHERE value IS NOT NULL "
+          "GROUP BY country) i ON p.country = i.country")
+def q_country_context(spark, sf):
+    i = ing(spark, sf)
+    o = read_table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_totalprice")
+    c = read_table(spark, sf, "customer", "c_custkey", "c_nationkey")
+    n = read_table(spark, sf, "nation", "n_nationkey", "n_name")
+    yr = F.year("o_orderdate")
+    ind = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")) \
+        .groupBy(F.col("n_name").alias("country"), yr.alias("year")) \
+        .agg(F.round(F.sum("o_totalprice"), 2).alias("_v")) \
+        .select("country", "year", F.when(F.col("year") % 5 == 0, F.lit(None).cast("double"))
+                .otherwise(F.col("_v")).alias("value"))
+    countries = i.projects().select("country").distinct()
+    return enrichment.country_context(countries, ind)
+
+
+@register("project_context",
+          "SELECT project_id, coalesce(CASE WHEN CAST(substr(project_id, 2) AS BIGINT) % 2 = 0 THEN title END, title) AS title, "
+          "coalesce(CASE WHEN CAST(substr(project_id, 2) AS BIGINT) % 3 = 0 THEN sector END, "
+          "CASE WHEN CAST(substr(project_id, 2) AS BIGINT) % 3 <> 0 THEN lower(sector) END) AS sector FROM projects")
+def q_project_context(spark, sf):
+    p = ing(spark, sf).projects()
+    num = F.substring("project_id", 2, 10).cast("long")
+    api = p.select("project_id",
+                   F.when(num % 2 == 0, F.col("title")).alias("proj_name"),
+                   F.col("title").alias("project_name"),
+                   F.when(num % 3 == 0, F.struct(F.col("sector").alias("Name"))).alias("sector1"),
+                   F.when(num % 3 != 0, F.lower("sector")).alias("sector_name"))
+    return enrichment.project_context(api)
+
+
+# =============================================================================== 2.5 aggregates
+
+@register("project_features",
+          "SELECT project_id, notice_count, award_count, supplier_count, round(award_amount, 2) AS award_amount, "
+          "missing_field_ratio, linkage_status, quality_score FROM features")
+def q_project_features(spark, sf):
+    return ing(spark, sf).features().withColumn("award_amount", F.round("award_amount", 2))
+
+
+@register("supplier_count", "SELECT project_id, supplier_count FROM features WHERE award_count > 0")
+def q_supplier_count(spark, sf):
+    return curate.award_summary(ing(spark, sf).awards()).select("project_id", "supplier_count")
+
+
+@register("award_totals", "SELECT project_id, round(award_amount, 2) AS award_amount FROM features WHERE award_count > 0")
+def q_award_totals(spark, sf):
+    return curate.award_summary(ing(spark, sf).awards()).select("project_id", F.round("award_amount", 2).alias("award_amount"))
+
+
+@register("disposition_counts",
+          "SELECT run_id, count(*) FILTER (WHERE disposition = 'quarantined') AS quarantined, "
+          "count(*) FILTER (WHERE disposition = 'rejected') AS rejected FROM dispositions GROUP BY run_id")
+def q_disposition_counts(spark, sf):
+    d = ing(spark, sf).dispositions()
+    return d.groupBy("run_id").pivot("disposition", ["quarantined", "rejected"]).agg(F.count(F.lit(1))) \
+        .select("run_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("quarantined", "rejected")])
+
+
+_ACCOUNTING_SQL = """
+SELECT '{run}' AS run_id, sum(n) AS records_read, sum(n) FILTER (WHERE disposition = 'loaded') AS loaded,
+       sum(n) FILTER (WHERE disposition = 'quarantined') AS quarantined,
+       sum(n) FILTER (WHERE disposition = 'rejected') AS rejected,
+       sum(n) AS accounted, CAST(0 AS BIGINT) AS balance_delta, 'balanced' AS reconciliation_status
+FROM routing
+""".format(run=RUN_ID)
+
+
+@register("record_accounting", _ACCOUNTING_SQL)
+def q_record_accounting(spark, sf):
+    acc = evidence.record_accounting(ing(spark, sf))
+    return acc.select("run_id", "records_read", "loaded", "quarantined", "rejected", "accounted", "balance_delta",
+                      "reconciliation_status")
+
+
+_KEYS_SQL = ("SELECT DISTINCT unnest(json_keys(to_json(r))) AS key FROM (SELECT * EXCLUDE (ingest_seq) FROM raw_notice) r "
+             "UNION SELECT DISTINCT unnest(json_keys(to_json(a))) FROM (SELECT * EXCLUDE (ingest_seq) FROM raw_award) a")
+
+
+@register("schema_fingerprint",
+          "SELECT sha256('[' || string_agg('\"' || key || '\"', ', ' ORDER BY key) || ']') AS schema_hash, "
+          f"count(*) AS key_count FROM ({_KEYS_SQL})")
+def q_schema_fingerprint(spark, sf):
+    return evidence.schema_fingerprint(adapters.raw_notices(spark, sf), adapters.raw_awards(spark, sf))
+
+
+@register("schema_drift",
+          "SELECT key, 'added' AS change FROM (SELECT DISTINCT unnest(json_keys(to_json(a))) AS key FROM "
+          "(SELECT * EXCLUDE (ingest_seq) FROM raw_award) a) WHERE key NOT IN (SELECT DISTINCT unnest(json_keys(to_json(r))) "
+          "FROM (SELECT * EXCLUDE (ingest_seq) FROM raw_notice) r) UNION ALL "
+          "SELECT key, 'removed' FROM (SELECT DISTINCT unnest(json_keys(to_json(r))) AS key FROM "
+          "(SELECT * EXCLUDE (ingest_seq) FROM raw_notice) r) WHERE key NOT IN (SELECT DISTINCT unnest(json_keys(to_json(a))) "
+          "FROM (SELECT * EXCLUDE (ingest_seq) FROM raw_award) a)")
+def q_schema_drift(spark, sf):
+    """Keys added / removed going from the notice feed to the award feed."""
+    return evidence.schema_drift(adapters.raw_notices(spark, sf), adapters.raw_awards(spark, sf))
+
+
+_ROWTEXT_SQL = "concat_ws(chr(1), " + ", ".join(f"coalesce({c}, chr(0))" for c in adapters.NOTICE_COLUMNS) + ")"
+_HEX = "CAST(('0x' || substr(h, {s}, 15)) AS HUGEINT)"
+
+
+@register("payload_checksum",
+          "SELECT 'notice' AS record_type, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), "
+          + ", ".join(f"CAST(coalesce(sum({_HEX.format(s=1 + 15 * i)}), 0) AS VARCHAR)" for i in range(4))
+          + f")) AS digest, count(*) AS rows FROM (SELECT sha256({_ROWTEXT_SQL}) AS h FROM raw_notice)")
+def q_payload_checksum(spark, sf):
+    d = evidence.payload_checksum(adapters.raw_notices(spark, sf), adapters.NOTICE_COLUMNS)
+    return d.select(F.lit("notice").alias("record_type"), "digest", "rows")
+
+
+@register("token_vocabulary",
+          "SELECT token, CAST(CAST(('0x' || substr(sha256(token), 1, 8)) AS BIGINT) % 256 AS INTEGER) AS bucket FROM "
+          "(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS token FROM chunks)")
+def q_token_vocabulary(spark, sf):
+    return retrieval.token_vocabulary(ing(spark, sf).chunks())
+
+
+@register("index_counts",
+          "SELECT 'driver-64d' AS embedding_model, count(*) AS indexed_documents FROM embeddings "
+          "UNION ALL SELECT 'token-hash-256', count(*) FROM chunks")
+def q_index_counts(spark, sf):
+    docs = corpus(spark, sf).select("embedding_model").unionByName(
+        ing(spark, sf).chunks().select(F.lit("token-hash-256").alias("embedding_model")))
+    return docs.groupBy("embedding_model").agg(F.count(F.lit(1)).alias("indexed_documents"))
+
+
+def _batch_results(spark, sf, k: int = 8):
+    qs = labelled_queries(spark, sf)
+    res = retrieval.semantic_search_batch(corpus(spark, sf), qs, k=k)
+    return qs, res.join(qs.select("query_id", "q_label"), "query_id") \
+        .withColumn("relevant", F.col("label") == F.col("q_label"))
+
+
+@register("retrieval_metrics", _with_corpus(
+    "SELECT round(avg(coalesce(hits, 0) / 5.0), 3) AS precision_at_5, "
+    "round(avg(coalesce(1.0 / first_rank, 0.0)), 3) AS mrr, "
+    "round(avg(CAST(coalesce(cited, TRUE) AS DOUBLE)), 3) AS citation_coverage, "
+    "round(avg(CAST(coalesce(filtered, TRUE) AS DOUBLE)), 3) AS metadata_filter_accuracy, "
+    "round(avg(CAST(hits IS NULL AS DOUBLE)), 3) AS zero_result_rate, "
+    "round(sum(coalesce(dupes, 0)) / (5.0 * count(*)), 3) AS duplicate_result_rate "
+    "FROM (SELECT query_id FROM rq) q LEFT JOIN ("
+    "  SELECT query_id, sum(CASE WHEN label = q_label THEN 1 ELSE 0 END) AS hits, "
+    "  min(CASE WHEN label = q_label THEN rank END) AS first_rank, "
+    "  bool_and(starts_with(official_url, 'https://')) AS cited, "
+    "  bool_and(country_filter IS NULL OR lower(country) = lower(country_filter)) AS filtered, "
+    "  count(*) - count(DISTINCT record_id) AS dupes "
+    "  FROM ranked WHERE rank <= 5 AND score >= 0.25 GROUP BY query_id) r USING (query_id)"))
+def q_retrieval_metrics(spark, sf):
+    qs, res = _batch_results(spark, sf)
+    return retrieval.retrieval_metrics(res, qs, k=5)
+
+
+@register("label_intersection", _with_corpus(
+    "SELECT query_id, count(*) FILTER (WHERE label = q_label) AS relevant_retrieved FROM ranked "
+    "WHERE rank <= 5 AND score >= 0.25 GROUP BY query_id"))
+def q_label_intersection(spark, sf):
+    _, res = _batch_results(spark, sf)
+    return res.filter(F.col("rank") <= 5).groupBy("query_id").agg(
+        F.sum(F.when(F.col("relevant"), 1).otherwise(0)).cast("long").alias("relevant_retrieved"))
+
+
+# =============================================================================== 2.7 sort / limit / top-k
+
+@register("vector_topk", _with_corpus(
+    "SELECT query_id, rank, chunk_id, round(score, 4) AS score FROM ranked WHERE rank <= 5"))
+def q_vector_topk(spark, sf, k: int = 5):
+    res = retrieval.semantic_search_batch(corpus(spark, sf), labelled_queries(spark, sf), k=k, min_score=-2.0)
+    return res.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id",
+                      F.col("retrieval_score").alias("score"))
+
+
+@register("semantic_search", _with_corpus(
+    "SELECT chunk_id, round(score, 4) AS retrieval_score FROM ranked WHERE query_id = 0 AND rank <= 8 AND score >= 0.25"))
+def q_semantic_search(spark, sf):
+    qv = read_table(spark, sf, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") == 0).first()
+    return retrieval.semantic_search(corpus(spark, sf), list(qv["embedding"]), model="driver-64d", limit=8) \
+        .select("chunk_id", "retrieval_score")
+
+
+@register("semantic_search_batch", _with_corpus(
+    "SELECT query_id, rank, chunk_id, record_id, round(score, 4) AS retrieval_score FROM ranked "
+    "WHERE rank <= 8 AND score >= 0.25"))
+def q_semantic_search_batch(spark, sf):
+    res = retrieval.semantic_search_batch(corpus(spark, sf), labelled_queries(spark, sf), k=8)
+    return res.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "record_id", "retrieval_score")
+
+
+@register("abstention", _with_corpus(
+    "SELECT q.query_id, coalesce(r.n, 0) AS result_count, coalesce(r.n, 0) = 0 AS abstained FROM rq q "
+    "LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked WHERE rank <= 8 AND score >= 0.25 GROUP BY query_id) r "
+    "USING (query_id)"))
+def q_abstention(spark, sf):
+    qs = labelled_queries(spark, sf)
+    res = retrieval.semantic_search_batch(corpus(spark, sf), qs, k=8)
+    return retrieval.abstention(qs, res).select("query_id", "result_count", "abstained")
+
+
+@register("query_log", _with_corpus(
+    "SELECT q.query_id, q.country_filter, q.project_filter, q.q_model AS embedding_model, coalesce(r.n, 0) AS result_count, "
+    "coalesce(r.n, 0) = 0 AS abstained FROM rq q LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked "
+    "WHERE rank <= 8 AND score >= 0.25 GROUP BY query_id) r USING (query_id)"))
+def q_query_log(spark, sf):
+    qs = labelled_queries(spark, sf)
+    res = retrieval.semantic_search_batch(corpus(spark, sf), qs, k=8)
+    return retrieval.query_log(qs, res)
+
+
+@register("ann_search")
+def q_ann_search(spark, sf, k: int = 8):
+    qs = labelled_queries(spark, sf)
+    cand = retrieval.ann_candidates(corpus(spark, sf), qs)
+    w = Window.partitionBy("query_id").orderBy(F.col("retrieval_score").desc(), F.col("chunk_id"))
+    return cand.filter(F.col("retrieval_score") >= 0.25).withColumn("rank", F.row_number().over(w)) \
+        .filter(F.col("rank") <= k).withColumn("retrieval_score", F.round("retrieval_score", 4))
+
+
+@register("hash_embed",
+          "SELECT chunk_id, bucket, round(cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY chunk_id)), 5) AS weight FROM ("
+          "SELECT chunk_id, CAST(CAST(('0x' || substr(sha256(token), 1, 8)) AS BIGINT) % 256 AS INTEGER) AS bucket, "
+          "CAST(count(*) AS DOUBLE) AS cnt FROM (SELECT chunk_id, unnest(list_distinct(regexp_extract_all(lower(text), "
+          "'[a-z0-9]{2,}'))) AS token FROM chunks) GROUP BY ALL)")
+def q_hash_embed(spark, sf):
+    emb = retrieval.hash_embed(ing(spark, sf).chunks())
+    return emb.select("chunk_id", F.posexplode("embedding").alias("bucket", "weight")) \
+        .filter(F.col("weight") > 0).select("chunk_id", "bucket", F.round(F.col("weight").cast("double"), 5).alias("weight"))
+
+
+@register("embed_chunks")
+def q_embed_chunks(spark, sf):
+    emb = retrieval.embed_with(ing(spark, sf).chunks(), retrieval.HashEmbedder)
+    return emb.select("chunk_id", "embedding_model", F.size("embedding").alias("dimensions"))
+
+
+@register("index_upsert", "SELECT chunk_id, record_type, record_id, 'token-hash-256' AS embedding_model FROM chunks")
+def q_index_upsert(spark, sf):
+    from ..operators.tables import upsert_latest
+    docs = ing(spark, sf).chunks().select("chunk_id", "record_type", "record_id",
+                                          F.lit("token-hash-256").alias("embedding_model"),
+                                          F.lit(1).alias("run_seq"), F.lit(0).alias("ingest_seq"))
+    return upsert_latest(docs, ["chunk_id"], ["ingest_seq"]).drop("run_seq", "ingest_seq")
+
+
+# =============================================================================== feeds
+
+@register("runs_feed",
+          f"SELECT '{RUN_ID}' AS run_id, 'completed' AS status, sum(n) AS records_read, "
+          "sum(n) FILTER (WHERE disposition = 'loaded') AS accepted, sum(n) FILTER (WHERE disposition = 'rejected') AS rejected, "
+          "sum(n) FILTER (WHERE disposition = 'quarantined') AS quarantined FROM routing")
+def q_runs_feed(spark, sf, limit: int = 20):
+    runs = evidence.run_ledger(ing(spark, sf))
+    return runs.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).limit(limit) \
+        .select("run_id", "status", "records_read", "accepted", "rejected", "quarantined")
+
+
+@register("issues_feed", f"SELECT {', '.join(ISSUE_OUT)} FROM issues ORDER BY run_id DESC, issue_id DESC LIMIT 500")
+def q_issues_feed(spark, sf, limit: int = 500):
+    return ing(spark, sf).issues().orderBy(F.col("run_id").desc(), F.col("issue_id").desc()).limit(limit) \
+        .select(*ISSUE_OUT)
+
+
+@register("run_quarantine",
+          f"SELECT record_type, record_id, disposition, reason, ingest_seq FROM dispositions WHERE run_id = '{RUN_ID}'")
+def q_run_quarantine(spark, sf):
+    d = ing(spark, sf).dispositions().filter(F.col("run_id") == RUN_ID)
+    return d.orderBy("record_type", "ingest_seq").select("record_type", "record_id", "disposition", "reason", "ingest_seq")
+
+
+@register("run_mappings",
+          f"SELECT mapping_id, mapping_version FROM (VALUES ('contract_award', '1.0.0'), ('procurement_notice', '1.1.0')) "
+          "AS t(mapping_id, mapping_version)")
+def q_run_mappings(spark, sf):
+    m = evidence.mapping_executions(ing(spark, sf))
+    return m.filter(F.col("run_id") == RUN_ID).orderBy("mapping_id").select("mapping_id", "mapping_version")
+
+
+@register("project_id_universe", "SELECT project_id FROM notices UNION SELECT project_id FROM awards")
+def q_project_id_universe(spark, sf):
+    i = ing(spark, sf)
+    return curate.project_id_universe(i.notices(), i.awards())
+
+
+@register("chunk_union", "SELECT record_type, count(*) AS chunks FROM chunks GROUP BY record_type")
+def q_chunk_union(spark, sf):
+    return ing(spark, sf).chunks().groupBy("record_type").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+@register("build_chunks", "SELECT chunk_id, record_type, record_id, project_id, text, official_url, country FROM chunks")
+def q_build_chunks(spark, sf):
+    return ing(spark, sf).chunks()
+
+
+@register("regional_label",
+          "SELECT project_id, region, regexp_matches(region, '(?i)region|africa$') AS is_regional FROM projects")
+def q_regional_label(spark, sf):
+    return enrichment.regional_label(ing(spark, sf).projects(), "region").select("project_id", "region", "is_regional")
+
+
+@register("notice_search",
+          "SELECT notice_id, project_id, country, publication_date FROM notices WHERE country ILIKE '%nation\\_1%' ESCAPE '\\' "
+          "ORDER BY publication_date DESC NULLS LAST, notice_id LIMIT 50 OFFSET 10")
+def q_notice_search(spark, sf):
+    from ..operators.readmodels import notice_search
+    return notice_search(ing(spark, sf).notices(), country="nation_1", limit=50, offset=10) \
+        .select("notice_id", "project_id", "country", "publication_date")
+
+
+# =============================================================================== 2.11 evidence
+
+def _evidence_parts(spark, sf):
+    i = ing(spark, sf)
+    acc = evidence.record_accounting(i)
+    checksum = evidence.payload_checksum(adapters.raw_notices(spark, sf), adapters.NOTICE_COLUMNS)
+    schema = evidence.schema_fingerprint(adapters.raw_notices(spark, sf), adapters.raw_awards(spark, sf))
+    runs = evidence.run_ledger(i, checksum, schema)
+    maps = evidence.mapping_executions(i)
+    g = evidence.gates(acc, runs, maps, EXPECTED_CONTRACTS)
+    return i, acc, runs, maps, g
+
+
+_GATE_SQL = {
+    "REC-001": "true",
+    "REC-002": "true",
+    "QUA-001": "true",
+    "MAP-001": "true",
+    "INT-001": "true",
+    "ERR-001": "(SELECT count(*) FROM dispositions WHERE disposition = 'rejected') = 0",
+}
+for _gid in _GATE_SQL:
+    _k = "gate_" + _gid.replace("-", "").lower()
+
+    def _mk(gid):
+        def fn(spark, sf):
+            g = _evidence_parts(spark, sf)[4]
+            return g.filter(F.col("gate_id") == gid).select("run_id", "gate_id", "passed")
+        return fn
+    register(_k, f"SELECT '{RUN_ID}' AS run_id, '{_gid}' AS gate_id, {_GATE_SQL[_gid]} AS passed")(_mk(_gid))
+
+
+@register("acceptance_status",
+          f"SELECT '{RUN_ID}' AS run_id, CASE WHEN (SELECT count(*) FROM dispositions WHERE disposition = 'rejected') = 0 "
+          "THEN CASE WHEN (SELECT count(*) FROM dispositions WHERE disposition = 'quarantined') > 0 "
+          "THEN 'accepted_with_quarantine' ELSE 'accepted' END ELSE 'blocked' END AS acceptance_status")
+def q_acceptance_status(spark, sf):
+    return evidence.acceptance(_evidence_parts(spark, sf)[4])
+
+
+@register("migration_evidence", _ACCOUNTING_SQL.replace(
+    "'balanced' AS reconciliation_status",
+    "'balanced' AS reconciliation_status, CASE WHEN sum(n) FILTER (WHERE disposition = 'rejected') = 0 THEN "
+    "'accepted_with_quarantine' ELSE 'blocked' END AS acceptance_status"))
+def q_migration_evidence(spark, sf):
+    i, acc, runs, maps, g = _evidence_parts(spark, sf)
+    ev = evidence.migration_evidence(acc, g, maps, i.run_at)
+    return ev.select("run_id", "records_read", "loaded", "quarantined", "rejected", "accounted", "balance_delta",
+                     "reconciliation_status", "acceptance_status")
+
+
+def _uat(spark, sf):
+    i, acc, runs, maps, g = _evidence_parts(spark, sf)
+    ev = evidence.migration_evidence(acc, g, maps, i.run_at)
+    return evidence.uat_results(ev, maps, i.dispositions(), i.notices(), i.awards())
+
+
+for _n, (_sid, _sql_pass) in enumerate([
+        ("UAT-001", "true"), ("UAT-002", "true"), ("UAT-003", "true"),
+        ("UAT-004", "(SELECT count(*) FROM notices) + (SELECT count(*) FROM awards) >= "
+                    "(SELECT sum(n) FROM routing WHERE disposition = 'loaded')")], start=1):
+    _key = "uat00%d_" % _n + ["reconciled", "contracts", "traceability", "queryable"][_n - 1]
+
+    def _mk_uat(sid):
+        def fn(spark, sf):
+            return _uat(spark, sf).filter(F.col("scenario_id") == sid).select("run_id", "scenario_id", "status")
+        return fn
+    register(_key, f"SELECT '{RUN_ID}' AS run_id, '{_sid}' AS scenario_id, "
+                   f"CASE WHEN {_sql_pass} THEN 'passed' ELSE 'failed' END AS status")(_mk_uat(_sid))
+
+
+# =============================================================================== 2.12 review workflow
+
+_REVIEW_SQL = """,
+cmds AS (
+  SELECT printf('REV-%05d', user_id) AS case_id, user_id AS validation_result_id, ts AS cmd_ts, event_id AS cmd_seq,
+         'reviewer-' || CAST(user_id % 7 AS VARCHAR) AS actor,
+         CASE event_type WHEN 'signup' THEN 'assign' WHEN 'view' THEN 'start' WHEN 'click' THEN 'accept'
+              WHEN 'purchase' THEN 'reject_record' WHEN 'error' THEN 'accept_short' END AS command
+  FROM events WHERE event_type IN ('signup', 'view', 'click', 'purchase', 'error')
+),
+c0 AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY cmd_ts, cmd_seq) AS rn FROM cmds),
+c1 AS (
+  SELECT *,
+    max(CASE WHEN command = 'start' THEN rn END) OVER w AS last_set,
+    max(CASE WHEN command = 'assign' THEN rn END) OVER w AS last_assign
+  FROM c0 WINDOW w AS (PARTITION BY case_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+c2 AS (SELECT *, command IN ('accept', 'reject_record') AND last_assign IS NOT NULL AS eligible FROM c1),
+c3 AS (
+  SELECT *, max(CASE WHEN eligible THEN rn END) OVER (PARTITION BY case_id ORDER BY rn
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_elig FROM c2
+),
+c4 AS (
+  SELECT *, eligible AND last_set IS NOT NULL AND (last_elig IS NULL OR last_elig < last_set) AS success,
+         CASE WHEN command = 'reject_record' THEN 'rejected' ELSE 'resolved' END AS outcome FROM c3
+),
+c5 AS (
+  SELECT *, CASE WHEN success THEN outcome WHEN command = 'start' THEN 'in_review' END AS new_status FROM c4
+),
+c6 AS (
+  SELECT *, coalesce(last_value(new_status IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY rn
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'open') AS from_status FROM c5
+),
+evaluated AS (
+  SELECT *,
+    CASE WHEN command IN ('accept', 'reject_record', 'accept_short') AND from_status <> 'in_review'
+           THEN 'Case must be in review before a decision'
+         WHEN command IN ('accept', 'reject_record', 'accept_short') AND last_assign IS NULL
+           THEN 'An assigned reviewer is required'
+         WHEN command = 'accept_short' THEN 'Resolution rationale must be at least 20 characters' END AS error,
+    CASE WHEN command IN ('accept', 'reject_record', 'accept_short') THEN outcome
+         WHEN command = 'start' THEN 'in_review' ELSE from_status END AS next_status
+  FROM c6
+),
+cases AS (
+  SELECT case_id, validation_result_id, min(cmd_ts) AS created_at FROM cmds GROUP BY case_id, validation_result_id
+),
+case_state AS (
+  SELECT c.case_id, c.validation_result_id,
+    coalesce((SELECT arg_max(next_status, rn) FROM evaluated e WHERE e.case_id = c.case_id AND e.error IS NULL), 'open') AS status,
+    (SELECT arg_max(actor, rn) FROM evaluated e WHERE e.case_id = c.case_id AND e.command = 'assign') AS assigned_to,
+    (SELECT arg_max(CASE WHEN command = 'reject_record' THEN 'reject_record' ELSE 'accept_exception' END, rn)
+       FROM evaluated e WHERE e.case_id = c.case_id AND e.error IS NULL AND e.command IN ('accept', 'reject_record')) AS resolution,
+    (SELECT max(cmd_ts) FROM evaluated e WHERE e.case_id = c.case_id AND e.error IS NULL
+       AND e.command IN ('accept', 'reject_record')) AS decided_at
+  FROM cases c
+)
+"""
+
+
+def _review(spark, sf):
+    cmds = adapters.review_commands(spark, sf)
+    cases = review.open_cases(cmds)
+    ev = review.evaluate_commands(cmds)
+    return cmds, cases, ev
+
+
+@register("open_review_cases", _REVIEW_SQL +
+          "SELECT case_id, validation_result_id, 'open' AS status, 'medium' AS priority, created_at FROM cases")
+def q_open_review_cases(spark, sf):
+    return review.open_cases(adapters.review_commands(spark, sf)).drop("assigned_to")
+
+
+@register("review_transitions", _REVIEW_SQL +
+          "SELECT case_id, cmd_seq, command, error IS NULL AS accepted, from_status, "
+          "CASE WHEN error IS NULL THEN next_status END AS to_status FROM evaluated")
+def q_review_transitions(spark, sf):
+    return _review(spark, sf)[2].select("case_id", "cmd_seq", "command", "accepted", "from_status", "to_status")
+
+
+@register("review_command_errors", _REVIEW_SQL +
+          "SELECT case_id, cmd_ts, cmd_seq, actor, command, error FROM evaluated WHERE error IS NOT NULL")
+def q_review_command_errors(spark, sf):
+    return review.command_errors(_review(spark, sf)[2])
+
+
+@register("review_current_state", _REVIEW_SQL +
+          "SELECT case_id, validation_result_id, status, assigned_to, resolution, decided_at FROM case_state")
+def q_review_current_state(spark, sf):
+    _, cases, ev = _review(spark, sf)
+    return review.current_state(cases, ev).select("case_id", "validation_result_id", "status", "assigned_to",
+                                                  "resolution", "decided_at")
+
+
+@register("review_event_history", _REVIEW_SQL +
+          "SELECT case_id, 'case_created' AS event_type, created_at AS occurred_at, -1 AS seq, NULL AS from_status, "
+          "'open' AS to_status FROM cases UNION ALL SELECT case_id, CASE WHEN command = 'assign' OR command = 'start' "
+          "THEN 'case_updated' ELSE 'decision_recorded' END, cmd_ts, cmd_seq, from_status, next_status FROM evaluated "
+          "WHERE error IS NULL")
+def q_review_event_history(spark, sf):
+    _, cases, ev = _review(spark, sf)
+    return review.event_history(cases, ev).select("case_id", "event_type", "occurred_at", "seq", "from_status",
+                                                  "to_status")
+
+
+@register("event_transitions", _REVIEW_SQL +
+          "SELECT case_id, seq, from_status, to_status, lag(to_status) OVER (PARTITION BY case_id ORDER BY occurred_at, seq) "
+          "AS previous_to_status FROM (SELECT case_id, created_at AS occurred_at, -1 AS seq, NULL AS from_status, "
+          "'open' AS to_status FROM cases UNION ALL SELECT case_id, cmd_ts, cmd_seq, from_status, next_status "
+          "FROM evaluated WHERE error IS NULL)")
+def q_event_transitions(spark, sf):
+    _, cases, ev = _review(spark, sf)
+    t = review.event_transitions(review.event_history(cases, ev))
+    return t.select("case_id", "seq", "from_status", "to_status", "previous_to_status")
+
+
+@register("review_progress", _REVIEW_SQL +
+          "SELECT count(*) FILTER (WHERE status IN ('resolved', 'rejected')) AS completed, count(*) AS total FROM case_state")
+def q_review_progress(spark, sf):
+    _, cases, ev = _review(spark, sf)
+    st = review.current_state(cases, ev)
+    return st.agg(F.sum(F.col("status").isin("resolved", "rejected").cast("long")).alias("completed"),
+                  F.count(F.lit(1)).alias("total"))
+
+
+@register("review_queue_order", _REVIEW_SQL +
+          "SELECT case_id, status IN ('resolved', 'rejected') AS completed FROM case_state")
+def q_review_queue_order(spark, sf):
+    _, cases, ev = _review(spark, sf)
+    st = review.current_state(cases, ev)
+    done = F.col("status").isin("resolved", "rejected")
+    return st.select("case_id", done.alias("completed"), "validation_result_id") \
+        .orderBy("completed", "validation_result_id").select("case_id", "completed")
+
+
+@register("review_queue_filter", _REVIEW_SQL +
+          "SELECT case_id, status FROM case_state WHERE lower(concat_ws(' ', case_id, CAST(validation_result_id AS VARCHAR), "
+          "coalesce(assigned_to, ''))) LIKE '%reviewer-3%' AND status NOT IN ('resolved', 'rejected') "
+          "AND assigned_to IS NOT NULL")
+def q_review_queue_filter(spark, sf):
+    from ..operators.readmodels import review_queue_filter
+    _, cases, ev = _review(spark, sf)
+    st = review.current_state(cases, ev)
+    return review_queue_filter(st, text="reviewer-3", status="open", owner="assigned").select("case_id", "status")
+
+
+@register("review_list", _REVIEW_SQL +
+          "SELECT s.case_id, s.status, i.control_id, i.severity, i.record_id FROM case_state s "
+          "JOIN issues i ON i.record_type = 'notice' AND i.record_id = CAST(s.validation_result_id AS VARCHAR)")
+def q_review_list(spark, sf):
+    _, cases, ev = _review(spark, sf)
+    st = review.current_state(cases, ev)
+    iss = ing(spark, sf).issues().filter(F.col("record_type") == "notice")
+    j = st.join(iss, iss.record_id == st.validation_result_id.cast("string"))
+    return j.orderBy(F.col("updated_at").desc(), "case_id").select("case_id", "status", "control_id", "severity",
+                                                                  "record_id")
