@@ -22,6 +22,9 @@ CONTROL_CATALOG = [
 # --- Fixed values: accepted date formats (Python strptime spelling, in order) ---
 # %d-%b-%Y, %Y-%m-%d, %Y-%m-%dT%H:%M:%SZ -> the Spark patterns below, same order.
 SPARK_DATE_PATTERNS = ["d-MMM-yyyy", "yyyy-M-d", "yyyy-M-d'T'H:m:s'Z'"]
+# Shape of text each pattern can parse (Python: %d 1-2 digits, %Y exactly 4).
+DATE_SHAPES = [r"^[0-9]{1,2}-[A-Za-z]{3}-[0-9]{4}$", r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+               r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}T[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}Z$"]
 
 # --- Fixed values: project identifier shape and quality-score fields ---
 PROJECT_ID_PATTERN = r"^P[0-9]{6}$"

@@ -149,15 +149,15 @@ FX_RATES = [("EUR", 1.1), ("GBP", 1.25), ("JPY", 0.0068)]
 REGION_CURRENCY = [("Region 0", "USD"), ("Region 1", "EUR"), ("Region 2", "GBP"), ("Region 3", "JPY")]
 
 
-def _values_sql(rows, cols):
+def _values_sql(rows, cols, alias="t"):
     vals = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else repr(v) for v in r) + ")" for r in rows)
-    return f"(VALUES {vals}) AS t({', '.join(cols)})"
+    return f"(VALUES {vals}) AS {alias}({', '.join(cols)})"
 
 
 @register("country_conform",
           "SELECT a.atlas_id, sum(cc.records) AS records FROM "
           "(SELECT country, count(*) AS records FROM chunks WHERE regexp_replace(coalesce(country, ''), '^\\s+|\\s+$', '', 'g') <> '' GROUP BY country) cc "
-          f"LEFT JOIN {_values_sql(COUNTRY_ALIASES, ['label', 'atlas_name'])} al ON lower(regexp_replace(cc.country, '^\\s+|\\s+$', '', 'g')) = al.label "
+          f"LEFT JOIN {_values_sql(COUNTRY_ALIASES, ['label', 'atlas_name'], 'al')} ON lower(regexp_replace(cc.country, '^\\s+|\\s+$', '', 'g')) = al.label "
           "JOIN (SELECT lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS atlas_id, lower(replace(n_name, '_', ' ')) AS atlas_name FROM nation) a "
           "ON a.atlas_name = coalesce(al.atlas_name, lower(regexp_replace(cc.country, '^\\s+|\\s+$', '', 'g'))) GROUP BY a.atlas_id")
 def q_country_conform(spark, sf):
@@ -175,8 +175,8 @@ def q_country_conform(spark, sf):
           "round(CASE WHEN w.amount IS NOT NULL AND r.currency IS NOT NULL AND r.currency <> 'USD' "
           "THEN w.amount * fx.usd_rate ELSE w.amount END, 2) AS usd_amount "
           "FROM awards w JOIN projects p USING (project_id) "
-          f"LEFT JOIN {_values_sql(REGION_CURRENCY, ['region', 'currency'])} r ON p.region = r.region "
-          f"LEFT JOIN {_values_sql(FX_RATES, ['currency', 'usd_rate'])} fx ON r.currency = fx.currency")
+          f"LEFT JOIN {_values_sql(REGION_CURRENCY, ['region', 'currency'], 'r')} ON p.region = r.region "
+          f"LEFT JOIN {_values_sql(FX_RATES, ['currency', 'usd_rate'], 'fx')} ON r.currency = fx.currency")
 def q_fx_convert(spark, sf):
     i = ing(spark, sf)
     currency = spark.createDataFrame(REGION_CURRENCY, "region string, currency string")
