@@ -32,7 +32,10 @@ def fx_convert(awards: DataFrame, rates: DataFrame) -> DataFrame:
     """amount x USD rate when a currency is present and is not USD."""
     j = awards.join(F.broadcast(rates), "currency", "left")
     convert = F.col("amount").isNotNull() & F.col("currency").isNotNull() & (F.col("currency") != "USD")
-    return j.withColumn("usd_amount", F.when(convert, F.col("amount") * F.col("usd_rate")).otherwise(F.col("amount")))
+    # money in decimal arithmetic: amounts carry 2 places, rates 8
+    converted = (F.col("amount").cast("decimal(20,2)") * F.col("usd_rate").cast("decimal(20,8)"))
+    return j.withColumn("usd_amount", F.when(convert, F.round(converted, 2).cast("double"))
+                        .otherwise(F.col("amount")))
 
 
 def latest_indicator(indicators: DataFrame) -> DataFrame:

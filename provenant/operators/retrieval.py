@@ -165,13 +165,17 @@ def hash_embed(chunks: DataFrame, text_col: str = "text", dimensions: int = HASH
     """Adds ``embedding``: distinct-token counts per hash bucket, L2-normalized.
     Row-local native expressions only (no shuffle, no Python)."""
     buckets = F.transform(T.tokens(F.col(text_col), TOKEN_PATTERN), lambda t: token_bucket(t, dimensions))
+    # sparse counts over the distinct buckets of the row, then a dense lookup
+    keys = F.array_distinct(F.col("_b"))
+    sparse = F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(F.col("_b"), lambda b: b == k))))
+    d = chunks.withColumn("_b", buckets).withColumn("_m", sparse)
     counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)),
-                         lambda i: F.size(F.filter(F.col("_b"), lambda b: b == i)).cast("double"))
-    d = chunks.withColumn("_b", buckets).withColumn("_c", counts)
-    n = F.sqrt(F.aggregate(F.col("_c"), F.lit(0.0), lambda acc, v: acc + v * v))
+                         lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double"))
+    d = d.withColumn("_c", counts)
+    n = F.sqrt(F.aggregate(F.map_values(F.col("_m")), F.lit(0.0), lambda acc, v: acc + (v * v).cast("double")))
     emb = F.when(n > 0, F.transform(F.col("_c"), lambda v: (v / n).cast("float"))) \
         .otherwise(F.transform(F.col("_c"), lambda v: v.cast("float")))
-    return d.withColumn("embedding", emb).drop("_b", "_c")
+    return d.withColumn("embedding", emb).drop("_b", "_c", "_m")
 
 
 class HashEmbedder:

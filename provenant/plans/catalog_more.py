@@ -173,7 +173,8 @@ def q_country_conform(spark, sf):
 @register("fx_convert",
           "SELECT w.award_id, round(w.amount, 2) AS amount, r.currency, "
           "round(CASE WHEN w.amount IS NOT NULL AND r.currency IS NOT NULL AND r.currency <> 'USD' "
-          "THEN w.amount * fx.usd_rate ELSE w.amount END, 2) AS usd_amount "
+          "THEN CAST(round(CAST(w.amount AS DECIMAL(20,2)) * CAST(fx.usd_rate AS DECIMAL(20,8)), 2) AS DOUBLE) "
+          "ELSE w.amount END, 2) AS usd_amount "
           "FROM awards w JOIN projects p USING (project_id) "
           f"LEFT JOIN {_values_sql(REGION_CURRENCY, ['region', 'currency'], 'r')} ON p.region = r.region "
           f"LEFT JOIN {_values_sql(FX_RATES, ['currency', 'usd_rate'], 'fx')} ON r.currency = fx.currency")
