@@ -12,11 +12,12 @@ from pyspark.sql.types import ArrayType, DataType, StringType
 
 from ..config import DATE_SHAPES, PROJECT_ID_PATTERN, SPARK_DATE_PATTERNS
 
-# Python's str.strip()/\s cover Unicode white space plus the four ASCII
-# separator controls; Spark's trim() removes spaces only.
-_WS_CLASS = r"[\s\x1c-\x1f]"
-_STRIP_RE = rf"(?U)^{_WS_CLASS}+|{_WS_CLASS}+$"
-_ALL_WS_RE = rf"(?U){_WS_CLASS}+"
+# --- Fixed values: the characters Python's str.isspace() accepts ---
+# \t \n \x0b \x0c \r, \x1c-\x1f, space, \x85, \xa0, \u1680, \u2000-\u200a,
+# \u2028, \u2029, \u202f, \u205f, \u3000. Spark's trim() removes spaces only.
+_WS_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_STRIP_RE = rf"^{_WS_CLASS}+|{_WS_CLASS}+$"
+_ALL_WS_RE = rf"{_WS_CLASS}+"
 
 # Python float() syntax: digits with single underscores between them, optional
 # fraction and exponent, or nan / inf / infinity; surrounding white space allowed.

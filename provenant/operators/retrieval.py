@@ -163,19 +163,24 @@ def token_vocabulary(chunks: DataFrame, text_col: str = "text") -> DataFrame:
 
 def hash_embed(chunks: DataFrame, text_col: str = "text", dimensions: int = HASH_EMBED_DIMENSIONS) -> DataFrame:
     """Adds ``embedding``: distinct-token counts per hash bucket, L2-normalized.
-    Row-local native expressions only (no shuffle, no Python)."""
+
+    Row-local native expressions only (no shuffle, no Python). Every lambda
+    touches only its own bound variables: a lambda that names an outer column
+    would have that column's expression inlined and re-evaluated per element.
+    """
     buckets = F.transform(T.tokens(F.col(text_col), TOKEN_PATTERN), lambda t: token_bucket(t, dimensions))
-    # sparse counts over the distinct buckets of the row, then a dense lookup
-    keys = F.array_distinct(F.col("_b"))
-    sparse = F.map_from_arrays(keys, F.transform(keys, lambda k: F.size(F.filter(F.col("_b"), lambda b: b == k))))
-    d = chunks.withColumn("_b", buckets).withColumn("_m", sparse)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)),
-                         lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double"))
-    d = d.withColumn("_c", counts)
-    n = F.sqrt(F.aggregate(F.map_values(F.col("_m")), F.lit(0.0), lambda acc, v: acc + (v * v).cast("double")))
-    emb = F.when(n > 0, F.transform(F.col("_c"), lambda v: (v / n).cast("float"))) \
-        .otherwise(F.transform(F.col("_c"), lambda v: v.cast("float")))
-    return d.withColumn("embedding", emb).drop("_b", "_c", "_m")
+    zeros = F.array_repeat(F.lit(0.0), dimensions)
+
+    def add(acc, b):
+        return F.transform(acc, lambda v, i: F.when(i == b, v + F.lit(1.0)).otherwise(v))
+
+    def finish(acc):
+        norm_ = F.sqrt(F.aggregate(acc, F.lit(0.0), lambda s_, v: s_ + v * v))
+        scaled = F.transform(F.array(norm_), lambda n: F.transform(
+            acc, lambda v: F.when(n > 0, v / n).otherwise(v).cast("float")))
+        return F.element_at(scaled, 1)
+
+    return chunks.withColumn("embedding", F.aggregate(buckets, zeros, add, finish))
 
 
 class HashEmbedder:

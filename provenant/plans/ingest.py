@@ -46,15 +46,21 @@ class Ingestion:
             .withColumn("run_seq", F.lit(self.run_seq))
 
     # ---- curated tables --------------------------------------------------------------
-    def notices(self) -> DataFrame:
+    def notices_state(self) -> DataFrame:
+        """Curated notices with the order columns (run_seq, ingest_seq) kept, as
+        stored between runs."""
         new = self.loaded_notices().select(*curate.NOTICE_TABLE_COLUMNS, "run_seq", "ingest_seq")
-        return upsert_latest(new, ["notice_id"], ["ingest_seq"], self.existing.get("notices")) \
-            .select(*curate.NOTICE_TABLE_COLUMNS)
+        return upsert_latest(new, ["notice_id"], ["ingest_seq"], self.existing.get("notices"))
 
-    def awards(self) -> DataFrame:
+    def awards_state(self) -> DataFrame:
         new = self.loaded_awards().select(*curate.AWARD_TABLE_COLUMNS, "run_seq", "ingest_seq")
-        return upsert_latest(new, ["award_id"], ["ingest_seq"], self.existing.get("awards")) \
-            .select(*curate.AWARD_TABLE_COLUMNS)
+        return upsert_latest(new, ["award_id"], ["ingest_seq"], self.existing.get("awards"))
+
+    def notices(self) -> DataFrame:
+        return self.notices_state().select(*curate.NOTICE_TABLE_COLUMNS)
+
+    def awards(self) -> DataFrame:
+        return self.awards_state().select(*curate.AWARD_TABLE_COLUMNS)
 
     def projects(self) -> DataFrame:
         return curate.derive_projects(self.loaded_awards(), self.existing.get("projects"),

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read_table
+from .tables import read_table, spread
 
 NOTICE_COLUMNS = ["id", "project_id", "bid_description", "country_name", "country_code",
                   "procurement_category", "procurement_method", "publication_date",
@@ -40,8 +40,8 @@ def raw_json_of(*names: str) -> F.Column:
 
 
 def raw_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-                        "o_orderdate", "o_orderpriority")
+    orders = spread(read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
+                               "o_orderdate", "o_orderpriority"))
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     base = (orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -84,8 +84,8 @@ def award_seq(orderkey, linenumber, partkey, suppkey) -> F.Column:
 
 
 def raw_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                    "l_extendedprice", "l_shipdate")
+    li = spread(read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
+                           "l_extendedprice", "l_shipdate"))
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
@@ -133,7 +133,7 @@ SHORT_RATIONALE = "Too short"
 def review_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> (case_id, cmd_ts, cmd_seq, actor, command, status, assigned_to,
     resolution, rationale)."""
-    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type")
+    ev = spread(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"))
     cmd = F.col("event_type")
     mapping = F.create_map(*[x for kv in EVENT_COMMANDS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     command = mapping[cmd]

@@ -12,3 +12,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     """Parquet scan with an explicit projection so only needed columns are read."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Round-robin a scan across the cluster's cores when it has fewer input
+    splits than cores (e.g. one small file with a single row group). At scale a
+    scan has far more splits than cores and this adds no shuffle."""
+    spark = spark or df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
