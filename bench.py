@@ -49,7 +49,7 @@ def main() -> None:
 
     def ev():
         acc = evidence.record_accounting(ing)
-        checksum = evidence.payload_checksum(adapters.raw_notices(spark, sf_dir), adapters.NOTICE_COLUMNS)
+        checksum = evidence.run_checksum(ing)
         schema = evidence.schema_fingerprint(ing.classified_notices.select("raw_json"),
                                              ing.classified_awards.select("raw_json"))
         runs = evidence.run_ledger(ing, checksum, schema)

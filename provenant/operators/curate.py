@@ -53,10 +53,19 @@ def derive_projects(loaded_awards: DataFrame, existing: DataFrame | None = None,
 
 
 def notice_summary(notices: DataFrame) -> DataFrame:
+    """Scores are multiples of 0.001: they are summed as integer thousandths,
+    so averages are exact and independent of summation order."""
+    milli = F.round(F.col("quality_score") * 1000).cast("long")
     return notices.groupBy("project_id").agg(
         F.count(F.lit(1)).alias("notice_count"),
-        F.sum("quality_score").alias("_q_sum"),
-        F.sum(F.lit(1.0) - F.col("quality_score")).alias("_miss_sum"))
+        F.sum(milli).alias("_q_milli"))
+
+
+def _avg3(total_milli, n) -> F.Column:
+    """round(total / 1000 / n, 3), half-up: floor((2t + n) / 2n) thousandths.
+    The quotient of two integers below 2^40 is exact enough in double that its
+    floor is the integer quotient."""
+    return F.floor((F.lit(2) * total_milli + n) / (F.lit(2) * n)) / F.lit(1000.0)
 
 
 def award_summary(awards: DataFrame) -> DataFrame:
@@ -70,17 +79,18 @@ def award_summary(awards: DataFrame) -> DataFrame:
 def project_features(notices: DataFrame, awards: DataFrame, projects: DataFrame) -> DataFrame:
     both = notice_summary(notices).join(award_summary(awards), "project_id", "full_outer")
     linked = projects.select("project_id", F.lit(True).alias("_linked"))
-    n = F.coalesce(F.col("notice_count"), F.lit(0))
-    denom = F.greatest(n, F.lit(1)).cast("double")
+    n = F.coalesce(F.col("notice_count"), F.lit(0)).cast("long")
+    d = F.greatest(n, F.lit(1)).cast("long")
+    q_milli = F.coalesce(F.col("_q_milli"), F.lit(0)).cast("long")
     return both.join(linked, "project_id", "left").select(
         "project_id",
         n.cast("long").alias("notice_count"),
         F.coalesce(F.col("award_count"), F.lit(0)).cast("long").alias("award_count"),
         F.coalesce(F.col("supplier_count"), F.lit(0)).cast("long").alias("supplier_count"),
         F.coalesce(F.col("award_amount"), F.lit(0.0)).alias("award_amount"),
-        F.round(F.coalesce(F.col("_miss_sum"), F.lit(0.0)) / denom, 3).alias("missing_field_ratio"),
+        _avg3(n * 1000 - q_milli, d).alias("missing_field_ratio"),
         F.when(F.col("_linked"), F.lit("linked")).otherwise(F.lit("project metadata unavailable")).alias("linkage_status"),
-        F.round(F.coalesce(F.col("_q_sum"), F.lit(0.0)) / denom, 3).alias("quality_score"))
+        _avg3(q_milli, d).alias("quality_score"))
 
 
 def project_id_universe(notices: DataFrame, awards: DataFrame) -> DataFrame:

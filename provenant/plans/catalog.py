@@ -36,8 +36,16 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+_INGESTIONS: dict = {}
+
+
 def ing(spark: SparkSession, sf_dir: str):
-    return adapter_ingestion(spark, sf_dir)
+    """One ingestion run per (application, tables folder), its classified
+    frames persisted and shared by every registered query of the session."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    if key not in _INGESTIONS:
+        _INGESTIONS[key] = adapter_ingestion(spark, sf_dir, persist=True)
+    return _INGESTIONS[key]
 
 
 NOTICE_OUT = ["notice_id", "project_id", "title", "country", "country_code", "category", "method",

@@ -133,11 +133,10 @@ def labelled_queries(spark, sf, n: int = 5) -> DataFrame:
                        "FROM corpus c JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q ON TRUE"))
 def q_query_cross_join(spark, sf):
     c = corpus(spark, sf)
-    q = read_table(spark, sf, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") == 0) \
-        .select(F.col("embedding").alias("q_embedding"))
-    # one bounded query row: broadcast it (its size does not grow with the corpus)
-    return c.join(F.broadcast(q), how="inner").select(
-        "chunk_id", F.round(retrieval.cosine(F.col("embedding"), F.col("q_embedding")), 4).alias("score"))
+    # the one query vector (64 floats) becomes a literal: the corpus is scored in place
+    qv = read_table(spark, sf, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") == 0).first()["embedding"]
+    lit = F.array(*[F.lit(float(x)) for x in qv])
+    return c.select("chunk_id", F.round(retrieval.cosine(F.col("embedding"), lit), 4).alias("score"))
 
 
 # --- Fixed values: country alias table (label -> atlas name) ---
@@ -513,8 +512,8 @@ def q_notice_search(spark, sf):
 def _evidence_parts(spark, sf):
     i = ing(spark, sf)
     acc = evidence.record_accounting(i)
-    checksum = evidence.payload_checksum(adapters.raw_notices(spark, sf), adapters.NOTICE_COLUMNS)
-    schema = evidence.schema_fingerprint(adapters.raw_notices(spark, sf), adapters.raw_awards(spark, sf))
+    checksum = evidence.run_checksum(i)
+    schema = evidence.schema_fingerprint(i.classified_notices.select("raw_json"), i.classified_awards.select("raw_json"))
     runs = evidence.run_ledger(i, checksum, schema)
     maps = evidence.mapping_executions(i)
     g = evidence.gates(acc, runs, maps, EXPECTED_CONTRACTS)
@@ -562,13 +561,14 @@ def q_migration_evidence(spark, sf):
 def _uat(spark, sf):
     i, acc, runs, maps, g = _evidence_parts(spark, sf)
     ev = evidence.migration_evidence(acc, g, maps, i.run_at)
-    return evidence.uat_results(ev, maps, i.dispositions(), i.notices(), i.awards())
+    return evidence.uat_results(ev, maps, i.dispositions(), i.notices(), i.awards(), evidence.loaded_keys(i))
 
 
 for _n, (_sid, _sql_pass) in enumerate([
         ("UAT-001", "true"), ("UAT-002", "true"), ("UAT-003", "true"),
         ("UAT-004", "(SELECT count(*) FROM notices) + (SELECT count(*) FROM awards) >= "
-                    "(SELECT sum(n) FROM routing WHERE disposition = 'loaded')")], start=1):
+                    "(SELECT count(DISTINCT notice_id) FROM loaded_notice) + "
+                    "(SELECT count(DISTINCT award_id) FROM loaded_award)")], start=1):
     _key = "uat00%d_" % _n + ["reconciled", "contracts", "traceability", "queryable"][_n - 1]
 
     def _mk_uat(sid):
@@ -735,3 +735,114 @@ def q_review_list(spark, sf):
     j = st.join(iss, iss.record_id == st.validation_result_id.cast("string"))
     return j.orderBy(F.col("updated_at").desc(), "case_id").select("case_id", "status", "control_id", "severity",
                                                                   "record_id")
+
+
+# =============================================================================== runs, UAT feed, sign-off, readiness
+
+@register("run_ledger",
+          f"SELECT '{RUN_ID}' AS run_id, 'completed' AS status, sum(n) AS records_read, "
+          "sum(n) FILTER (WHERE disposition = 'loaded') AS accepted, sum(n) FILTER (WHERE disposition = 'rejected') AS rejected, "
+          "sum(n) FILTER (WHERE disposition = 'quarantined') AS quarantined, TRUE AS has_checksum, "
+          "(SELECT sha256('[' || string_agg('\"' || key || '\"', ', ' ORDER BY key) || ']') FROM (" + _KEYS_SQL + ")) "
+          "AS schema_hash FROM routing")
+def q_run_ledger(spark, sf):
+    _, acc, runs, maps, g = _evidence_parts(spark, sf)
+    return runs.select("run_id", "status", "records_read", "accepted", "rejected", "quarantined",
+                       F.col("checksum").isNotNull().alias("has_checksum"), "schema_hash")
+
+
+@register("latest_run", f"SELECT '{RUN_ID}' AS run_id")
+def q_latest_run(spark, sf):
+    i, acc, runs, maps, g = _evidence_parts(spark, sf)
+    ev = evidence.migration_evidence(acc, g, maps, i.run_at)
+    return ev.agg(F.max_by("run_id", F.struct("generated_at", "run_id")).alias("run_id"))
+
+
+_UAT_STATUS_SQL = ("CASE WHEN (SELECT count(*) FROM notices) + (SELECT count(*) FROM awards) >= "
+                   "(SELECT count(DISTINCT notice_id) FROM loaded_notice) + (SELECT count(DISTINCT award_id) FROM loaded_award) "
+                   "THEN 'passed' ELSE 'failed' END")
+UAT_EXECUTION_ID = "UAT-000000000001"
+
+
+def _uat_execution(spark, sf):
+    from ..config import UAT_SUITE_VERSION  # noqa: F401
+    from .ingest import DEFAULT_RUN_AT
+    return evidence.uat_execution(_uat(spark, sf), UAT_EXECUTION_ID, "release-2026.08", "staging", "QA Tester",
+                                  DEFAULT_RUN_AT)
+
+
+@register("uat_execution",
+          f"SELECT '{UAT_EXECUTION_ID}' AS execution_id, '{RUN_ID}' AS run_id, {_UAT_STATUS_SQL} AS status, "
+          "'1.0.0' AS suite_version")
+def q_uat_execution(spark, sf):
+    return _uat_execution(spark, sf).select("execution_id", "run_id", "status", "suite_version")
+
+
+@register("uat_feed",
+          f"SELECT '{UAT_EXECUTION_ID}' AS execution_id, 'release-2026.08' AS release_id, '{RUN_ID}' AS run_id, "
+          f"{_UAT_STATUS_SQL} AS status")
+def q_uat_feed(spark, sf, limit: int = 20):
+    ex = _uat_execution(spark, sf)
+    return ex.orderBy(F.col("completed_at").desc(), F.col("execution_id").desc()).limit(limit) \
+        .select("execution_id", "release_id", "run_id", "status")
+
+
+SIGN_OFF_COMMANDS = [("Release Owner", "Looks good"),
+                     ("Release Owner", "All four acceptance scenarios were reviewed and accepted."),
+                     ("Second Approver", "A second sign-off attempt for the same execution.")]
+
+
+@register("uat_sign_off",
+          f"SELECT '{UAT_EXECUTION_ID}' AS execution_id, {_UAT_STATUS_SQL} AS status, "
+          f"CASE WHEN {_UAT_STATUS_SQL} = 'passed' THEN 'Release Owner' END AS signed_off_by")
+def q_uat_sign_off(spark, sf):
+    import datetime
+    from .ingest import DEFAULT_RUN_AT
+    ex = _uat_execution(spark, sf)
+    cmds = spark.createDataFrame(
+        [(UAT_EXECUTION_ID, a, n, DEFAULT_RUN_AT + datetime.timedelta(minutes=i)) for i, (a, n) in enumerate(SIGN_OFF_COMMANDS)],
+        "execution_id string, approver string, note string, signed_at timestamp")
+    signed, _errors = evidence.sign_off(ex, cmds)
+    return signed.select("execution_id", "status", "signed_off_by")
+
+
+@register("release_readiness", _REVIEW_SQL +
+          ", rr AS (SELECT TRUE AS reconciled, TRUE AS validated, "
+          "(SELECT bool_and(status IN ('resolved', 'rejected')) FROM case_state) AS exceptions_disposed, "
+          "(SELECT coalesce(bool_and(status NOT IN ('resolved', 'rejected') OR decided_at IS NOT NULL), TRUE) "
+          " FROM case_state) AS audit_complete, TRUE AS rollback_evidence, "
+          f"{_UAT_STATUS_SQL} = 'passed' AS uat_signed_off) "
+          f"SELECT '{RUN_ID}' AS run_id, *, CAST(reconciled AS INT) + CAST(validated AS INT) + "
+          "CAST(exceptions_disposed AS INT) + CAST(audit_complete AS INT) + CAST(rollback_evidence AS INT) + "
+          "CAST(uat_signed_off AS INT) AS passed_criteria, CAST(round((CAST(reconciled AS INT) + CAST(validated AS INT) + "
+          "CAST(exceptions_disposed AS INT) + CAST(audit_complete AS INT) + CAST(rollback_evidence AS INT) + "
+          "CAST(uat_signed_off AS INT)) * 100.0 / 6.0) AS BIGINT) AS readiness_percent FROM rr")
+def q_release_readiness(spark, sf):
+    import datetime
+    from .ingest import DEFAULT_RUN_AT
+    i, acc, runs, maps, g = _evidence_parts(spark, sf)
+    _, cases, ev = _review(spark, sf)
+    state = review.current_state(cases, ev)
+    ex = _uat_execution(spark, sf)
+    cmds = spark.createDataFrame([(UAT_EXECUTION_ID, SIGN_OFF_COMMANDS[1][0], SIGN_OFF_COMMANDS[1][1],
+                                   DEFAULT_RUN_AT + datetime.timedelta(minutes=1))],
+                                 "execution_id string, approver string, note string, signed_at timestamp")
+    signed, _ = evidence.sign_off(ex, cmds)
+    return evidence.release_readiness(acc, runs, i.notices(), state, signed)
+
+
+REVIEW_DETAIL_CASE = "REV-00003"
+
+
+@register("review_detail", _REVIEW_SQL +
+          f"SELECT s.case_id, s.status, e.event_type, e.occurred_at, e.seq, e.to_status FROM case_state s JOIN ("
+          "SELECT case_id, 'case_created' AS event_type, created_at AS occurred_at, -1 AS seq, 'open' AS to_status "
+          "FROM cases UNION ALL SELECT case_id, CASE WHEN command IN ('assign', 'start') THEN 'case_updated' "
+          "ELSE 'decision_recorded' END, cmd_ts, cmd_seq, next_status FROM evaluated WHERE error IS NULL) e "
+          f"USING (case_id) WHERE s.case_id = '{REVIEW_DETAIL_CASE}'")
+def q_review_detail(spark, sf, case_id: str = REVIEW_DETAIL_CASE):
+    _, cases, ev = _review(spark, sf)
+    state = review.current_state(cases, ev).filter(F.col("case_id") == case_id).select("case_id", "status")
+    hist = review.event_history(cases, ev).filter(F.col("case_id") == case_id)
+    return state.join(hist, "case_id").orderBy("occurred_at", "seq").select(
+        "case_id", "status", "event_type", "occurred_at", "seq", "to_status")

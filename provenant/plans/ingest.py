@@ -11,6 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,13 +100,19 @@ def build_ingestion(spark: SparkSession, raw_notices: DataFrame, raw_awards: Dat
                     run_id: str = DEFAULT_RUN_ID, run_at: datetime = DEFAULT_RUN_AT,
                     notice_version: str | None = None, award_version: str | None = None,
                     awards_url: str = DEFAULT_AWARDS_URL, existing: dict | None = None,
-                    run_seq: int = 1, materialize: bool = False) -> Ingestion:
+                    run_seq: int = 1, materialize: bool = False, persist: bool = False) -> Ingestion:
+    """``materialize`` cuts lineage with a reliable checkpoint (a real run);
+    ``persist`` only caches the two classified frames (memory, spilling to
+    disk) for many read-only outputs in one session; lost blocks recompute."""
     cn = quality.classify_notices(raw_notices, run_id, notice_version)
     ca = quality.classify_awards(raw_awards, run_id, awards_url, award_version)
     if materialize:
         checkpoint_dir(spark)
         cn = cn.checkpoint(eager=True)
         ca = ca.checkpoint(eager=True)
+    elif persist:
+        cn = cn.persist(StorageLevel.MEMORY_AND_DISK)
+        ca = ca.persist(StorageLevel.MEMORY_AND_DISK)
     return Ingestion(run_id, run_at, cn, ca, notice_version, award_version, existing or {}, run_seq)
 
 

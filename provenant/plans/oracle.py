@@ -197,7 +197,7 @@ projects AS (
   WHERE rn = 1
 ),
 n_summary AS (
-  SELECT project_id, count(*) AS notice_count, sum(quality_score) AS q_sum, sum(1.0 - quality_score) AS miss_sum
+  SELECT project_id, count(*) AS notice_count, sum(CAST(round(quality_score * 1000) AS BIGINT)) AS q_milli
   FROM notices GROUP BY project_id
 ),
 a_summary AS (
@@ -210,9 +210,11 @@ features AS (
   SELECT coalesce(n.project_id, a.project_id) AS project_id,
          coalesce(n.notice_count, 0) AS notice_count, coalesce(a.award_count, 0) AS award_count,
          coalesce(a.supplier_count, 0) AS supplier_count, coalesce(a.award_amount, 0.0) AS award_amount,
-         round(coalesce(n.miss_sum, 0.0) / greatest(coalesce(n.notice_count, 0), 1), 3) AS missing_field_ratio,
+         ((2 * (coalesce(n.notice_count, 0) * 1000 - coalesce(n.q_milli, 0)) + greatest(coalesce(n.notice_count, 0), 1))
+           // (2 * greatest(coalesce(n.notice_count, 0), 1))) / 1000.0 AS missing_field_ratio,
          CASE WHEN p.project_id IS NOT NULL THEN 'linked' ELSE 'project metadata unavailable' END AS linkage_status,
-         round(coalesce(n.q_sum, 0.0) / greatest(coalesce(n.notice_count, 0), 1), 3) AS quality_score
+         ((2 * coalesce(n.q_milli, 0) + greatest(coalesce(n.notice_count, 0), 1))
+           // (2 * greatest(coalesce(n.notice_count, 0), 1))) / 1000.0 AS quality_score
   FROM n_summary n FULL OUTER JOIN a_summary a ON n.project_id = a.project_id
   LEFT JOIN projects p ON p.project_id = coalesce(n.project_id, a.project_id)
 ),
