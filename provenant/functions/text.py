@@ -15,9 +15,10 @@ from ..config import DATE_SHAPES, PROJECT_ID_PATTERN, SPARK_DATE_PATTERNS
 # --- Fixed values: the characters Python's str.isspace() accepts ---
 # \t \n \x0b \x0c \r, \x1c-\x1f, space, \x85, \xa0, \u1680, \u2000-\u200a,
 # \u2028, \u2029, \u202f, \u205f, \u3000. Spark's trim() removes spaces only.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+              "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+              "\u2028\u2029\u202f\u205f\u3000")
 _WS_CLASS = r"[\t\n\x0b\x0c\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-_STRIP_RE = rf"^{_WS_CLASS}+|{_WS_CLASS}+$"
-_ALL_WS_RE = rf"{_WS_CLASS}+"
 
 # Python float() syntax: digits with single underscores between them, optional
 # fraction and exponent, or nan / inf / infinity; surrounding white space allowed.
@@ -31,8 +32,9 @@ def as_column(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """str(v).strip(): remove leading and trailing white space of any kind."""
-    return F.regexp_replace(as_column(c).cast("string"), _STRIP_RE, "")
+    """str(v).strip(): remove leading and trailing white space of any kind
+    (native ``trim(BOTH chars FROM v)``, no regex)."""
+    return F.trim(as_column(c).cast("string"), F.lit(WHITESPACE))
 
 
 def py_upper(c) -> Column:
@@ -49,7 +51,7 @@ def is_missing(c, data_type: DataType | None = None) -> Column:
 
 def normalize_project_id(c) -> Column:
     """Drop all white space, upper-case, keep only ``P`` + 6 digits."""
-    squeezed = F.upper(F.regexp_replace(F.coalesce(as_column(c).cast("string"), F.lit("")), _ALL_WS_RE, ""))
+    squeezed = F.upper(F.translate(F.coalesce(as_column(c).cast("string"), F.lit("")), WHITESPACE, ""))
     return F.when(squeezed.rlike(PROJECT_ID_PATTERN), squeezed)
 
 

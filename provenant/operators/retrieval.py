@@ -164,23 +164,29 @@ def token_vocabulary(chunks: DataFrame, text_col: str = "text") -> DataFrame:
 def hash_embed(chunks: DataFrame, text_col: str = "text", dimensions: int = HASH_EMBED_DIMENSIONS) -> DataFrame:
     """Adds ``embedding``: distinct-token counts per hash bucket, L2-normalized.
 
-    Row-local native expressions only (no shuffle, no Python). Every lambda
-    touches only its own bound variables: a lambda that names an outer column
-    would have that column's expression inlined and re-evaluated per element.
+    Row-local native expressions only (no shuffle, no Python). The sorted
+    bucket array is bound once; the count of bucket ``i`` is the span between
+    its first and last position (native ``array_position``), so each row costs
+    one lambda call per dimension. Every lambda touches only bound variables: a
+    lambda naming an outer column would re-evaluate that column per element.
     """
-    buckets = F.transform(T.tokens(F.col(text_col), TOKEN_PATTERN), lambda t: token_bucket(t, dimensions))
-    zeros = F.array_repeat(F.lit(0.0), dimensions)
-
-    def add(acc, b):
-        return F.transform(acc, lambda v, i: F.when(i == b, v + F.lit(1.0)).otherwise(v))
-
-    def finish(acc):
-        norm_ = F.sqrt(F.aggregate(acc, F.lit(0.0), lambda s_, v: s_ + v * v))
-        scaled = F.transform(F.array(norm_), lambda n: F.transform(
-            acc, lambda v: F.when(n > 0, v / n).otherwise(v).cast("float")))
-        return F.element_at(scaled, 1)
-
-    return chunks.withColumn("embedding", F.aggregate(buckets, zeros, add, finish))
+    buckets = F.array_sort(F.transform(T.tokens(F.col(text_col), TOKEN_PATTERN),
+                                       lambda t: token_bucket(t, dimensions)))
+
+    def span(bs, b):
+        first = F.array_position(bs, b)
+        last = F.size(bs) - F.array_position(F.reverse(bs), b) + 1
+        return F.when(first > 0, (last - first + 1).cast("double")).otherwise(F.lit(0.0))
+
+    def embed(bs):
+        # norm from the few distinct buckets, then one pass over the dimensions
+        norm_ = F.sqrt(F.aggregate(F.array_distinct(bs), F.lit(0.0), lambda s_, b: s_ + span(bs, b) * span(bs, b)))
+        return F.element_at(F.transform(F.array(norm_), lambda n: F.transform(
+            F.sequence(F.lit(0), F.lit(dimensions - 1)),
+            lambda i: F.when(n > 0, span(bs, i) / n).otherwise(F.lit(0.0)).cast("float"))), 1)
+
+    emb = F.element_at(F.transform(F.array(buckets), embed), 1)
+    return chunks.withColumn("embedding", emb)
 
 
 class HashEmbedder:
