@@ -2,8 +2,9 @@
 
 ``build_ingestion`` wires the operators into one lazily-evaluated plan per
 output. With ``materialize=True`` the two classified frames (read by five
-outputs each) are cut with ``checkpoint()`` into the shared checkpoint folder,
-so a lost executor recomputes from the checkpoint, not from the raw scan.
+outputs each) are written once as Parquet tables into the shared checkpoint
+folder and read back, so lineage is cut, a lost executor recomputes from the
+table, not from the raw scan, and later outputs read only their columns.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT_AWARDS_URL, DEFAULT_PROJECT_URL_PREFIX
 from ..operators import curate, quality
 from ..operators.tables import upsert_latest
-from ..session import checkpoint_dir
+from ..session import scratch_path
 from ..sources import adapters
 
 DEFAULT_RUN_ID = "run-0001"
@@ -101,15 +102,21 @@ def build_ingestion(spark: SparkSession, raw_notices: DataFrame, raw_awards: Dat
                     notice_version: str | None = None, award_version: str | None = None,
                     awards_url: str = DEFAULT_AWARDS_URL, existing: dict | None = None,
                     run_seq: int = 1, materialize: bool = False, persist: bool = False) -> Ingestion:
-    """``materialize`` cuts lineage with a reliable checkpoint (a real run);
+    """``materialize`` cuts lineage with a table written to the shared
+    checkpoint folder (a real run);
     ``persist`` only caches the two classified frames (memory, spilling to
     disk) for many read-only outputs in one session; lost blocks recompute."""
     cn = quality.classify_notices(raw_notices, run_id, notice_version)
     ca = quality.classify_awards(raw_awards, run_id, awards_url, award_version)
     if materialize:
-        checkpoint_dir(spark)
-        cn = cn.checkpoint(eager=True)
-        ca = ca.checkpoint(eager=True)
+        # a written table in the shared checkpoint folder: computed once, read
+        # back columnar (later outputs prune columns), survives executor loss
+        base = scratch_path(spark, f"classified-{run_id}")
+        # scratch tables: raw_json is unique per row, so skip dictionary encoding
+        cn.write.mode("errorifexists").option("parquet.enable.dictionary", "false").parquet(f"{base}/notices")
+        ca.write.mode("errorifexists").option("parquet.enable.dictionary", "false").parquet(f"{base}/awards")
+        cn = spark.read.parquet(f"{base}/notices")
+        ca = spark.read.parquet(f"{base}/awards")
     elif persist:
         cn = cn.persist(StorageLevel.MEMORY_AND_DISK)
         ca = ca.persist(StorageLevel.MEMORY_AND_DISK)

@@ -41,7 +41,7 @@ def raw_json_of(*names: str) -> F.Column:
 
 def raw_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spread(read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
-                               "o_orderdate", "o_orderpriority"))
+                               "o_orderdate", "o_orderpriority"), "o_orderkey")
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     base = (orders.join(customer, orders.o_custkey == customer.c_custkey)
@@ -85,7 +85,7 @@ def award_seq(orderkey, linenumber, partkey, suppkey) -> F.Column:
 
 def raw_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spread(read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber",
-                           "l_extendedprice", "l_shipdate"))
+                           "l_extendedprice", "l_shipdate"), "l_orderkey")
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
@@ -133,7 +133,7 @@ SHORT_RATIONALE = "Too short"
 def review_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> (case_id, cmd_ts, cmd_seq, actor, command, status, assigned_to,
     resolution, rationale)."""
-    ev = spread(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"))
+    ev = spread(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"), "event_id")
     cmd = F.col("event_type")
     mapping = F.create_map(*[x for kv in EVENT_COMMANDS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     command = mapping[cmd]

@@ -14,12 +14,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
-def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Round-robin a scan across the cluster's cores when it has fewer input
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread a scan across the cluster's cores when it has fewer input
     splits than cores (e.g. one small file with a single row group). At scale a
-    scan has far more splits than cores and this adds no shuffle."""
-    spark = spark or df.sparkSession
-    target = spark.sparkContext.defaultParallelism
+    scan has far more splits than cores and this adds no shuffle. Hashing on a
+    key (not round-robin) keeps the shuffle deterministic without a local sort."""
+    target = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, *keys) if keys else df.repartition(target)
     return df
