@@ -39,13 +39,15 @@ def schema_keys(raw_json: Column) -> Column:
 
 def schema_fingerprint(*raw_frames: DataFrame) -> DataFrame:
     """SHA-256 of the sorted union of top-level keys, rendered as a JSON list
-    (``["a", "b"]``). Keys are de-duplicated by a partial aggregation first, so
-    only the distinct key names (the schema width) reach the final step."""
-    keys = None
+    (``["a", "b"]``). Key sets, then keys, are de-duplicated by partial
+    aggregation, so only the distinct key names (the schema width) reach the
+    final collect."""
+    keysets = None
     for df in raw_frames:
-        k = df.select(F.explode(schema_keys(F.col("raw_json"))).alias("key"))
-        keys = k if keys is None else keys.unionByName(k)
-    distinct = keys.distinct()
+        k = df.select(F.array_sort(schema_keys(F.col("raw_json"))).alias("keys"))
+        keysets = k if keysets is None else keysets.unionByName(k)
+    # few distinct key sets exist: de-duplicate them (partial aggregation) before exploding
+    distinct = keysets.distinct().select(F.explode("keys").alias("key")).distinct()
     listed = F.array_sort(F.collect_list("key"))
     text = F.concat(F.lit('["'), F.array_join(listed, '", "'), F.lit('"]'))
     return distinct.agg(F.sha2(text, 256).alias("schema_hash"), F.count(F.lit(1)).alias("key_count"))

@@ -81,12 +81,14 @@ corpus AS (
   FROM embeddings
 ),
 rq AS (
-  SELECT vec_id AS query_id, embedding AS q_embedding, label AS q_label,
-         CASE WHEN vec_id % 2 = 1 THEN 'L' || CAST(label AS VARCHAR) END AS country_filter,
+  SELECT e.vec_id AS query_id, e.embedding AS q_embedding, e.label AS q_label,
+         CASE WHEN e.vec_id % 2 = 1 THEN 'L' || CAST(e.label AS VARCHAR) END AS country_filter,
          CAST(NULL AS VARCHAR) AS project_filter, 'driver-64d' AS q_model
-  FROM embeddings WHERE vec_id < 5
+  FROM embeddings e JOIN (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label) m
+    ON e.vec_id = m.vec_id
   UNION ALL
-  SELECT -1, embedding, label, 'L-unknown', NULL, 'driver-64d' FROM embeddings WHERE vec_id = 0
+  SELECT -1, embedding, label, 'L-unknown', NULL, 'driver-64d' FROM embeddings
+  WHERE vec_id = (SELECT min(vec_id) FROM embeddings)
 ),
 scored AS (
   SELECT q.query_id, q.q_label, q.country_filter, c.*, """ + _COS.format(a="c.embedding", b="q.q_embedding") + """ AS score
@@ -114,14 +116,24 @@ def corpus(spark, sf) -> DataFrame:
                     "embedding", F.lit("driver-64d").alias("embedding_model"), "label")
 
 
-def labelled_queries(spark, sf, n: int = 5) -> DataFrame:
-    """The evaluation set: the first ``n`` vectors as queries (odd ones filtered
-    to their own label), plus one query whose filter matches nothing."""
+def first_vector(spark, sf) -> list[float]:
+    """The query vector of a single search: the first stored vector (64 floats,
+    collected as the query literal; a top-1 by id, not a scan to the driver)."""
+    row = read_table(spark, sf, "embeddings", "vec_id", "embedding").orderBy("vec_id").limit(1).first()
+    return [float(x) for x in row["embedding"]]
+
+
+def labelled_queries(spark, sf) -> DataFrame:
+    """The evaluation set, derived from the data: one query per label (its
+    first vector; odd ids are filtered to their own label), plus one query
+    whose filter matches nothing. Its size is the number of labels."""
     e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
-    base = e.filter(F.col("vec_id") < n).select(
+    firsts = e.groupBy("label").agg(F.min("vec_id").alias("vec_id")).select("vec_id")
+    base = e.join(firsts, "vec_id").select(
         F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("q_label"),
         F.when(F.col("vec_id") % 2 == 1, F.concat(F.lit("L"), F.col("label").cast("string"))).alias("country_filter"))
-    unsupported = e.filter(F.col("vec_id") == 0).select(
+    first_all = e.agg(F.min("vec_id").alias("vec_id"))
+    unsupported = e.join(first_all, "vec_id").select(
         F.lit(-1).cast("long").alias("query_id"), "embedding", F.col("label").alias("q_label"),
         F.lit("L-unknown").alias("country_filter"))
     return base.unionByName(unsupported).withColumn("project_filter", F.lit(None).cast("string")) \
@@ -130,11 +142,11 @@ def labelled_queries(spark, sf, n: int = 5) -> DataFrame:
 
 @register("query_cross_join",
           _with_corpus("SELECT chunk_id, round(" + _COS.format(a="c.embedding", b="q.embedding") + ", 4) AS score "
-                       "FROM corpus c JOIN (SELECT embedding FROM embeddings WHERE vec_id = 0) q ON TRUE"))
+                       "FROM corpus c JOIN (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q ON TRUE"))
 def q_query_cross_join(spark, sf):
     c = corpus(spark, sf)
     # the one query vector (64 floats) becomes a literal: the corpus is scored in place
-    qv = read_table(spark, sf, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") == 0).first()["embedding"]
+    qv = first_vector(spark, sf)
     lit = F.array(*[F.lit(float(x)) for x in qv])
     return c.select("chunk_id", F.round(retrieval.cosine(F.col("embedding"), lit), 4).alias("score"))
 
@@ -373,10 +385,11 @@ def q_vector_topk(spark, sf, k: int = 5):
 
 
 @register("semantic_search", _with_corpus(
-    "SELECT chunk_id, round(score, 4) AS retrieval_score FROM ranked WHERE query_id = 0 AND rank <= 8 AND score >= 0.25"))
+    "SELECT chunk_id, round(score, 4) AS retrieval_score FROM ranked WHERE query_id = (SELECT min(vec_id) FROM embeddings) "
+    "AND rank <= 8 AND score >= 0.25"))
 def q_semantic_search(spark, sf):
-    qv = read_table(spark, sf, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") == 0).first()
-    return retrieval.semantic_search(corpus(spark, sf), list(qv["embedding"]), model="driver-64d", limit=8) \
+    qv = first_vector(spark, sf)
+    return retrieval.semantic_search(corpus(spark, sf), qv, model="driver-64d", limit=8) \
         .select("chunk_id", "retrieval_score")
 
 
