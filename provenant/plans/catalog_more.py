@@ -421,6 +421,20 @@ def q_query_log(spark, sf):
     return retrieval.query_log(qs, res)
 
 
+@register("ann_recall")
+def q_ann_recall(spark, sf, k: int = 8):
+    """Recall of the LSH approximate search against exact top-k, per query."""
+    qs = labelled_queries(spark, sf)
+    exact = retrieval.semantic_search_batch(corpus(spark, sf), qs.withColumn("country_filter", F.lit(None).cast("string")),
+                                            k=k).select("query_id", "chunk_id")
+    approx = q_ann_search(spark, sf, k).select("query_id", "chunk_id")
+    hits = exact.join(approx, ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
+    totals = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
+    return totals.join(hits, "query_id", "left").select(
+        "query_id", "relevant", F.coalesce("hits", F.lit(0)).alias("found"),
+        F.round(F.coalesce("hits", F.lit(0)) / F.col("relevant"), 3).alias("recall"))
+
+
 @register("ann_search")
 def q_ann_search(spark, sf, k: int = 8):
     qs = labelled_queries(spark, sf)
@@ -522,7 +536,20 @@ def q_notice_search(spark, sf):
 
 # =============================================================================== 2.11 evidence
 
+_EVIDENCE: dict = {}
+
+
 def _evidence_parts(spark, sf):
+    """Per-run evidence frames (a few rows each), built once per session and
+    tables folder and persisted, since gates, UAT and readiness all read them."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _EVIDENCE:
+        i, acc, runs, maps, g = _build_evidence_parts(spark, sf)
+        _EVIDENCE[key] = (i, acc.persist(), runs.persist(), maps.persist(), g.persist())
+    return _EVIDENCE[key]
+
+
+def _build_evidence_parts(spark, sf):
     i = ing(spark, sf)
     acc = evidence.record_accounting(i)
     checksum = evidence.run_checksum(i)
