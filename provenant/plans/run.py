@@ -2,7 +2,7 @@
 
 Layout under ``out_dir`` (a shared folder on a cluster):
 
-* ``raw/<feed>/run_id=<id>``: the immutable landed snapshot (errors if it exists)
+* ``raw/<feed>/run_id=<id>``: the landed snapshot, written once (a replay reuses it)
 * ``curated/<table>/v=<run_seq>``: versions of notices, awards, projects; each run
   upserts into the previous version, so a replayed run rewrites its own version
 * ``ledgers/<ledger>/run_id=<id>``: issues, dispositions, mapping executions,
