@@ -805,7 +805,6 @@ UAT_EXECUTION_ID = "UAT-000000000001"
 
 
 def _uat_execution(spark, sf):
-    from ..config import UAT_SUITE_VERSION  # noqa: F401
     from .ingest import DEFAULT_RUN_AT
     return evidence.uat_execution(_uat(spark, sf), UAT_EXECUTION_ID, "release-2026.08", "staging", "QA Tester",
                                   DEFAULT_RUN_AT)
