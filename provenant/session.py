@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -58,3 +60,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for landed outputs."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package (once per context): the driver's own path
+    doesn't reach them, so the sources travel as a zip through Spark's file server."""
+    sc = spark.sparkContext
+    if getattr(sc, "_provenant_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="provenant-py-"), f"{package.name}.zip")
+    with zipfile.ZipFile(target, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(target)
+    sc._provenant_shipped = True
