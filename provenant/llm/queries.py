@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import embedding_join, jaccard_join, mixing, quality_rules, secrets, sentencepiece, url_filter
-from provenant.llm.common import frame
+from provenant.llm import embedding_join, hidden_markov, jaccard_join, language_id, mixing, quality_rules, secrets, sentencepiece, toxicity, url_filter
+from provenant.llm.common import fold, frame
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,10 +29,28 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frame(spark, sf_dir, "documents", "doc_id", "text")
+    held = fold("doc_id", 5) == 0
+    grammar = toxicity.train(docs.where(~held), frame(spark, sf_dir, "labels", "doc_id", "toxic").where(~held))
+    return toxicity.toxicity(docs, grammar).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hidden_markov.score_texts(frame(spark, sf_dir, "documents", "doc_id", "text"), fold("doc_id", 7) != 2)
+
+
 def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_join.embedding_links(frame(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = frame(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    held = fold("doc_id", 3) == 1
+    model = language_id.train(docs.where(~held), "doc_id")
+    return language_id.predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(frame(spark, sf_dir, "pages", "page_id", "url"), url_filter.listed_urls(frame(spark, sf_dir, "pages", "url", "html")))
 
@@ -42,7 +60,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_quality_rules, op4_mix_sources,
-                            op7_embedding_join, op9_url_filter, op10_secret_scan)}
+    f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_quality_rules, op4_mix_sources, op5_toxicity, op6_hidden_markov,
+                            op7_embedding_join, op8_language_id, op9_url_filter, op10_secret_scan)}
 
 ORACLE: dict[str, str] = {"op3_quality_rules": quality_rules.oracle(), "op9_url_filter": url_filter.ORACLE, "op10_secret_scan": secrets.ORACLE}
