@@ -24,7 +24,7 @@ SPACE_CHARS = " \t\n\x0b\f\r"
 # Bytes of text that one numpy pass holds at most (a longer word or text gets a pass of its own).
 SLAB_BYTES = 2 << 20
 # A side is broadcast only if its rows times its row width are below this.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
 
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True

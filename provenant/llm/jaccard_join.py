@@ -35,9 +35,11 @@ SIMILARITY = 0.8
 SHINGLE = 5
 COORDS = 64
 BRANCH = 2
-SMALL = 128
+SMALL = 512
 DEPTH = 9
-RECALL = 0.9999
+# A node whose sets agree in this share of its coordinates' pairs is a group of near copies.
+DENSE = 0.5
+RECALL = 0.9995
 # Pairs whose min-hash agreement is this many standard errors below the threshold aren't verified.
 SIGMAS = 5.5
 
@@ -205,7 +207,7 @@ def _leaves(sets: DataFrame, runs: int) -> DataFrame:
         # A parent whose children still hold most pairs of it is a group of near copies: it is compared itself.
         if level > 1:
             agree = sizes.groupBy("parent").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("pairs"))
-            alike = large.join(agree, large.path == agree.parent).where(f"pairs >= {SIMILARITY} * {BRANCH} * size * size").select("path", "size", "mark")
+            alike = large.join(agree, large.path == agree.parent).where(f"pairs >= {DENSE} * {BRANCH} * size * size").select("path", "size", "mark")
             done.append((large_rows.join(alike.select("path", "size", "mark"), "path", "left_semi"), alike))
             sizes = C.written(sizes.join(alike.select(F.col("path").alias("parent")), "parent", "left_anti"), "sizes")
         stop = sizes if level == DEPTH else sizes.where(F.col("size") <= SMALL)
