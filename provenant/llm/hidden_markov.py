@@ -14,7 +14,7 @@ class) = (c + 1) / (class tokens + class words + 1) leaves one share of each cla
    recursion). The sums are at most STATES * (STATES + classes + 1) numbers.
 4. The scaled forward recursion runs over each whole text and gives its exact log likelihood.
 
-Words are known by 64-bit hashes.
+Words are known by 64-bit hashes whose low bits are the class of the word's ending.
 
 Defined results: a null or empty text is the end token alone; without training texts every token is unseen; repeated
 rows each come back and count each; a null doc_id is folded as the empty text; extra columns are ignored;
@@ -52,7 +52,7 @@ _LOWER[65:91] += 32
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
-    number = TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << 16
     for whole in batches:
         for batch in C.slabs(whole, most=BLOCK_BYTES):
             data, offsets = C.text_bytes(batch.column(1))
@@ -63,34 +63,40 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(1, SUFFIX_BYTES + 1):
                 has = ends - k >= starts
                 tail[has] = tail[has] * np.uint64(257) + data[ends[has] - k].astype(np.uint64) + np.uint64(1)
-            tail = (C.mix(tail) % np.uint64(SUFFIXES)).astype(np.uint16)
+            words = (words & ~np.uint64(SUFFIXES - 1)) | (C.mix(tail) & np.uint64(SUFFIXES - 1))
             counts = np.diff(bounds) + 1
             at = np.concatenate(([0], np.cumsum(counts)))
             is_end = np.zeros(at[-1], dtype=bool)
             is_end[at[1:] - 1] = True
-            tokens, suffix = np.full(at[-1], END, dtype=np.uint64), np.zeros(at[-1], dtype=np.uint16)
-            tokens[~is_end], suffix[~is_end] = words, tail
-            names, first, back = np.unique(tokens, return_index=True, return_inverse=True)
+            tokens = np.full(at[-1], END, dtype=np.uint64)
+            tokens[~is_end] = words
+            # Frequent words get small numbers, so that the numbers' high halves are mostly zero and pack well.
+            names, back, times = np.unique(tokens, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            rank = np.empty(len(names), dtype=np.uint32)
+            rank[order] = np.arange(len(names), dtype=np.uint32)
+            seq, names = rank[back], names[order]
             train = np.asarray(batch.column(2))
-            own = np.bincount(back[np.repeat(train, counts)], minlength=len(names)).astype(np.uint32)
+            own = np.bincount(seq[np.repeat(train, counts)], minlength=len(names)).astype(np.uint32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([number], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64()))]
-                + [pa.array([x.tobytes()], pa.binary()) for x in (train.astype(np.uint8), at.astype(np.int64), back.astype(np.uint32), names, suffix[first], own)],
-                names=["block", "doc_ids", "train", "at", "seq", "names", "suffix", "own"])
+                + [pa.array([x.tobytes()], pa.binary()) for x in (train.astype(np.uint8), at.astype(np.int64), (seq & 0xFFFF).astype(np.uint16), (seq >> 16).astype(np.uint16), names, own)],
+                names=["block", "doc_ids", "train", "at", "low", "high", "names", "own"])
             number += 1
 
 
-_BLOCK_TYPE = "block long, doc_ids array<long>, train binary, at binary, seq binary, names binary, suffix binary, own binary"
+_BLOCK_TYPE = "block long, doc_ids array<long>, train binary, at binary, low binary, high binary, names binary, own binary"
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, word, own): place is the block and the word's number in it (below 2 ** 24)."""
     for batch in batches:
         for row in batch.to_pylist():
             names = np.frombuffer(row["names"], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(names), row["block"], dtype=np.int64)), pa.array(np.arange(len(names), dtype=np.int32)), pa.array(names),
-                 pa.array(np.frombuffer(row["suffix"], dtype=np.uint16).astype(np.int32)), pa.array(np.frombuffer(row["own"], dtype=np.uint32).astype(np.int64))],
-                names=["block", "idx", "word", "suffix", "own"])
+            if len(names) >> 24:
+                raise ValueError("a block has too many distinct words")
+            yield pa.RecordBatch.from_arrays([pa.array((row["block"] << 24) + np.arange(len(names))), pa.array(names), pa.array(np.frombuffer(row["own"], dtype=np.uint32).astype(np.int64))],
+                                             names=["place", "word", "own"])
 
 
 def _coded(total: int, distinct: int, top: dict[int, int], sizes: np.ndarray):
@@ -99,19 +105,18 @@ def _coded(total: int, distinct: int, top: dict[int, int], sizes: np.ndarray):
         out = []
         names = np.array(sorted(top), dtype=np.int64)
         ranks = np.array([top[n] for n in names.tolist()], dtype=np.int64)
-        idx, c, word, suffix = (right.column(n).to_numpy() for n in ("idx", "c", "word", "suffix"))
-        count = np.zeros(len(idx), dtype=np.int64)
-        count[idx] = c
-        klass = np.empty(len(idx), dtype=np.int64)
-        klass[idx] = TOP + suffix
-        if len(names):
-            place = np.minimum(np.searchsorted(names, word), len(names) - 1)
-            own = names[place] == word
-            klass[idx[own]] = ranks[place[own]]
-        base = np.log10((count + 1) / (total + distinct + 1))
-        share = np.where(klass < TOP, 0.0, np.log10((count + 1) / sizes[klass]))
         for row in left.to_pylist():
-            seq, at = np.frombuffer(row["seq"], dtype=np.uint32), np.frombuffer(row["at"], dtype=np.int64)
+            word = np.frombuffer(row["names"], dtype=np.int64)
+            count = np.zeros(len(word), dtype=np.int64)
+            count[right.column("idx").to_numpy()] = right.column("c").to_numpy()
+            klass = TOP + (word & (SUFFIXES - 1))
+            if len(names):
+                place = np.minimum(np.searchsorted(names, word), len(names) - 1)
+                klass = np.where(names[place] == word, ranks[place], klass)
+            base = np.log10((count + 1) / (total + distinct + 1))
+            share = np.where(klass < TOP, 0.0, np.log10((count + 1) / sizes[klass]))
+            seq = np.frombuffer(row["low"], dtype=np.uint16).astype(np.int64) + (np.frombuffer(row["high"], dtype=np.uint16).astype(np.int64) << 16)
+            at = np.frombuffer(row["at"], dtype=np.int64)
             first = at[:-1]
             out.append({"block": row["block"], "doc_ids": row["doc_ids"], "train": row["train"], "at": row["at"], "classes": klass[seq].astype(np.uint16).tobytes(),
                         "known": np.add.reduceat((count > 0)[seq].astype(np.int64), first).tobytes(), "base": np.add.reduceat(base[seq], first).tobytes(),
@@ -257,21 +262,23 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     blocks = C.written(rows.mapInArrow(_blocks, _BLOCK_TYPE), "blocks")
-    words = blocks.select("block", "names", "suffix", "own").mapInArrow(_words, "block long, idx int, word long, suffix int, own long")
-    vocabulary = C.written(words.where("own > 0").groupBy("word").agg(F.sum("own").alias("c"), F.min("suffix").alias("suffix")), "vocabulary")
+    words = blocks.select("block", "names", "own").mapInArrow(_words, "place long, word long, own long")
+    vocabulary = C.written(words.where("own > 0").groupBy("word").agg(F.sum("own").alias("c")), "vocabulary")
     total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     end = int(END.astype(np.int64))
     top = vocabulary.orderBy((F.col("word") == end).desc(), F.desc("c"), "word").limit(TOP).select("word", "c").collect()
     ranks = {r.word: i for i, r in enumerate(top)}
     listed = F.broadcast(spark.createDataFrame([(r.word,) for r in top], "word long"))  # TOP rows at most
-    rest = vocabulary.join(listed, "word", "left_anti").groupBy("suffix").agg(F.sum("c").alias("c"), F.count("*").alias("v")).limit(SUFFIXES).collect()
+    rest = vocabulary.join(listed, "word", "left_anti").groupBy(F.col("word").bitwiseAND(F.lit(SUFFIXES - 1)).cast("int").alias("suffix")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).limit(SUFFIXES).collect()
     sizes, counts = np.ones(CLASSES), np.zeros(CLASSES)
     for r in rest:
         sizes[TOP + r.suffix], counts[TOP + r.suffix] = r.c + r.v + 1, r.c
     for i, r in enumerate(top):
         counts[i] = r.c
-    known = words.select("block", "idx", "word", "suffix").join(vocabulary.select("word", "c"), "word", "left").select("block", "idx", "word", "suffix", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
-    sequences = blocks.select("block", "doc_ids", "train", "at", "seq")
+    # Words that no training text has keep the count 0.
+    known = words.select("place", "word").join(vocabulary.select("word", "c"), "word").select(
+        F.shiftright("place", 24).alias("block"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("idx"), "c")
+    sequences = blocks.select("block", "doc_ids", "train", "at", "low", "high", "names")
     coded = C.written(sequences.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_coded(total, distinct, ranks, sizes), _CODED_TYPE), "coded")
     model = first_guess(counts)
     some = [r.block for r in coded.select("block").orderBy(F.xxhash64("block"), "block").limit(WARM_BLOCKS).collect()]
