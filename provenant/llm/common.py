@@ -39,7 +39,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     ship_package(spark)
     path = scratch_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
