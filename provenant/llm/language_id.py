@@ -30,8 +30,8 @@ from provenant.llm import common as C
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
 WIDTH = 16
-TRAIN_ROWS = 6000
-EPOCHS = 12
+TRAIN_ROWS = 2500
+EPOCHS = 20
 RATE = 2.0
 REJECT = 0.0005
 UNKNOWN = "und"
@@ -130,12 +130,12 @@ def train(texts: DataFrame, key: str, text: str = "text", label: str = "lang", r
     names = sorted(set(got.column("lang").to_pylist()))
     if not names:
         return Model([], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 0.0)
-    content = got.column("buckets").to_pylist()
+    labels, content, shares = (got.column(c).to_pylist() for c in ("lang", "buckets", "weights"))
+    del got
     order = sorted(range(len(content)), key=content.__getitem__)
-    y = np.array([names.index(x) for x in got.column("lang").to_pylist()])[order]
-    ids = [np.frombuffer(x, dtype=np.uint16).astype(np.int64) for x in content]
-    share_ = [np.frombuffer(x, dtype=np.float32).astype(np.float64) for x in got.column("weights").to_pylist()]
-    ids, share_ = [ids[i] for i in order], [share_[i] for i in order]
+    y = np.array([names.index(labels[i]) for i in order])
+    ids = [np.frombuffer(content[i], dtype=np.uint16) for i in order]
+    share_ = [np.frombuffer(shares[i], dtype=np.float32) for i in order]
     rng = np.random.default_rng(7)
     embed, soft, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)), rng.normal(0, 0.1, (WIDTH, len(names))), np.zeros(len(names))
     back = max(1, len(y) // 6) if len(y) >= 12 else 0
