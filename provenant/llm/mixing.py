@@ -79,8 +79,10 @@ def document_rates(sizes: DataFrame) -> DataFrame:
         F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"),
         (F.col("target") >= MOST * F.col("source_size") * (1 - 1e-12)).alias("full"))
     state = C.written(state, "dual")
+    counted = counted.withColumnRenamed("source", "s")
+    few = state.count() * 96 <= C.BROADCAST_BYTES
     for _ in range(STEPS):
-        told = C.with_small(counted.withColumnRenamed("source", "s"), state, F.col("s").eqNullSafe(F.col("source")), "inner", 96)
+        told = counted.join(F.broadcast(state) if few else state, F.col("s").eqNullSafe(F.col("source")))
         x = F.col("size") / F.col("scale")
         rate = _rate(F.col("multiplier"), x)
         words = F.col("n") * F.col("size")
