@@ -209,7 +209,7 @@ def _leaves(sets: DataFrame, runs: int) -> DataFrame:
             agree = sizes.groupBy("parent").agg(F.sum(F.col("size").cast("double") * F.col("size")).alias("pairs"))
             alike = large.join(agree, large.path == agree.parent).where(f"pairs >= {DENSE} * {BRANCH} * size * size").select("path", "size", "mark")
             done.append((large_rows.join(alike.select("path", "size", "mark"), "path", "left_semi"), alike))
-            sizes = C.written(sizes.join(alike.select(F.col("path").alias("parent")), "parent", "left_anti"), "sizes")
+            sizes = sizes.join(alike.select(F.col("path").alias("parent")), "parent", "left_anti")
         stop = sizes if level == DEPTH else sizes.where(F.col("size") <= SMALL)
         done.append((members, stop.select("path", "size", "mark")))
         if level == DEPTH:
@@ -217,7 +217,8 @@ def _leaves(sets: DataFrame, runs: int) -> DataFrame:
         large = sizes.where(F.col("size") > SMALL).select("path", "size", "mark")
         if not large.limit(1).count():
             break
-        large_rows = C.written(members.join(large, "path").join(sets.select("set_id", "sig"), "set_id").select("path", "set_id", "sig"), "large")
+        large = C.written(large, "large")
+        large_rows = C.written(members.join(large, "path").join(sets.select("set_id", "sig"), "set_id").select("path", "set_id", "sig"), "rows")
         members = C.written(_children(large_rows), "paths")
     names = done[0][1]
     for _, more in done[1:]:
