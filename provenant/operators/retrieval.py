@@ -50,7 +50,10 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Cosine of two vectors; null for a zero or null vector. Vectors of
+    different lengths are an error of the run, not an empty answer."""
+    wrong = F.raise_error(F.lit("Embedding dimension does not match the retrieval schema")).cast("double")
+    return F.when(F.size(a) != F.size(b), wrong).otherwise(F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
 def dimension_guard(vectors: DataFrame, col: str, dimensions: int) -> None:
@@ -235,12 +238,18 @@ def ann_candidates(corpus: DataFrame, queries: DataFrame, min_score: float = MIN
     Euclidean distance <-> cosine) followed by an exact cosine rerank."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
-    c = corpus.select("chunk_id", "embedding", array_to_vector(F.col("embedding")).alias("features"))
-    q = queries.select("query_id", F.col("embedding").alias("q_embedding"),
+    c = corpus.select("chunk_id", "embedding", "country", "project_id", "embedding_model",
+                      array_to_vector(F.col("embedding")).alias("features"))
+    q = queries.select("query_id", F.col("embedding").alias("q_embedding"), "country_filter", "project_filter",
+                       F.col("embedding_model").alias("q_model"),
                        array_to_vector(F.col("embedding")).alias("features"))
     lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                       numHashTables=num_tables, seed=seed).fit(c)
     threshold = math.sqrt(max(0.0, 2.0 - 2.0 * min_score)) + 1e-9
     pairs = lsh.approxSimilarityJoin(F.broadcast(q), c, threshold, distCol="distance")
+    a, b = (lambda n: F.col(f"datasetA.{n}")), (lambda n: F.col(f"datasetB.{n}"))
+    pairs = pairs.where((b("embedding_model") == a("q_model"))
+                        & (a("country_filter").isNull() | (F.lower(b("country")) == F.lower(a("country_filter"))))
+                        & (a("project_filter").isNull() | (b("project_id") == a("project_filter"))))
     return pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"),
                         cosine(F.col("datasetB.embedding"), F.col("datasetA.q_embedding")).alias("retrieval_score"))

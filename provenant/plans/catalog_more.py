@@ -11,7 +11,7 @@ from ..operators import curate, enrichment, evidence, retrieval, review
 from ..sources import adapters
 from ..sources.tables import read_table
 from .catalog import ISSUE_OUT, ing, register
-from .oracle import RUN_ID
+from .oracle import AWARD_HASH, NOTICE_HASH, RUN_ID
 
 # =============================================================================== 2.4 joins
 
@@ -271,13 +271,16 @@ def q_disposition_counts(spark, sf):
         .select("run_id", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in ("quarantined", "rejected")])
 
 
+_READ_SQL = "((SELECT count(*) FROM raw_notice) + (SELECT count(*) FROM raw_award))"
+_LOADED_SQL = "((SELECT count(*) FROM loaded_notice) + (SELECT count(*) FROM loaded_award))"
 _ACCOUNTING_SQL = """
-SELECT '{run}' AS run_id, sum(n) AS records_read, sum(n) FILTER (WHERE disposition = 'loaded') AS loaded,
+SELECT '{run}' AS run_id, {read} AS records_read, sum(n) FILTER (WHERE disposition = 'loaded') AS loaded,
        sum(n) FILTER (WHERE disposition = 'quarantined') AS quarantined,
        sum(n) FILTER (WHERE disposition = 'rejected') AS rejected,
-       sum(n) AS accounted, CAST(0 AS BIGINT) AS balance_delta, 'balanced' AS reconciliation_status
+       sum(n) AS accounted, CAST({read} - sum(n) AS BIGINT) AS balance_delta,
+       CASE WHEN {read} = sum(n) THEN 'balanced' ELSE 'unbalanced' END AS reconciliation_status
 FROM routing
-""".format(run=RUN_ID)
+""".format(run=RUN_ID, read=_READ_SQL)
 
 
 @register("record_accounting", _ACCOUNTING_SQL)
@@ -425,8 +428,7 @@ def q_query_log(spark, sf):
 def q_ann_recall(spark, sf, k: int = 8):
     """Recall of the LSH approximate search against exact top-k, per query."""
     qs = labelled_queries(spark, sf)
-    exact = retrieval.semantic_search_batch(corpus(spark, sf), qs.withColumn("country_filter", F.lit(None).cast("string")),
-                                            k=k).select("query_id", "chunk_id")
+    exact = retrieval.semantic_search_batch(corpus(spark, sf), qs, k=k).select("query_id", "chunk_id")
     approx = q_ann_search(spark, sf, k).select("query_id", "chunk_id")
     hits = exact.join(approx, ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     totals = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
@@ -561,11 +563,11 @@ def _build_evidence_parts(spark, sf):
 
 
 _GATE_SQL = {
-    "REC-001": "true",
-    "REC-002": "true",
-    "QUA-001": "true",
-    "MAP-001": "true",
-    "INT-001": "true",
+    "REC-001": f"{_READ_SQL} = {_LOADED_SQL} + (SELECT count(*) FROM dispositions)",
+    "REC-002": f"{_LOADED_SQL} = (SELECT sum(n) FILTER (WHERE disposition = 'loaded') FROM routing)",
+    "QUA-001": "(SELECT count(*) FROM dispositions) = (SELECT sum(n) FILTER (WHERE disposition <> 'loaded') FROM routing)",
+    "MAP-001": f"(SELECT count(*) FROM (VALUES ('{NOTICE_HASH}'), ('{AWARD_HASH}')) m(h) WHERE length(h) = 64) = {EXPECTED_CONTRACTS}",
+    "INT-001": f"(SELECT count(*) FROM ({_KEYS_SQL})) > 0",
     "ERR-001": "(SELECT count(*) FROM dispositions WHERE disposition = 'rejected') = 0",
 }
 for _gid in _GATE_SQL:
@@ -588,8 +590,8 @@ def q_acceptance_status(spark, sf):
 
 
 @register("migration_evidence", _ACCOUNTING_SQL.replace(
-    "'balanced' AS reconciliation_status",
-    "'balanced' AS reconciliation_status, CASE WHEN sum(n) FILTER (WHERE disposition = 'rejected') = 0 THEN "
+    "AS reconciliation_status",
+    "AS reconciliation_status, CASE WHEN sum(n) FILTER (WHERE disposition = 'rejected') = 0 THEN "
     "'accepted_with_quarantine' ELSE 'blocked' END AS acceptance_status"))
 def q_migration_evidence(spark, sf):
     i, acc, runs, maps, g = _evidence_parts(spark, sf)
@@ -598,17 +600,18 @@ def q_migration_evidence(spark, sf):
                      "reconciliation_status", "acceptance_status")
 
 
+_QUERYABLE_SQL = (f"{_LOADED_SQL} > 0 AND (SELECT count(*) FROM notices) + (SELECT count(*) FROM awards) >= {_LOADED_SQL}")
+
+
 def _uat(spark, sf):
     i, acc, runs, maps, g = _evidence_parts(spark, sf)
     ev = evidence.migration_evidence(acc, g, maps, i.run_at)
-    return evidence.uat_results(ev, maps, i.dispositions(), i.notices(), i.awards(), evidence.loaded_keys(i))
+    return evidence.uat_results(ev, maps, i.dispositions(), i.notices(), i.awards())
 
 
 for _n, (_sid, _sql_pass) in enumerate([
-        ("UAT-001", "true"), ("UAT-002", "true"), ("UAT-003", "true"),
-        ("UAT-004", "(SELECT count(*) FROM notices) + (SELECT count(*) FROM awards) >= "
-                    "(SELECT count(DISTINCT notice_id) FROM loaded_notice) + "
-                    "(SELECT count(DISTINCT award_id) FROM loaded_award)")], start=1):
+        ("UAT-001", _GATE_SQL["REC-001"]), ("UAT-002", _GATE_SQL["MAP-001"]), ("UAT-003", _GATE_SQL["QUA-001"]),
+        ("UAT-004", _QUERYABLE_SQL)], start=1):
     _key = "uat00%d_" % _n + ["reconciled", "contracts", "traceability", "queryable"][_n - 1]
 
     def _mk_uat(sid):
@@ -626,8 +629,8 @@ cmds AS (
   SELECT printf('REV-%05d', user_id) AS case_id, user_id AS validation_result_id, ts AS cmd_ts, event_id AS cmd_seq,
          'reviewer-' || CAST(user_id % 7 AS VARCHAR) AS actor,
          CASE event_type WHEN 'signup' THEN 'assign' WHEN 'view' THEN 'start' WHEN 'click' THEN 'accept'
-              WHEN 'purchase' THEN 'reject_record' WHEN 'error' THEN 'accept_short' END AS command
-  FROM events WHERE event_type IN ('signup', 'view', 'click', 'purchase', 'error')
+              WHEN 'purchase' THEN 'reject_record' WHEN 'error' THEN 'accept_short' ELSE 'unknown' END AS command
+  FROM events
 ),
 c0 AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY cmd_ts, cmd_seq) AS rn FROM cmds),
 c1 AS (
@@ -798,9 +801,8 @@ def q_latest_run(spark, sf):
     return ev.agg(F.max_by("run_id", F.struct("generated_at", "run_id")).alias("run_id"))
 
 
-_UAT_STATUS_SQL = ("CASE WHEN (SELECT count(*) FROM notices) + (SELECT count(*) FROM awards) >= "
-                   "(SELECT count(DISTINCT notice_id) FROM loaded_notice) + (SELECT count(DISTINCT award_id) FROM loaded_award) "
-                   "THEN 'passed' ELSE 'failed' END")
+_UAT_STATUS_SQL = ("CASE WHEN " + " AND ".join([_GATE_SQL["REC-001"], _GATE_SQL["MAP-001"], _GATE_SQL["QUA-001"], _QUERYABLE_SQL])
+                   + " THEN 'passed' ELSE 'failed' END")
 UAT_EXECUTION_ID = "UAT-000000000001"
 
 
@@ -846,7 +848,7 @@ def q_uat_sign_off(spark, sf):
 
 
 @register("release_readiness", _REVIEW_SQL +
-          ", rr AS (SELECT TRUE AS reconciled, TRUE AS validated, "
+          f", rr AS (SELECT {_GATE_SQL['REC-001']} AS reconciled, TRUE AS validated, "
           "(SELECT bool_and(status IN ('resolved', 'rejected')) FROM case_state) AS exceptions_disposed, "
           "(SELECT coalesce(bool_and(status NOT IN ('resolved', 'rejected') OR decided_at IS NOT NULL), TRUE) "
           " FROM case_state) AS audit_complete, TRUE AS rollback_evidence, "

@@ -37,6 +37,8 @@ class Ingestion:
     existing: dict = field(default_factory=dict)
     run_seq: int = 1
     project_url_prefix: str = DEFAULT_PROJECT_URL_PREFIX
+    source_notices: DataFrame | None = None
+    source_awards: DataFrame | None = None
 
     # ---- routed records --------------------------------------------------------------
     def loaded_notices(self) -> DataFrame:
@@ -90,6 +92,12 @@ class Ingestion:
         return (quality.dispositions(self.classified_notices, self.run_at)
                 .unionByName(quality.dispositions(self.classified_awards, self.run_at)))
 
+    def source_counts(self) -> DataFrame:
+        """(record_type, n) of the records as read, before anything was done to them."""
+        n = self.source_notices.agg(F.lit("notice").alias("record_type"), F.count(F.lit(1)).alias("n"))
+        a = self.source_awards.agg(F.lit("award").alias("record_type"), F.count(F.lit(1)).alias("n"))
+        return n.unionByName(a)
+
     def routing_counts(self) -> DataFrame:
         """(record_type, disposition, n): the only numbers accounting needs."""
         cols = ["record_type", "disposition"]
@@ -120,7 +128,8 @@ def build_ingestion(spark: SparkSession, raw_notices: DataFrame, raw_awards: Dat
     elif persist:
         cn = cn.persist(StorageLevel.MEMORY_AND_DISK)
         ca = ca.persist(StorageLevel.MEMORY_AND_DISK)
-    return Ingestion(run_id, run_at, cn, ca, notice_version, award_version, existing or {}, run_seq)
+    return Ingestion(run_id, run_at, cn, ca, notice_version, award_version, existing or {}, run_seq,
+                     source_notices=raw_notices, source_awards=raw_awards)
 
 
 def adapter_ingestion(spark: SparkSession, sf_dir: str, **kwargs) -> Ingestion:

@@ -8,7 +8,7 @@ chain of CTEs over the pre-registered driver views. Each oracle query is
 from __future__ import annotations
 
 from ..config import CONTROL_CATALOG, DEFAULT_AWARDS_URL, DEFAULT_PROJECT_URL_PREFIX
-from ..operators.contracts import load_contract
+from ..operators.contracts import contract
 
 RUN_ID = "run-0001"
 
@@ -41,10 +41,10 @@ def _catalog_values() -> str:
     return f"(VALUES {rows}) AS t(control_id, name, severity, recommended_handling)"
 
 
-NOTICE_HASH = load_contract("procurement_notice")["sha256"]
-NOTICE_VERSION = load_contract("procurement_notice")["version"]
-AWARD_HASH = load_contract("contract_award")["sha256"]
-AWARD_VERSION = load_contract("contract_award")["version"]
+NOTICE_HASH = contract("procurement_notice").sha256
+NOTICE_VERSION = contract("procurement_notice").version
+AWARD_HASH = contract("contract_award").sha256
+AWARD_VERSION = contract("contract_award").version
 
 PRELUDE = f"""
 WITH
@@ -64,7 +64,7 @@ raw_notice AS (
   SELECT
     vid AS id,
     CASE WHEN k % 23 = 0 THEN NULL WHEN k % 23 = 1 THEN '12'
-         ELSE ' p' || lpad(CAST(100000 + o_custkey AS VARCHAR), 6, '0') || ' ' END AS project_id,
+         ELSE ' p' || CAST(100000 + o_custkey AS VARCHAR) || ' ' END AS project_id,
     CASE WHEN k % 29 = 0 THEN NULL WHEN k % 211 = 2 THEN '   '
          ELSE '  Supply lot ' || o_orderpriority || ' ' END AS bid_description,
     CASE WHEN k % 31 = 0 THEN NULL ELSE n_name END AS country_name,
@@ -85,7 +85,8 @@ raw_award AS (
   SELECT
     CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) AS contr_id,
     CASE WHEN l.l_orderkey % 17 = 0 THEN 'bad'
-         ELSE 'P' || lpad(CAST(100000 + o.o_custkey AS VARCHAR), 6, '0') END AS projectid,
+         WHEN o.o_custkey % 3 = 0 THEN 'unassigned'
+         ELSE 'P' || CAST(100000 + o.o_custkey AS VARCHAR) END AS projectid,
     p.p_name AS contr_desc, n.n_name AS countryshortname, c.c_mktsegment AS procurement_group_desc,
     CASE WHEN l.l_partkey % 19 = 0 THEN CAST([] AS VARCHAR[]) ELSE [s.s_name] END AS supp_name,
     CASE WHEN l.l_partkey % 43 = 0 THEN '' WHEN l.l_partkey % 101 = 0 THEN 'abc'
@@ -101,7 +102,6 @@ raw_award AS (
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN part p ON l.l_partkey = p.p_partkey
   JOIN supplier s ON l.l_suppkey = s.s_suppkey
-  WHERE o.o_custkey % 3 <> 0
 ),
 n_std AS (
   SELECT r.*,

@@ -2,9 +2,11 @@
 
 Layout under ``out_dir`` (a shared folder on a cluster):
 
-* ``raw/<feed>/run_id=<id>``: the landed snapshot, written once (a replay reuses it)
+* ``raw/<feed>/run_id=<id>``: the landed snapshot, written once; it is the run's
+  only input, so a replay classifies, counts and hashes the same records
 * ``curated/<table>/v=<run_seq>``: versions of notices, awards, projects; each run
-  upserts into the previous version, so a replayed run rewrites its own version
+  upserts into the highest committed version below its own, so a replayed run
+  rewrites its own version and a gap in the sequence loses nothing
 * ``ledgers/<ledger>/run_id=<id>``: issues, dispositions, mapping executions,
   run ledger and evidence, partition-overwritten per run (idempotent on replay)
 * ``derived/<table>``: features and chunks, rebuilt (overwrite) from the
@@ -34,6 +36,35 @@ def _has_version(spark: SparkSession, path: str) -> bool:
     return fs.exists(hpath)
 
 
+def _complete(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` was committed (its marker file is there)."""
+    return _has_version(spark, f"{path}/_SUCCESS")
+
+
+def _versions_below(spark: SparkSession, root: str, run_seq: int) -> list[int]:
+    if not _has_version(spark, root):
+        return []
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(root)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(hpath)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and int(n[2:]) < run_seq
+                  and _complete(spark, f"{root}/{n}"))
+
+
+def base_version(spark: SparkSession, out: str, run_seq: int) -> int | None:
+    """The highest version below ``run_seq`` that all curated tables have. A
+    table with history that lacks it is an error, never an empty base."""
+    have = {t: _versions_below(spark, f"{out}/curated/{t}", run_seq) for t in CURATED}
+    if not any(have.values()):
+        return None
+    top = max(v[-1] for v in have.values() if v)
+    missing = [t for t in CURATED if top not in have[t]]
+    if missing:
+        raise RuntimeError(f"curated version {top} is incomplete: {', '.join(missing)} missing")
+    return top
+
+
 def _write_partition(df: DataFrame, root: str, run_id: str) -> None:
     df.drop("run_id").write.mode("overwrite").parquet(f"{root}/run_id={run_id}")
 
@@ -45,13 +76,15 @@ def run_migration(spark: SparkSession, raw_notices: DataFrame, raw_awards: DataF
     raw_path = f"{out}/raw"
     for feed, df in (("notices", raw_notices), ("awards", raw_awards)):
         path = f"{raw_path}/{feed}/run_id={run_id}"
-        if not _has_version(spark, path):
-            df.select("ingest_seq", "raw_json").write.mode("errorifexists").parquet(path)
+        if not _complete(spark, path):  # a half-written landing is written anew
+            df.write.mode("overwrite").parquet(path)
+    raw_notices = spark.read.schema(raw_notices.schema).parquet(f"{raw_path}/notices/run_id={run_id}")
+    raw_awards = spark.read.schema(raw_awards.schema).parquet(f"{raw_path}/awards/run_id={run_id}")
     # 2. classify once, materialized in the checkpoint folder
     existing = {}
-    prev = f"{out}/curated/%s/v={run_seq - 1}"
-    if run_seq > 1 and _has_version(spark, prev % "notices"):
-        existing = {t: spark.read.parquet(prev % t) for t in CURATED}
+    base = base_version(spark, out, run_seq)
+    if base is not None:
+        existing = {t: spark.read.parquet(f"{out}/curated/{t}/v={base}") for t in CURATED}
     ing = build_ingestion(spark, raw_notices, raw_awards, run_id=run_id, run_at=run_at, run_seq=run_seq,
                           existing=existing, materialize=True)
     # 3. curated versions

@@ -26,11 +26,18 @@ DEFAULT_CONF = {
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "provenant", extra: dict | None = None) -> SparkSession:
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
+    """A session with these defaults. A submitted master stands; without one the
+    job is a local run. Partitions are set only where the caller names them."""
+    builder = SparkSession.builder.appName(app_name)
     conf = dict(DEFAULT_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
-    conf.setdefault("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
+    submitted = os.environ.get("MASTER") or "--master" in os.environ.get("PYSPARK_SUBMIT_ARGS", "")
+    if master or not submitted:
+        cpus = os.environ.get("BENCH_CPUS", "8")
+        builder = builder.master(master or f"local[{cpus}]")
+        conf["spark.driver.memory"] = os.environ.get("SPARK_DRIVER_MEMORY", "16g")
+        shuffle_partitions = shuffle_partitions or (None if master else int(cpus))
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -51,6 +58,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="provenant-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

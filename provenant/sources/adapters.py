@@ -31,7 +31,9 @@ AMEND_OFFSET = 2_000_000_000
 
 
 def _project_code(custkey) -> F.Column:
-    return F.lpad((F.lit(100000) + custkey).cast("string"), 6, "0")
+    """Six digits; longer numbers stay whole, so they fail the format control
+    instead of meeting another customer's id."""
+    return (F.lit(100000) + custkey).cast("string")
 
 
 def raw_json_of(*names: str) -> F.Column:
@@ -91,7 +93,7 @@ def raw_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_name")
     supplier = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
-    base = (li.join(orders.filter(F.col("o_custkey") % 3 != 0), F.col("l_orderkey") == F.col("o_orderkey"))
+    base = (li.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .join(customer, F.col("o_custkey") == F.col("c_custkey"))
             .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -100,6 +102,7 @@ def raw_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = base.select(
         F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("contr_id"),
         F.when(F.col("l_orderkey") % 17 == 0, F.lit("bad"))
+        .when(F.col("o_custkey") % 3 == 0, F.lit("unassigned"))
         .otherwise(F.concat(F.lit("P"), _project_code(F.col("o_custkey")))).alias("projectid"),
         F.col("p_name").alias("contr_desc"),
         F.col("n_name").alias("countryshortname"),
@@ -136,7 +139,8 @@ def review_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = spread(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"), "event_id")
     cmd = F.col("event_type")
     mapping = F.create_map(*[x for kv in EVENT_COMMANDS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    command = mapping[cmd]
+    # an event of an unknown type stays in the log and is refused like any command without effect
+    command = F.coalesce(mapping[cmd], F.lit("unknown"))
     actor = F.concat(F.lit("reviewer-"), (F.col("user_id") % 7).cast("string"))
     return ev.select(
         F.format_string("REV-%05d", F.col("user_id")).alias("case_id"),
@@ -145,10 +149,10 @@ def review_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("cmd_seq"),
         actor.alias("actor"),
         command.alias("command"),
-        F.when(command == "start", F.lit("in_review")).alias("status"),
+        F.when(command == "start", F.lit("in_review")).when(command == "unknown", F.lit("unknown")).alias("status"),
         F.when(command == "assign", actor).alias("assigned_to"),
         F.when(command.isin("accept", "accept_short"), F.lit("accept_exception"))
         .when(command == "reject_record", F.lit("reject_record")).alias("resolution"),
         F.when(command.isin("accept", "reject_record"), F.lit(LONG_RATIONALE))
         .when(command == "accept_short", F.lit(SHORT_RATIONALE)).alias("rationale"),
-    ).filter(F.col("command").isNotNull())
+    )

@@ -2,9 +2,11 @@
 
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
-from provenant.plans.run import read_sink, run_from_tables
+from provenant.plans.run import base_version, read_sink, run_from_tables, run_migration
+from provenant.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,3 +31,22 @@ def test_replayed_runs_are_idempotent(spark):
     assert read_sink(spark, out, "issues").filter(F.col("run_id") == "run-2").count() == \
         read_sink(spark, out, "issues").filter(F.col("run_id") == "run-1").count()
     assert read_sink(spark, out, "notices").count() == first["notices"]
+
+
+def test_a_gap_in_the_run_sequence_keeps_history(spark):
+    out = tempfile.mkdtemp(prefix="provenant-run-", dir="/tmp")
+    run_from_tables(spark, SF, out, "run-1", 1)
+    before = read_sink(spark, out, "notices").count()
+    few, some = adapters.raw_notices(spark, SF).limit(10), adapters.raw_awards(spark, SF).limit(10)
+    run_migration(spark, few, some, out, "run-3", 3)
+    assert read_sink(spark, out, "notices").count() == before
+    runs = {r["run_id"]: r["records_read"] for r in read_sink(spark, out, "runs").collect()}
+    assert runs["run-3"] == 20
+
+
+def test_history_without_its_base_is_an_error(spark):
+    out = tempfile.mkdtemp(prefix="provenant-run-", dir="/tmp")
+    spark.range(1).write.parquet(f"{out}/curated/notices/v=1")
+    with pytest.raises(RuntimeError, match="incomplete"):
+        base_version(spark, out, 2)
+    assert base_version(spark, out, 1) is None
