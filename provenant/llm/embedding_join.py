@@ -1,12 +1,14 @@
 """Embedding near-duplicates: an exact metric range join over pivot cells.
 
 Unit vectors with cosine >= c lie within e = sqrt(2 - 2c) of each other. Pivots are a bounded
-sample of the distinct vectors (``PIVOTS`` a label at most, ``ALL_PIVOTS`` in all); a vector's home
+sample of the distinct vectors (one for ``CELL`` vectors of a label, ``PIVOTS`` a label and ``ALL_PIVOTS`` in all
+at most: where vectors lie too far apart for the bounds to prune, each cell holds most vectors of its label, and more
+cells would only be more copies); a vector's home
 is its nearest pivot of its label. By the triangle inequality a vector within e of x whose home
 is h has d(x, h) <= d(x, home of x) + 2e, and d(x, h) <= r(h) + e where r(h) is the farthest
 home distance of cell h: x is copied to the cells that satisfy both. All links of a home vector
 are then in its own cell, so cells join independently and nothing is found twice. A cell is
-compared in blocks of ``BLOCK`` vectors, so a crowded cell is many tasks, and a comparison
+compared in blocks of ``BLOCK`` home vectors by ``BLOCK`` vectors, so a crowded cell is many tasks, and a comparison
 returns one row a vector, never its pairs.
 
 Equal vectors of one label are one point with a count, so copies never meet each other.
@@ -31,7 +33,8 @@ COSINE = 0.93
 # Bounds of the pivots, which every task holds.
 PIVOTS = 48
 ALL_PIVOTS = 4096
-BLOCK = 512
+CELL = 2048
+BLOCK = 1024
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -100,9 +103,8 @@ KEYS = ["label", "dim", "cell", "i", "j"]
 def _compare(cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in C.sorted_groups(batches, KEYS):
-            block, own = group.column("block").to_numpy(), group.column("own").to_numpy()
-            i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
-            left, right = np.flatnonzero((block == i) & (group.column("side").to_numpy() == 0) & own), np.flatnonzero((block == j) & (group.column("side").to_numpy() == 1))
+            side = group.column("side").to_numpy()
+            left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
             if not len(left) or not len(right):
                 continue
             unit, point, cnt = _units(group.column("unit")), group.column("point").to_numpy(), group.column("cnt").to_numpy()
@@ -126,10 +128,12 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     """One row per vector: vec_id, n_links (other vectors of its label at the cosine or above),
     component_id (smallest vec_id reachable, itself included), kept (vec_id = component_id)."""
     spark = vectors.sparkSession
-    vectors = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"), F.col(label).cast("long").alias("label"))
+    # Float components travel as they are; every distance and cosine is taken in double precision.
+    kept = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    vectors = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kept).alias("v"), F.col(label).cast("long").alias("label"))
     sound = F.coalesce(F.col("label").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
     # -0.0 and 0.0 are one value; the vector's hash names the point and the vector itself decides.
-    same = F.transform("v", lambda x: x + F.lit(0.0))
+    same = F.transform("v", lambda x: F.when(x == 0, F.abs(x)).otherwise(x))
     known = vectors.withColumn("sound", sound).withColumn("v", F.when(F.col("sound"), same))
     tagged = C.written(known.select("vec_id", "label", "sound", "v", F.when(F.col("sound"), F.xxhash64("label", "v")).alias("point")), "vectors")
     points = C.written(tagged.where("sound").groupBy("point", "label", F.col("v").alias("unit")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("cnt"))
@@ -137,22 +141,28 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     kinds = points.groupBy("label", "dim").agg(F.count("*").alias("n")).where("n > 1").orderBy("label", "dim").limit(ALL_PIVOTS)
     most = max(1, min(PIVOTS, ALL_PIVOTS // max(1, kinds.count())))
     share = points.join(F.broadcast(kinds), ["label", "dim"]).where(F.pmod(F.xxhash64("point", F.lit(3)), F.ceil(F.col("n") / (2 * most))) == 0)
-    ranked = share.withColumn("p", F.expr("row_number() over (partition by label, dim order by xxhash64(point, 3), point)")).where(F.col("p") <= most)
+    ranked = share.withColumn("p", F.expr("row_number() over (partition by label, dim order by xxhash64(point, 3), point)")).where((F.col("p") <= most) & (F.col("p") <= F.ceil(F.col("n") / CELL)))
     pivots: dict[tuple[int, int], list] = {}
     for row in ranked.select("label", "dim", "unit").limit(ALL_PIVOTS).toArrow().to_pylist():
         pivots.setdefault((row["label"], row["dim"]), []).append(row["unit"])
     chosen = {k: _units(pa.array(v)) for k, v in pivots.items()}
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-    kind = "label long, dim int, point long, cnt long, unit array<double>"
+    kind = "label long, dim int, point long, cnt long, unit " + kept
     homes = C.written(points.select("label", "dim", "point", "cnt", "unit").mapInArrow(_home(chosen), kind + ", home int, far double"), "homes")
     radius = {(r.label, r.dim, r.home): r.far for r in homes.groupBy("label", "dim", "home").agg(F.max("far").alias("far")).limit(ALL_PIVOTS * 2).collect()}
     cells = C.written(homes.mapInArrow(_copies(chosen, radius, reach), kind + ", cell int, own boolean"), "cells")
-    sizes = cells.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = C.with_small(cells, sizes, ["label", "dim", "cell"], "inner", 24).withColumn("block", F.expr("cast(pmod(xxhash64(point, 5), blocks) as int)"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = placed.where("own").withColumn("side", F.lit(0)).withColumn("j", every).withColumn("i", F.col("block"))
-    right = placed.withColumn("side", F.lit(1)).withColumn("i", every).withColumn("j", F.col("block"))
-    names = [*KEYS, "block", "side", "own", "point", "cnt", "unit"]
+    blocks = [F.ceil(F.count(x) / BLOCK).cast("int").alias(name) for x, name in ((F.when(F.col("own"), 1), "homes"), (F.lit(1), "alls"))]
+    placed = C.with_small(cells, cells.groupBy("label", "dim", "cell").agg(*blocks).where("homes > 0"), ["label", "dim", "cell"], "inner", 32)
+
+    def block(of):
+        return F.expr(f"cast(pmod(xxhash64(point, 5), {of}) as int)")
+
+    def every(of):
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    left = placed.where("own").withColumn("side", F.lit(0)).withColumn("i", block("homes")).withColumn("j", every("alls"))
+    right = placed.withColumn("side", F.lit(1)).withColumn("j", block("alls")).withColumn("i", every("homes"))
+    names = [*KEYS, "side", "point", "cnt", "unit"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     found = C.written(left.select(names).unionByName(right.select(names)).repartition(tasks, *KEYS).sortWithinPartitions(*KEYS)
                       .mapInArrow(_compare(cosine), "point long, links long, root long"), "links")
