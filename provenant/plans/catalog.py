@@ -219,7 +219,7 @@ def q_path_resolve(spark, sf):
                                           F.col("regionname").alias("region")).alias("country")).alias("location"))
     paths = {"country": "location.country.name", "region": "location.country.region",
              "missing": "location.country.name.deeper", "constant_value": "$constant.marker"}
-    cols = [contracts._resolve(nested, p, {}, {"marker": "fixed"}, "raw_json")[0].cast("string").alias(k)
+    cols = [contracts.SourcePath.parse(p).column(nested, {}, {"marker": "fixed"}, "raw_json")[0].cast("string").alias(k)
             for k, p in paths.items()]
     return nested.select(F.col("contr_id").alias("award_id"), "ingest_seq", *cols)
 
