@@ -62,8 +62,10 @@ def main() -> None:
           lambda: run(retrieval.semantic_search_batch(corpus(spark, sf_dir), labelled_queries(spark, sf_dir))))
 
     def rv():
-        cmds = adapters.review_commands(spark, sf_dir)
-        run(review.current_state(review.open_cases(cmds), review.evaluate_commands(cmds)))
+        issues = ing.issues()
+        requests, cmds = adapters.review_inputs(spark, sf_dir, issues)
+        cases = review.open_cases(requests, issues)
+        run(review.current_state(cases, review.evaluate_commands(cmds, cases)))
     timed("review_state", rv)
 
     total = round(sum(times.values()), 3)

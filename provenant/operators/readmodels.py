@@ -25,15 +25,26 @@ def notice_search(notices: DataFrame, country: str | None = None, project_id: st
     return d.limit(limit)
 
 
+# the fields a reviewer's free text is looked up in
+QUEUE_FIELDS = ["case_id", "record_id", "project_id", "country", "control_id", "title", "assigned_to"]
+
+
+def review_queue(state: DataFrame, issues: DataFrame, notices: DataFrame) -> DataFrame:
+    """Cases with their validation result and, if it was loaded, its notice."""
+    i = issues.select(F.col("issue_id").alias("validation_result_id"), "control_id", "record_type", "record_id")
+    n = notices.select(F.lit("notice").alias("record_type"), F.col("notice_id").alias("record_id"), "project_id", "country",
+                       "title")
+    return state.join(i, "validation_result_id").join(n, ["record_type", "record_id"], "left")
+
+
 def review_queue_filter(state: DataFrame, text: str = "", status: str = "all", priority: str = "all",
                         owner: str = "all") -> DataFrame:
-    """Free text over the case fields plus status class, priority and ownership."""
+    """Free text over ``QUEUE_FIELDS`` of a :func:`review_queue` plus status class, priority and ownership."""
     search = text.strip().lower()
     complete = F.col("status").isin("resolved", "rejected")
     cond = F.lit(True)
     if search:
-        fields = F.concat_ws(" ", "case_id", F.col("validation_result_id").cast("string"), "assigned_to")
-        cond = cond & F.lower(fields).contains(search)
+        cond = cond & F.lower(F.concat_ws(" ", *QUEUE_FIELDS)).contains(search)
     if status == "open":
         cond = cond & ~complete
     elif status == "complete":

@@ -626,20 +626,27 @@ for _n, (_sid, _sql_pass) in enumerate([
 
 _REVIEW_SQL = """,
 cmds AS (
-  SELECT printf('REV-%05d', user_id) AS case_id, user_id AS validation_result_id, ts AS cmd_ts, event_id AS cmd_seq,
+  SELECT printf('REV-%05d', user_id) AS case_id, CAST(user_id AS VARCHAR) AS record_id, ts AS cmd_ts, event_id AS cmd_seq,
          'reviewer-' || CAST(user_id % 7 AS VARCHAR) AS actor,
          CASE event_type WHEN 'signup' THEN 'assign' WHEN 'view' THEN 'start' WHEN 'click' THEN 'accept'
               WHEN 'purchase' THEN 'reject_record' WHEN 'error' THEN 'accept_short' ELSE 'unknown' END AS command
   FROM events
 ),
 c0 AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY cmd_ts, cmd_seq) AS rn FROM cmds),
+requested AS (SELECT record_id, min(issue_id) AS validation_result_id FROM issues WHERE record_type = 'notice' GROUP BY record_id),
+cases AS (
+  SELECT c.case_id, r.validation_result_id, CASE WHEN c.command = 'assign' THEN 'assigned' ELSE 'open' END AS opened_as,
+         CASE WHEN c.command = 'assign' THEN c.actor END AS opened_for, c.actor AS opened_by, c.cmd_ts AS created_at
+  FROM c0 c JOIN requested r USING (record_id) WHERE c.rn = 1
+),
 c1 AS (
-  SELECT *,
+  SELECT c0.*, k.opened_as, k.opened_for,
     max(CASE WHEN command = 'start' THEN rn END) OVER w AS last_set,
     max(CASE WHEN command = 'assign' THEN rn END) OVER w AS last_assign
-  FROM c0 WINDOW w AS (PARTITION BY case_id ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  FROM c0 LEFT JOIN cases k ON k.case_id = c0.case_id WHERE c0.rn > 1 WINDOW w AS (PARTITION BY c0.case_id ORDER BY c0.rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ),
-c2 AS (SELECT *, command IN ('accept', 'reject_record') AND last_assign IS NOT NULL AS eligible FROM c1),
+c2 AS (SELECT *, command IN ('accept', 'reject_record') AND opened_as IS NOT NULL
+       AND (last_assign IS NOT NULL OR opened_for IS NOT NULL) AS eligible FROM c1),
 c3 AS (
   SELECT *, max(CASE WHEN eligible THEN rn END) OVER (PARTITION BY case_id ORDER BY rn
             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_elig FROM c2
@@ -652,27 +659,34 @@ c5 AS (
   SELECT *, CASE WHEN success THEN outcome WHEN command = 'start' THEN 'in_review' END AS new_status FROM c4
 ),
 c6 AS (
-  SELECT *, coalesce(last_value(new_status IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY rn
-            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'open') AS from_status FROM c5
+  SELECT *, CASE WHEN opened_as IS NOT NULL THEN coalesce(last_value(new_status IGNORE NULLS) OVER (PARTITION BY case_id ORDER BY rn
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), opened_as) END AS from_status FROM c5
 ),
 evaluated AS (
   SELECT *,
-    CASE WHEN command IN ('accept', 'reject_record', 'accept_short') AND from_status <> 'in_review'
+    CASE WHEN opened_as IS NULL THEN 'Review case not found'
+         WHEN command IN ('accept', 'reject_record', 'accept_short') AND from_status <> 'in_review'
            THEN 'Case must be in review before a decision'
-         WHEN command IN ('accept', 'reject_record', 'accept_short') AND last_assign IS NULL
+         WHEN command IN ('accept', 'reject_record', 'accept_short') AND last_assign IS NULL AND opened_for IS NULL
            THEN 'An assigned reviewer is required'
          WHEN command = 'accept_short' THEN 'Resolution rationale must be at least 20 characters' END AS error,
     CASE WHEN command IN ('accept', 'reject_record', 'accept_short') THEN outcome
          WHEN command = 'start' THEN 'in_review' ELSE from_status END AS next_status
   FROM c6
 ),
-cases AS (
-  SELECT case_id, validation_result_id, min(cmd_ts) AS created_at FROM cmds GROUP BY case_id, validation_result_id
+history AS (
+  SELECT case_id, 'case_created' AS event_type, created_at AS occurred_at, -2 AS seq, NULL AS from_status,
+         opened_as AS to_status FROM cases
+  UNION ALL SELECT case_id, 'assigned', created_at, -1, 'open', 'assigned' FROM cases WHERE opened_for IS NOT NULL
+  UNION ALL SELECT case_id, CASE WHEN command IN ('assign', 'start') THEN 'case_updated' ELSE 'decision_recorded' END,
+         cmd_ts, cmd_seq, from_status, next_status FROM evaluated WHERE error IS NULL
 ),
 case_state AS (
   SELECT c.case_id, c.validation_result_id,
-    coalesce((SELECT arg_max(next_status, rn) FROM evaluated e WHERE e.case_id = c.case_id AND e.error IS NULL), 'open') AS status,
-    (SELECT arg_max(actor, rn) FROM evaluated e WHERE e.case_id = c.case_id AND e.command = 'assign') AS assigned_to,
+    coalesce((SELECT arg_max(next_status, rn) FROM evaluated e WHERE e.case_id = c.case_id AND e.error IS NULL), c.opened_as) AS status,
+    greatest(c.created_at, (SELECT max(cmd_ts) FROM evaluated e WHERE e.case_id = c.case_id AND e.error IS NULL)) AS updated_at,
+    coalesce((SELECT arg_max(actor, rn) FROM evaluated e WHERE e.case_id = c.case_id AND e.command = 'assign'), c.opened_for)
+      AS assigned_to,
     (SELECT arg_max(CASE WHEN command = 'reject_record' THEN 'reject_record' ELSE 'accept_exception' END, rn)
        FROM evaluated e WHERE e.case_id = c.case_id AND e.error IS NULL AND e.command IN ('accept', 'reject_record')) AS resolution,
     (SELECT max(cmd_ts) FROM evaluated e WHERE e.case_id = c.case_id AND e.error IS NULL
@@ -682,17 +696,40 @@ case_state AS (
 """
 
 
+_CASES: dict = {}
+
+
+def _review_inputs(spark, sf):
+    """Requests, commands and cases; the requests and cases (a row per case)
+    are persisted once per session and tables folder, as every review query
+    reads them several times."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _CASES:
+        issues = ing(spark, sf).issues()
+        requests, cmds = adapters.review_inputs(spark, sf, issues)
+        requests = requests.persist()
+        _CASES[key] = (requests, cmds, review.open_cases(requests, issues).persist())
+    return _CASES[key]
+
+
 def _review(spark, sf):
-    cmds = adapters.review_commands(spark, sf)
-    cases = review.open_cases(cmds)
-    ev = review.evaluate_commands(cmds)
-    return cmds, cases, ev
+    _, cmds, cases = _review_inputs(spark, sf)
+    return cmds, cases, review.evaluate_commands(cmds, cases)
 
 
 @register("open_review_cases", _REVIEW_SQL +
-          "SELECT case_id, validation_result_id, 'open' AS status, 'medium' AS priority, created_at FROM cases")
+          "SELECT case_id, validation_result_id, opened_as AS status, 'medium' AS priority, opened_for AS assigned_to, "
+          "created_at FROM cases")
 def q_open_review_cases(spark, sf):
-    return review.open_cases(adapters.review_commands(spark, sf)).drop("assigned_to")
+    return _review_inputs(spark, sf)[2].drop("control_id", "opened_by", "opened_seq")
+
+
+@register("review_request_errors", _REVIEW_SQL +
+          "SELECT case_id, cmd_ts AS requested_at, actor, 'Validation result not found' AS error FROM c0 "
+          "WHERE rn = 1 AND record_id NOT IN (SELECT record_id FROM requested)")
+def q_review_request_errors(spark, sf):
+    requests = _review_inputs(spark, sf)[0]
+    return review.request_errors(requests, ing(spark, sf).issues()).drop("validation_result_id")
 
 
 @register("review_transitions", _REVIEW_SQL +
@@ -717,10 +754,7 @@ def q_review_current_state(spark, sf):
 
 
 @register("review_event_history", _REVIEW_SQL +
-          "SELECT case_id, 'case_created' AS event_type, created_at AS occurred_at, -1 AS seq, NULL AS from_status, "
-          "'open' AS to_status FROM cases UNION ALL SELECT case_id, CASE WHEN command = 'assign' OR command = 'start' "
-          "THEN 'case_updated' ELSE 'decision_recorded' END, cmd_ts, cmd_seq, from_status, next_status FROM evaluated "
-          "WHERE error IS NULL")
+          "SELECT case_id, event_type, occurred_at, seq, from_status, to_status FROM history")
 def q_review_event_history(spark, sf):
     _, cases, ev = _review(spark, sf)
     return review.event_history(cases, ev).select("case_id", "event_type", "occurred_at", "seq", "from_status",
@@ -729,9 +763,7 @@ def q_review_event_history(spark, sf):
 
 @register("event_transitions", _REVIEW_SQL +
           "SELECT case_id, seq, from_status, to_status, lag(to_status) OVER (PARTITION BY case_id ORDER BY occurred_at, seq) "
-          "AS previous_to_status FROM (SELECT case_id, created_at AS occurred_at, -1 AS seq, NULL AS from_status, "
-          "'open' AS to_status FROM cases UNION ALL SELECT case_id, cmd_ts, cmd_seq, from_status, next_status "
-          "FROM evaluated WHERE error IS NULL)")
+          "AS previous_to_status FROM history")
 def q_event_transitions(spark, sf):
     _, cases, ev = _review(spark, sf)
     t = review.event_transitions(review.event_history(cases, ev))
@@ -757,27 +789,30 @@ def q_review_queue_order(spark, sf):
         .orderBy("completed", "validation_result_id").select("case_id", "completed")
 
 
+QUEUE_TEXT = "nation_"
+
+
 @register("review_queue_filter", _REVIEW_SQL +
-          "SELECT case_id, status FROM case_state WHERE lower(concat_ws(' ', case_id, CAST(validation_result_id AS VARCHAR), "
-          "coalesce(assigned_to, ''))) LIKE '%reviewer-3%' AND status NOT IN ('resolved', 'rejected') "
-          "AND assigned_to IS NOT NULL")
+          "SELECT s.case_id, s.status FROM case_state s JOIN issues i ON i.issue_id = s.validation_result_id "
+          "LEFT JOIN notices n ON n.notice_id = i.record_id WHERE lower(concat_ws(' ', s.case_id, i.record_id, "
+          f"n.project_id, n.country, i.control_id, n.title, s.assigned_to)) LIKE '%{QUEUE_TEXT.replace('_', '~_')}%' ESCAPE '~' "
+          "AND s.status NOT IN ('resolved', 'rejected') AND s.assigned_to IS NOT NULL")
 def q_review_queue_filter(spark, sf):
-    from ..operators.readmodels import review_queue_filter
+    from ..operators.readmodels import review_queue, review_queue_filter
     _, cases, ev = _review(spark, sf)
-    st = review.current_state(cases, ev)
-    return review_queue_filter(st, text="reviewer-3", status="open", owner="assigned").select("case_id", "status")
+    i = ing(spark, sf)
+    queue = review_queue(review.current_state(cases, ev), i.issues(), i.notices())
+    return review_queue_filter(queue, text=QUEUE_TEXT, status="open", owner="assigned").select("case_id", "status")
 
 
 @register("review_list", _REVIEW_SQL +
           "SELECT s.case_id, s.status, i.control_id, i.severity, i.record_id FROM case_state s "
-          "JOIN issues i ON i.record_type = 'notice' AND i.record_id = CAST(s.validation_result_id AS VARCHAR)")
-def q_review_list(spark, sf):
+          "JOIN issues i ON i.issue_id = s.validation_result_id WHERE s.status = 'in_review' "
+          "ORDER BY s.updated_at DESC, s.case_id LIMIT 50")
+def q_review_list(spark, sf, status: str = "in_review", limit: int = 50):
     _, cases, ev = _review(spark, sf)
-    st = review.current_state(cases, ev)
-    iss = ing(spark, sf).issues().filter(F.col("record_type") == "notice")
-    j = st.join(iss, iss.record_id == st.validation_result_id.cast("string"))
-    return j.orderBy(F.col("updated_at").desc(), "case_id").select("case_id", "status", "control_id", "severity",
-                                                                  "record_id")
+    return review.review_list(review.current_state(cases, ev), ing(spark, sf).issues(), status, limit) \
+        .select("case_id", "status", "control_id", "severity", "record_id")
 
 
 # =============================================================================== runs, UAT feed, sign-off, readiness
@@ -876,14 +911,16 @@ REVIEW_DETAIL_CASE = "REV-00003"
 
 
 @register("review_detail", _REVIEW_SQL +
-          f"SELECT s.case_id, s.status, e.event_type, e.occurred_at, e.seq, e.to_status FROM case_state s JOIN ("
-          "SELECT case_id, 'case_created' AS event_type, created_at AS occurred_at, -1 AS seq, 'open' AS to_status "
-          "FROM cases UNION ALL SELECT case_id, CASE WHEN command IN ('assign', 'start') THEN 'case_updated' "
-          "ELSE 'decision_recorded' END, cmd_ts, cmd_seq, next_status FROM evaluated WHERE error IS NULL) e "
-          f"USING (case_id) WHERE s.case_id = '{REVIEW_DETAIL_CASE}'")
+          "SELECT s.case_id, s.status, i.control_id, i.severity, i.result, i.record_type, i.record_id, e.event_type, "
+          "e.occurred_at, e.seq, e.to_status FROM case_state s JOIN issues i ON i.issue_id = s.validation_result_id "
+          f"JOIN history e ON e.case_id = s.case_id WHERE s.case_id = '{REVIEW_DETAIL_CASE}'")
 def q_review_detail(spark, sf, case_id: str = REVIEW_DETAIL_CASE):
-    _, cases, ev = _review(spark, sf)
-    state = review.current_state(cases, ev).filter(F.col("case_id") == case_id).select("case_id", "status")
-    hist = review.event_history(cases, ev).filter(F.col("case_id") == case_id)
-    return state.join(hist, "case_id").orderBy("occurred_at", "seq").select(
-        "case_id", "status", "event_type", "occurred_at", "seq", "to_status")
+    """The case with its validation result, a row per audit event in order."""
+    issues = ing(spark, sf).issues()
+    _, cmds, cases = _review_inputs(spark, sf)
+    cases = cases.filter(F.col("case_id") == case_id)
+    ev = review.evaluate_commands(cmds.filter(F.col("case_id") == case_id), cases)
+    case = review.with_issue(review.current_state(cases, ev), issues)
+    return case.join(review.event_history(cases, ev), "case_id").orderBy("occurred_at", "seq").select(
+        "case_id", "status", "control_id", "severity", "result", "record_type", "record_id", "event_type", "occurred_at",
+        "seq", "to_status")

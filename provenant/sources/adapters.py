@@ -134,7 +134,7 @@ SHORT_RATIONALE = "Too short"
 
 
 def review_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> (case_id, cmd_ts, cmd_seq, actor, command, status, assigned_to,
+    """events -> (case_id, record_id, cmd_ts, cmd_seq, actor, command, status, assigned_to,
     resolution, rationale)."""
     ev = spread(read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type"), "event_id")
     cmd = F.col("event_type")
@@ -144,7 +144,7 @@ def review_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     actor = F.concat(F.lit("reviewer-"), (F.col("user_id") % 7).cast("string"))
     return ev.select(
         F.format_string("REV-%05d", F.col("user_id")).alias("case_id"),
-        F.col("user_id").alias("validation_result_id"),
+        F.col("user_id").cast("string").alias("record_id"),
         F.col("ts").alias("cmd_ts"),
         F.col("event_id").alias("cmd_seq"),
         actor.alias("actor"),
@@ -156,3 +156,19 @@ def review_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(command.isin("accept", "reject_record"), F.lit(LONG_RATIONALE))
         .when(command == "accept_short", F.lit(SHORT_RATIONALE)).alias("rationale"),
     )
+
+
+def review_inputs(spark: SparkSession, sf_dir: str, issues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(requests, commands). A user's first event asks for a review of the
+    notice whose id is the user's (its smallest issue id), with a reviewer when
+    it is an assignment; the other events are commands of that case."""
+    log = review_commands(spark, sf_dir)
+    first = log.groupBy("case_id", "record_id").agg(F.min(F.struct("cmd_ts", "cmd_seq", "actor", "assigned_to")).alias("_f")) \
+        .select("case_id", "record_id", "_f.*")
+    of_record = issues.filter(F.col("record_type") == "notice").groupBy("record_id") \
+        .agg(F.min("issue_id").alias("validation_result_id"))
+    requests = first.withColumnRenamed("cmd_ts", "requested_at").join(of_record, "record_id", "left")
+    # joined on the whole order key, so that a busy case is spread
+    commands = log.join(first.select("case_id", "cmd_ts", "cmd_seq"), ["case_id", "cmd_ts", "cmd_seq"], "left_anti") \
+        .drop("record_id")
+    return requests, commands
