@@ -7,8 +7,10 @@ the set's value there, so two sets of similarity J stay together in a child with
 J. Nodes of at most ``SMALL`` sets are leaves and compared by brute force; larger nodes are
 split again; a node whose sets already agree (a group of near copies) or that is still
 large after ``DEPTH`` levels is compared whole, in blocks, so no node is ever cut short.
-A pair is lost by one run with probability q = (1 - J (1 - q)) ** BRANCH at most;
-``RUNS`` trees are taken until q ** RUNS <= 1 - ``RECALL`` at the threshold itself.
+All trees choose among the same coordinates, so their losses are not independent: a pair that
+agrees in k of them is lost by one tree with probability q = (1 - k / COORDS (1 - q)) ** BRANCH
+over ``DEPTH`` levels, and trees are taken until the mean of q ** trees over k ~ Bin(COORDS, J)
+is at most 1 - ``RECALL`` at the threshold itself.
 
 Leaves with the same members are compared once, a pair counts in the smallest leaf both
 share, and links are verified on the full shingle sets. A comparison returns one row a set
@@ -39,17 +41,33 @@ SMALL = 512
 DEPTH = 9
 # A node whose sets agree in this share of its coordinates' pairs is a group of near copies.
 DENSE = 0.5
-RECALL = 0.9995
+RECALL = 0.9999
 # Pairs whose min-hash agreement is this many standard errors below the threshold aren't verified.
 SIGMAS = 5.5
 
 
+def _least() -> float:
+    """The agreeing coordinates below which a pair isn't verified."""
+    return COORDS * SIMILARITY - SIGMAS * math.sqrt(COORDS * SIMILARITY * (1 - SIMILARITY))
+
+
+def loss(similarity: float, runs: int) -> float:
+    """Probability that a pair shares no leaf of ``runs`` trees over the same coordinates, or isn't verified."""
+    total = 0.0
+    for k in range(COORDS + 1):
+        q = 0.0
+        for _ in range(DEPTH):
+            q = (1 - k / COORDS * (1 - q)) ** BRANCH
+        total += math.comb(COORDS, k) * similarity ** k * (1 - similarity) ** (COORDS - k) * (1.0 if k < _least() else q ** runs)
+    return total
+
+
 def runs_for(similarity: float, recall: float = RECALL) -> int:
-    """Trees needed for the recall of pairs at the threshold: q is the branching process's loss."""
-    q = 0.0
-    for _ in range(200):
-        q = (1 - similarity * (1 - q)) ** BRANCH
-    return max(1, math.ceil(math.log(1 - recall) / math.log(max(q, 1e-12))))
+    """Trees needed for the recall of pairs at the threshold."""
+    for runs in range(1, COORDS + 1):
+        if loss(similarity, runs) <= 1 - recall:
+            return runs
+    raise ValueError(f"{COORDS} coordinates can't give recall {recall}")
 
 
 def _seeds(n: int) -> np.ndarray:
@@ -142,7 +160,7 @@ KEYS = ["leaf", "i", "j"]
 
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The members of each comparison that may have a link in it, by their min-hashes."""
-    least = COORDS * SIMILARITY - SIGMAS * math.sqrt(COORDS * SIMILARITY * (1 - SIMILARITY))
+    least = _least()
     names = [*KEYS, "block", "set_id", "n", "cnt", "leaves"]
     for group in C.sorted_groups(batches, KEYS):
         may = _open_pairs(group)

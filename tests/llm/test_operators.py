@@ -133,6 +133,33 @@ def test_jaccard_join_splits_large_and_dense_nodes(spark, monkeypatch):
     assert got == want
 
 
+def test_jaccard_join_recall_over_shared_coordinates():
+    # A pair agrees in one set of coordinates; every node of every tree chooses among them.
+    rng, runs, pairs = np.random.default_rng(12), jaccard_join.runs_for(0.8), 400_000
+    agree = rng.binomial(jaccard_join.COORDS, 0.8, pairs) / jaccard_join.COORDS
+    lost = np.ones(pairs, dtype=bool)
+    for _ in range(runs):
+        nodes = np.ones(pairs, dtype=np.int64)
+        for _ in range(jaccard_join.DEPTH):
+            nodes = rng.binomial(jaccard_join.BRANCH * nodes, agree)
+        lost &= nodes == 0
+    assert lost.mean() <= 1e-4
+    assert jaccard_join.loss(0.8, runs) <= 1e-4 < jaccard_join.loss(0.8, runs - 1)
+
+
+def test_jaccard_join_links_in_a_hot_loose_node(spark, monkeypatch):
+    # All sets share a third of their shingles, so nodes stay large over several levels; the trees are production's.
+    monkeypatch.setattr(jaccard_join, "SMALL", 16)
+    rng, rows = np.random.default_rng(13), []
+    for g in range(150):
+        words = [f"same{k}" for k in range(40)] + [f"g{g}_{k}" for k in range(60)]
+        near = list(words)
+        near[50], near[80] = f"x{g}", f"y{rng.integers(10**6)}"
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(near))]
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys(range(300), 1)
+
+
 def test_quality_counts_and_votes(docs, nothing):
     got = {r.doc_id: r for r in quality_rules.quality(docs).collect()}
     for i, text, _ in TEXTS:
