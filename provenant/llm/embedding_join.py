@@ -149,7 +149,10 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     reach = float(np.sqrt(2 - 2 * cosine)) + 1e-6
     kind = "label long, dim int, point long, cnt long, unit " + kept
     homes = C.written(points.select("label", "dim", "point", "cnt", "unit").mapInArrow(_home(chosen), kind + ", home int, far double"), "homes")
-    radius = {(r.label, r.dim, r.home): r.far for r in homes.groupBy("label", "dim", "home").agg(F.max("far").alias("far")).limit(ALL_PIVOTS * 2).collect()}
+    # Only labels with pivots have cells to reach: one row a pivot at most.
+    with_pivots = spark.createDataFrame(list(chosen), "label long, dim int")
+    radii = homes.join(F.broadcast(with_pivots), ["label", "dim"]).groupBy("label", "dim", "home").agg(F.max("far").alias("far"))
+    radius = {(r.label, r.dim, r.home): r.far for r in radii.collect()}
     cells = C.written(homes.mapInArrow(_copies(chosen, radius, reach), kind + ", cell int, own boolean"), "cells")
     blocks = [F.ceil(F.count(x) / BLOCK).cast("int").alias(name) for x, name in ((F.when(F.col("own"), 1), "homes"), (F.lit(1), "alls"))]
     placed = C.with_small(cells, cells.groupBy("label", "dim", "cell").agg(*blocks).where("homes > 0"), ["label", "dim", "cell"], "inner", 32)

@@ -317,6 +317,19 @@ def test_embedding_join_is_the_brute_force(spark):
     assert embedding_join.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
+def test_embedding_join_keeps_radii_beside_many_small_labels(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "CELL", 16)
+    monkeypatch.setattr(embedding_join, "ALL_PIVOTS", 64)
+    rng = np.random.default_rng(14)
+    hot = rng.normal(size=(400, 3))
+    hot /= np.sqrt((hot * hot).sum(axis=1, keepdims=True))
+    rows = [(i, x.tolist(), 5) for i, x in enumerate(hot)] + [(1000 + i, [1.0, float(i), 2.0], 100 + i) for i in range(3000)]
+    got = {r.vec_id: r.n_links for r in embedding_join.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cosine=0.99).collect()}
+    near = (hot @ hot.T >= 0.99).sum(axis=1) - 1
+    assert near.sum() > 400
+    assert got == {**{i: int(n) for i, n in enumerate(near)}, **{1000 + i: 0 for i in range(3000)}}
+
+
 def test_language_id_accuracy_and_rejection(spark, docs, nothing):
     rng = np.random.default_rng(9)
     sound = {"aa": "ka ta ra na ma".split(), "bb": "sch zug ber ung ein".split()}
