@@ -9,8 +9,7 @@ class) = (c + 1) / (class tokens + class words + 1) leaves one share of each cla
 2. Training counts of all words are summed over the corpus by word, and every block's words look
    their counts up in a join; no task and no driver holds the vocabulary.
 3. Baum-Welch: each pass sums expected counts of starts, transitions and emissions over the blocks.
-   ``WARM`` passes over at most ``WARM_BLOCKS`` blocks only choose the starting point; ``PASSES``
-   passes run over all training texts (cut into pieces of ``PIECE`` tokens for the
+   Each of the ``PASSES`` passes runs over all training texts (cut into pieces of ``PIECE`` tokens for the
    recursion). The sums are at most STATES * (STATES + classes + 1) numbers.
 4. The scaled forward recursion runs over each whole text and gives its exact log likelihood.
 
@@ -39,8 +38,7 @@ SUFFIXES = 1024
 SUFFIX_BYTES = 3
 CLASSES = TOP + SUFFIXES
 BLOCK_BYTES = 8 << 20
-WARM, WARM_BLOCKS = 8, 4
-PASSES = 2
+PASSES = 10
 PIECE = 256
 ROWS = 512
 STICKY = 0.9
@@ -281,10 +279,6 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
     sequences = blocks.select("block", "doc_ids", "train", "at", "low", "high", "names")
     coded = C.written(sequences.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_coded(total, distinct, ranks, sizes), _CODED_TYPE), "coded")
     model = first_guess(counts)
-    some = [r.block for r in coded.select("block").orderBy(F.xxhash64("block"), "block").limit(WARM_BLOCKS).collect()]
-    warm = C.written(coded.where(F.col("block").isin(some)).select("block", "train", "at", "classes").repartition(max(1, len(some)), "block"), "warm") if some else coded
-    for _ in range(WARM):
-        model = baum_welch(model, warm)
     for _ in range(PASSES):
         model = baum_welch(model, coded)
     return coded.select("doc_ids", "train", "at", "classes", "known", "base", "share").mapInArrow(

@@ -297,6 +297,20 @@ def test_forward_recursion_and_counts_by_enumeration():
     assert np.allclose(out[0], start, atol=1e-4) and np.allclose(out[1] * model.move, move, atol=1e-4) and math.isclose(out[2].sum(), 4, rel_tol=1e-4)
 
 
+def test_hidden_markov_passes_see_every_block(spark, monkeypatch):
+    seen, plain = [], hidden_markov.baum_welch
+
+    def counted(model, coded):
+        seen.append(coded.count())
+        return plain(model, coded)
+
+    monkeypatch.setattr(hidden_markov, "baum_welch", counted)
+    table = spark.createDataFrame([(i, f"one two w{i % 9} end") for i in range(60)], "doc_id long, text string").repartition(12, "doc_id")
+    blocks = table.select(F.spark_partition_id()).distinct().count()
+    assert hidden_markov.score_texts(table, F.lit(True)).count() == 60
+    assert blocks > 4 and seen == [blocks] * hidden_markov.PASSES
+
+
 def test_embedding_join_is_the_brute_force(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(12, 16))
