@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import byte_bpe, embedding_join, hidden_markov, jaccard_join, language_id, mixing, quality_rules, secrets, sentencepiece, toxicity, url_filter
+from provenant.llm import byte_bpe, embedding_join, hidden_markov, jaccard_join, language_id, lexical_search, mixing, quality_rules, secrets, sentencepiece, toxicity, url_filter
 from provenant.llm.common import fold, frame
 
 
@@ -63,8 +63,14 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(frame(spark, sf_dir, "documents", "doc_id", "text"), byte_bpe.read_ranks())
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(frame(spark, sf_dir, "documents", "doc_id", "text"), frame(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_quality_rules, op4_mix_sources, op5_toxicity, op6_hidden_markov,
-                            op7_embedding_join, op8_language_id, op9_url_filter, op10_secret_scan, op12_byte_bpe)}
+                            op7_embedding_join, op8_language_id, op9_url_filter, op10_secret_scan, op12_byte_bpe,
+                            op13_lexical_search)}
 
-ORACLE: dict[str, str] = {"op3_quality_rules": quality_rules.oracle(), "op9_url_filter": url_filter.ORACLE, "op10_secret_scan": secrets.ORACLE}
+ORACLE: dict[str, str] = {"op3_quality_rules": quality_rules.oracle(), "op9_url_filter": url_filter.ORACLE, "op10_secret_scan": secrets.ORACLE,
+                          "op13_lexical_search": lexical_search.ORACLE}
