@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.llm import byte_bpe, embedding_join, hidden_markov, jaccard_join, language_id, lexical_search, mixing, quality_rules, secrets, sentencepiece, toxicity, url_filter
+from provenant.llm import byte_bpe, embedding_join, hidden_markov, jaccard_join, language_id, lexical_search, mixing, quality_rules, secrets, sentencepiece, token_alignment, toxicity, url_filter
 from provenant.llm.common import fold, frame
 
 
@@ -59,6 +59,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(frame(spark, sf_dir, "documents", "doc_id", "text", "source"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_counts(frame(spark, sf_dir, "documents", "doc_id", "text"), token_alignment.read_files())
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(frame(spark, sf_dir, "documents", "doc_id", "text"), byte_bpe.read_ranks())
 
@@ -69,8 +73,8 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_quality_rules, op4_mix_sources, op5_toxicity, op6_hidden_markov,
-                            op7_embedding_join, op8_language_id, op9_url_filter, op10_secret_scan, op12_byte_bpe,
-                            op13_lexical_search)}
+                            op7_embedding_join, op8_language_id, op9_url_filter, op10_secret_scan, op11_token_alignment,
+                            op12_byte_bpe, op13_lexical_search)}
 
 ORACLE: dict[str, str] = {"op3_quality_rules": quality_rules.oracle(), "op9_url_filter": url_filter.ORACLE, "op10_secret_scan": secrets.ORACLE,
                           "op13_lexical_search": lexical_search.ORACLE}
