@@ -32,7 +32,9 @@ from pyspark.sql import functions as F
 from provenant.llm import common as C
 
 LONG_BYTES = 200
-MEMO_WORDS = 1 << 18
+MEMO_WORDS = 1 << 17
+# The literals are megabytes: the plan's text, which Spark keeps for every execution, ends after so many characters.
+PLAN_TEXT = 1 << 20
 MEMO_BYTES = 64
 _SIDE = 1 << 16
 _NO_MARK = "\uFFFD"
@@ -153,7 +155,7 @@ class Ranks:
         return F.when(F.get(t["keys"], one) == key, F.get(t["rank_marks"], one)).when(F.get(t["keys"], two) == key, F.get(t["rank_marks"], two)).otherwise(F.lit(_NO_MARK))
 
     def short(self, word: Column, t: Column) -> Column:
-        """The ids of a word: one merge a step. The state is two strings: a character an id, between two that have no
+        """A word's ids, a character (the id's successor) each: one merge a step. The state is two strings: a character an id, between two that have no
         rank, and a character a pair's rank."""
         def step(state, _):
             def merged(low):
@@ -171,12 +173,12 @@ class Ranks:
             ranks = F.array_join(F.transform(self._keys(ids), lambda k: self._rank_mark(k, t)), "")
             start = F.struct(F.concat(F.lit(_NO_MARK), marks, F.lit(_NO_MARK)).alias("s"), F.concat(F.lit(_NO_MARK), ranks, F.lit(_NO_MARK)).alias("r"))
             done = F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1))), start, step)["s"]
-            return F.transform(F.split(F.substring(done, F.lit(2), F.length(done) - 2), ""), lambda c: F.ascii(c) - 1)
+            return F.substring(done, F.lit(2), F.length(done) - 2)
 
         return _let(self._bytes(word, t), fold)
 
     def long(self, word: Column, t: Column) -> Column:
-        """The ids of a word: all places of the lowest pair a step, on a string with a character an id."""
+        """The same, all places of the lowest pair a step."""
         def step(state, _):
             def pairs(marks):
                 n = F.size(marks) - 1
@@ -194,12 +196,16 @@ class Ranks:
 
         marks = F.array_join(F.transform(self._bytes(word, t), lambda i: F.get(t["marks"], i)), "")
         done = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), F.struct(marks.alias("s"), F.lit(False).alias("done")), step)["s"]
-        return F.transform(F.split(done, ""), lambda c: F.ascii(c) - 1)
+        return done
 
-    def word_ids(self, word: Column, t: Column) -> Column:
+    def word_marks(self, word: Column, t: Column) -> Column:
         return F.when(F.octet_length(word) > LONG_BYTES, self.long(word, t)).otherwise(self.short(word, t))
 
 
+def _ids(marks: Column) -> Column:
+    return F.transform(F.filter(F.split(marks, ""), lambda c: c != ""), lambda c: F.ascii(c) - 1)
+
+
 def _words(text: str, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(pattern), F.lit(0))
 
@@ -220,23 +226,29 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str | None = None,
     """(doc_id, ids): the ids of every whole text."""
     pattern = word_pattern(pattern)
     own = Ranks(ranks)
+    settings, name = docs.sparkSession.conf, "spark.sql.maxPlanStringLength"
+    longest = str(settings.get(name))
+    if longest.isdigit() and int(longest) > PLAN_TEXT:
+        settings.set(name, PLAN_TEXT)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    known = frequent_words(docs, pattern).select("word", _let(own.literal(), lambda t: own.word_ids(F.col("word"), t)).alias("ids")).collect()
-    chosen: dict[int, tuple[str, list[int]]] = {}
-    for row in known:  # of words that share a sum one is remembered; the others are folded where they stand
-        chosen.setdefault(zlib.crc32(row["word"].encode()), (row["word"], row["ids"]))
+    known = frequent_words(docs, pattern).select("word", _let(own.literal(), lambda t: own.word_marks(F.col("word"), t)).alias("marks")).toPandas()
+    sums = [zlib.crc32(word.encode()) for word in known["word"]]
+    # Of words that share a sum one is remembered; the others are folded where they stand.
+    chosen = dict(zip(sums, zip(known["word"], known["marks"], strict=True), strict=True))
     memo = TwoPlaces(list(chosen), list(chosen.values()))
-    words, ids = zip(*memo.values((None, None)), strict=True)
-    tables = F.struct(own.literal().alias("t"), F.from_json(F.lit(json.dumps(words)), "array<string>").alias("words"),
-                      F.from_json(F.lit(json.dumps(ids)), "array<array<int>>").alias("ids"))
+    tables = F.struct(own.literal().alias("t"), *(F.from_json(F.lit(json.dumps([None if e is None else e[1][k] for e in memo.held], ensure_ascii=False)), "array<string>").alias(name)
+                                                  for k, name in enumerate(("words", "marks"))))
+    del known, chosen, sums
 
     def one(word, t):
         def remembered(key):
-            one, two = memo.places(key)
-            return F.when(F.get(t["words"], one) == word, F.get(t["ids"], one)).when(F.get(t["words"], two) == word, F.get(t["ids"], two)).otherwise(own.word_ids(word, t["t"]))
+            first, second = memo.places(key)
+            return F.when(F.get(t["words"], first) == word, F.get(t["marks"], first)).when(F.get(t["words"], second) == word, F.get(t["marks"], second)) \
+                .otherwise(own.word_marks(word, t["t"]))
         return _let(F.crc32(word.cast("binary")), remembered)
 
-    return docs.select("doc_id", _let(tables, lambda t: F.flatten(F.transform(_words("text", pattern), lambda w: one(w, t)))).alias("ids"))
+    marks = _let(tables, lambda t: F.array_join(F.transform(_words("text", pattern), lambda w: one(w, t)), ""))
+    return docs.select("doc_id", _ids(marks).alias("ids"))
 
 
 def spelt(ids: Column, names: list[str]) -> Column:

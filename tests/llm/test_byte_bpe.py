@@ -58,7 +58,7 @@ def test_both_folds_agree(spark, ranks, library):
     pick = random.Random(7)
     words = ["".join(pick.choice("aabcdehinorst") for _ in range(pick.randint(1, 150))) for _ in range(200)] + ["a" * n for n in range(1, 40)]
     own = B.Ranks(ranks)
-    both = B._let(own.literal(), lambda t: F.struct(own.short(F.col("w"), t).alias("a"), own.long(F.col("w"), t).alias("b")))
+    both = B._let(own.literal(), lambda t: F.struct(B._ids(own.short(F.col("w"), t)).alias("a"), B._ids(own.long(F.col("w"), t)).alias("b")))
     for row in spark.createDataFrame([(w,) for w in words], "w string").select("w", both.alias("x")).collect():
         assert row.x.a == row.x.b == library.encode_ordinary(row.w)
 
