@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..config import EXPECTED_CONTRACTS, GATES, UAT_SCENARIOS, UAT_SUITE_VERSION
 from ..functions.hashing import unordered_digest
 from .contracts import contract
+from .tables import append_ledger
 
 MAPPING_IDS = {"notice": "procurement_notice", "award": "contract_award"}
 
@@ -141,6 +142,29 @@ def run_ledger(ing, checksum: DataFrame | None = None, schema_hash: DataFrame |
     return base
 
 
+RUN_COLUMNS = ["run_id", "source", "started_at", "completed_at", "status", "records_read", "accepted", "rejected", "quarantined",
+               "checksum", "schema_hash"]
+RUN_SCHEMA = ("run_id string, source string, started_at timestamp, completed_at timestamp, status string, records_read long, "
+              "accepted long, rejected long, quarantined long, checksum string, schema_hash string")
+
+
+def run_event(spark, run_id: str, status: str, started_at, completed_at=None, source: str = "adapter") -> DataFrame:
+    """A run's ledger row before anything was counted: ``running``, or ``failed_source`` if nothing could be read."""
+    row = (run_id, source, started_at, completed_at, status, 0, 0, 0, 0, None, None)
+    return spark.createDataFrame([row], RUN_SCHEMA)
+
+
+def append_run_event(event: DataFrame, path: str, position: int, recorded_at) -> None:
+    """Append a state of a run to the event log; nothing in the log is ever rewritten."""
+    append_ledger(event.select(*RUN_COLUMNS, F.lit(recorded_at).cast("timestamp").alias("recorded_at"), F.lit(position).alias("position")), path)
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """The run ledger: every run's last recorded state, by a partial ``max_by`` aggregate."""
+    last = F.max_by(F.struct(*[c for c in RUN_COLUMNS if c != "run_id"]), F.struct("recorded_at", "position")).alias("s")
+    return events.groupBy("run_id").agg(last).select("run_id", "s.*")
+
+
 def gates(accounting: DataFrame, runs: DataFrame, mappings: DataFrame,
           expected_contracts: int = EXPECTED_CONTRACTS) -> DataFrame:
     """One row per (run, gate): id, label, passed, evidence text."""

@@ -33,6 +33,10 @@ class RetrievalConfigurationError(RuntimeError):
     pass
 
 
+# --- Fixed value: the refusal of a vector of another length ---
+WRONG_DIMENSION = "Embedding dimension does not match the retrieval schema"
+
+
 class Embedder(Protocol):
     model_name: str
     dimensions: int
@@ -52,7 +56,7 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors; null for a zero or null vector. Vectors of
     different lengths are an error of the run, not an empty answer."""
-    wrong = F.raise_error(F.lit("Embedding dimension does not match the retrieval schema")).cast("double")
+    wrong = F.raise_error(F.lit(WRONG_DIMENSION)).cast("double")
     return F.when(F.size(a) != F.size(b), wrong).otherwise(F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
@@ -60,7 +64,7 @@ def dimension_guard(vectors: DataFrame, col: str, dimensions: int) -> None:
     """Fail before any search when a vector has the wrong length."""
     bad = vectors.filter(F.size(col) != dimensions).limit(1).count()
     if bad:
-        raise RetrievalConfigurationError("Embedding dimension does not match the retrieval schema")
+        raise RetrievalConfigurationError(WRONG_DIMENSION)
 
 
 def _filtered(corpus: DataFrame, model: str | None, country: str | None, project_id: str | None) -> DataFrame:
@@ -77,10 +81,10 @@ def _filtered(corpus: DataFrame, model: str | None, country: str | None, project
 def semantic_search(corpus: DataFrame, query_vector: list[float], model: str | None = None,
                     country: str | None = None, project_id: str | None = None, limit: int = 8,
                     min_score: float = MIN_RETRIEVAL_SCORE) -> DataFrame:
-    """Top ``limit`` chunks by cosine, then kept when score >= ``min_score``."""
+    """Top ``limit`` chunks by cosine (equal to six digits: by id), then kept when score >= ``min_score``."""
     qv = F.array(*[F.lit(float(x)) for x in query_vector])
     scored = _filtered(corpus, model, country, project_id).withColumn("retrieval_score", cosine(F.col("embedding"), qv))
-    top = scored.orderBy(F.col("retrieval_score").desc(), F.col("chunk_id")).limit(limit)
+    top = scored.orderBy(F.round("retrieval_score", 6).desc_nulls_last(), F.col("chunk_id")).limit(limit)
     return top.filter(F.col("retrieval_score") >= min_score) \
         .withColumn("retrieval_score", F.round("retrieval_score", 4))
 

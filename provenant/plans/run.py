@@ -4,96 +4,105 @@ Layout under ``out_dir`` (a shared folder on a cluster):
 
 * ``raw/<feed>/run_id=<id>``: the landed snapshot, written once; it is the run's
   only input, so a replay classifies, counts and hashes the same records
-* ``curated/<table>/v=<run_seq>``: versions of notices, awards, projects; each run
-  upserts into the highest committed version below its own, so a replayed run
-  rewrites its own version and a gap in the sequence loses nothing
-* ``ledgers/<ledger>/run_id=<id>``: issues, dispositions, mapping executions,
-  run ledger and evidence, partition-overwritten per run (idempotent on replay)
+* ``curated/<table>``: keyed tables of notices, awards, projects, a version a run. A run rewrites the key buckets its records
+  fall into and shares the others with the highest committed version below its own, so a replayed run makes its own
+  version anew and a gap in the sequence loses nothing
+* ``ledgers/<ledger>/run_id=<id>``: issues, dispositions, mapping executions
+  and evidence, partition-overwritten per run (idempotent on replay)
+* ``ledgers/run_events``: append-only states of every run: ``running``, then ``completed``, ``failed_accounting`` or
+  ``failed_source``; the run ledger is the last state of each
 * ``derived/<table>``: features and chunks, rebuilt (overwrite) from the
   latest curated version
+* ``index``: with an embedder, the chunk index, upserted by chunk id
 
 Only per-run aggregates (a handful of rows) are ever collected to the driver.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import curate, evidence
+from ..operators.index import ChunkIndex
+from ..operators.store import DEFAULT_BUCKETS, KeyedTable
 from ..sources import adapters
 from .ingest import DEFAULT_RUN_AT, build_ingestion
 
-CURATED = ("notices", "awards", "projects")
+CURATED = {"notices": "notice_id", "awards": "award_id", "projects": "project_id"}
 
 
-def _has_version(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+def curated_table(spark: SparkSession, out: str, name: str, buckets: int = DEFAULT_BUCKETS) -> KeyedTable:
+    return KeyedTable(spark, f"{out.rstrip('/')}/curated/{name}", [CURATED[name]], buckets)
 
 
 def _complete(spark: SparkSession, path: str) -> bool:
     """Whether a write to ``path`` was committed (its marker file is there)."""
-    return _has_version(spark, f"{path}/_SUCCESS")
-
-
-def _versions_below(spark: SparkSession, root: str, run_seq: int) -> list[int]:
-    if not _has_version(spark, root):
-        return []
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(root)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(hpath)]
-    return sorted(int(n[2:]) for n in names if n.startswith("v=") and int(n[2:]) < run_seq
-                  and _complete(spark, f"{root}/{n}"))
+    hpath = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
 
 
 def base_version(spark: SparkSession, out: str, run_seq: int) -> int | None:
     """The highest version below ``run_seq`` that all curated tables have. A
     table with history that lacks it is an error, never an empty base."""
-    have = {t: _versions_below(spark, f"{out}/curated/{t}", run_seq) for t in CURATED}
-    if not any(have.values()):
+    have = {t: curated_table(spark, out, t).base(run_seq) for t in CURATED}
+    known = [v for v in have.values() if v is not None]
+    if not known:
         return None
-    top = max(v[-1] for v in have.values() if v)
-    missing = [t for t in CURATED if top not in have[t]]
+    missing = [t for t, v in have.items() if v != max(known)]
     if missing:
-        raise RuntimeError(f"curated version {top} is incomplete: {', '.join(missing)} missing")
-    return top
+        raise RuntimeError(f"curated version {max(known)} is incomplete: {', '.join(missing)} missing")
+    return max(known)
 
 
 def _write_partition(df: DataFrame, root: str, run_id: str) -> None:
     df.drop("run_id").write.mode("overwrite").parquet(f"{root}/run_id={run_id}")
 
 
-def run_migration(spark: SparkSession, raw_notices: DataFrame, raw_awards: DataFrame, out_dir: str,
-                  run_id: str, run_seq: int, run_at: datetime = DEFAULT_RUN_AT) -> dict:
-    out = out_dir.rstrip("/")
-    # 1. immutable landing of what this run read
-    raw_path = f"{out}/raw"
-    for feed, df in (("notices", raw_notices), ("awards", raw_awards)):
-        path = f"{raw_path}/{feed}/run_id={run_id}"
+def _land(spark: SparkSession, out: str, run_id: str, feeds: dict) -> list[DataFrame]:
+    landed = []
+    for feed, source in feeds.items():
+        df = source() if callable(source) else source
+        path = f"{out}/raw/{feed}/run_id={run_id}"
         if not _complete(spark, path):  # a half-written landing is written anew
             df.write.mode("overwrite").parquet(path)
-    raw_notices = spark.read.schema(raw_notices.schema).parquet(f"{raw_path}/notices/run_id={run_id}")
-    raw_awards = spark.read.schema(raw_awards.schema).parquet(f"{raw_path}/awards/run_id={run_id}")
+        landed.append(spark.read.schema(df.schema).parquet(path))
+    return landed
+
+
+def run_migration(spark: SparkSession, raw_notices: DataFrame | Callable[[], DataFrame], raw_awards: DataFrame | Callable[[], DataFrame],
+                  out_dir: str, run_id: str, run_seq: int, run_at: datetime = DEFAULT_RUN_AT, buckets: int = DEFAULT_BUCKETS,
+                  embedder=None) -> dict:
+    """Sources are frames or functions that give them: whatever a source throws closes the run as ``failed_source`` and is thrown on."""
+    out = out_dir.rstrip("/")
+    events = f"{out}/ledgers/run_events"
+
+    def record(event: DataFrame, position: int) -> None:
+        evidence.append_run_event(event, events, position, datetime.now(timezone.utc))
+
+    record(evidence.run_event(spark, run_id, "running", run_at), 0)
+    # 1. immutable landing of what this run read
+    try:
+        raw_notices, raw_awards = _land(spark, out, run_id, {"notices": raw_notices, "awards": raw_awards})
+    except Exception:
+        record(evidence.run_event(spark, run_id, "failed_source", run_at, run_at), 1)
+        raise
     # 2. classify once, materialized in the checkpoint folder
-    existing = {}
-    base = base_version(spark, out, run_seq)
-    if base is not None:
-        existing = {t: spark.read.parquet(f"{out}/curated/{t}/v={base}") for t in CURATED}
-    ing = build_ingestion(spark, raw_notices, raw_awards, run_id=run_id, run_at=run_at, run_seq=run_seq,
-                          existing=existing, materialize=True)
+    base_version(spark, out, run_seq)
+    ing = build_ingestion(spark, raw_notices, raw_awards, run_id=run_id, run_at=run_at, run_seq=run_seq, materialize=True)
     # 3. curated versions
-    ing.notices_state().write.mode("overwrite").parquet(f"{out}/curated/notices/v={run_seq}")
-    ing.awards_state().write.mode("overwrite").parquet(f"{out}/curated/awards/v={run_seq}")
-    ing.projects().write.mode("overwrite").parquet(f"{out}/curated/projects/v={run_seq}")
-    notices = spark.read.parquet(f"{out}/curated/notices/v={run_seq}").select(*curate.NOTICE_TABLE_COLUMNS)
-    awards = spark.read.parquet(f"{out}/curated/awards/v={run_seq}").select(*curate.AWARD_TABLE_COLUMNS)
-    projects = spark.read.parquet(f"{out}/curated/projects/v={run_seq}")
+    order = ["run_seq", "ingest_seq"]
+    tables = {t: curated_table(spark, out, t, buckets) for t in CURATED}
+    tables["notices"].upsert(ing.loaded_notices().select(*curate.NOTICE_TABLE_COLUMNS, *order), order, run_seq)
+    tables["awards"].upsert(ing.loaded_awards().select(*curate.AWARD_TABLE_COLUMNS, *order), order, run_seq)
+    tables["projects"].insert(curate.project_candidates(ing.loaded_awards(), ing.project_url_prefix), order, run_seq)
+    notices = tables["notices"].read(run_seq).select(*curate.NOTICE_TABLE_COLUMNS)
+    awards = tables["awards"].read(run_seq).select(*curate.AWARD_TABLE_COLUMNS)
+    projects = tables["projects"].read(run_seq).select(*curate.PROJECT_TABLE_COLUMNS)
     # 4. ledgers of this run
     led = f"{out}/ledgers"
     _write_partition(ing.run_issues(), f"{led}/issues", run_id)
@@ -106,12 +115,15 @@ def run_migration(spark: SparkSession, raw_notices: DataFrame, raw_awards: DataF
     runs = evidence.run_ledger(ing, evidence.run_checksum(ing),
                                evidence.schema_fingerprint(ing.classified_notices.select("raw_json"),
                                                            ing.classified_awards.select("raw_json")))
-    _write_partition(runs, f"{led}/runs", run_id)
+    record(runs, 1)
+    runs = evidence.run_states(spark.read.parquet(events)).filter(F.col("run_id") == run_id)
     gates = evidence.gates(acc, runs, maps)
     _write_partition(evidence.migration_evidence(acc, gates, maps, run_at), f"{led}/evidence", run_id)
     # 5. derived tables, rebuilt from the latest curated version
     curate.project_features(notices, awards, projects).write.mode("overwrite").parquet(f"{out}/derived/features")
     curate.build_chunks(notices, awards, projects).write.mode("overwrite").parquet(f"{out}/derived/chunks")
+    if embedder is not None:
+        ChunkIndex(spark, f"{out}/index", embedder, buckets=buckets).index_documents(spark.read.parquet(f"{out}/derived/chunks"), run_seq)
     return {"out": out, "run_id": run_id, "run_seq": run_seq}
 
 
@@ -124,9 +136,9 @@ def read_sink(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
     """Latest curated version, a ledger (all runs) or a derived table."""
     out = out_dir.rstrip("/")
     if name in CURATED:
-        root = f"{out}/curated/{name}"
-        versions = spark.read.parquet(root).select("v").distinct().agg(F.max("v").alias("v"))
-        return spark.read.parquet(root).join(F.broadcast(versions), "v").drop("v")
+        return curated_table(spark, out, name).read()
+    if name == "runs":
+        return evidence.run_states(spark.read.parquet(f"{out}/ledgers/run_events"))
     if name in ("features", "chunks"):
         return spark.read.parquet(f"{out}/derived/{name}")
     return spark.read.parquet(f"{out}/ledgers/{name}")
