@@ -1,6 +1,6 @@
 """Semantic retrieval over chunk vectors: exact search, batch top-k,
-abstention, evaluation metrics, a native hashed-token embedder and an LSH
-approximate join.
+abstention, evaluation metrics, a native hashed-token embedder and an approximate
+search over a written signature index.
 
 Scale notes: a single query is a filter + score + TakeOrderedAndProject (top-k
 per partition, then a k-row merge), with no shuffle of the corpus. A batch of
@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import math
+import statistics
 from collections.abc import Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -236,24 +238,74 @@ def embed_with(chunks: DataFrame, embedder_factory, text_col: str = "text", batc
     return chunks.withColumn("embedding", _encode(F.col(text_col))).withColumn("embedding_model", F.lit(model))
 
 
-def ann_candidates(corpus: DataFrame, queries: DataFrame, min_score: float = MIN_RETRIEVAL_SCORE,
-                   bucket_length: float = 0.5, num_tables: int = 8, seed: int = 7) -> DataFrame:
-    """Approximate similarity join (random-projection LSH on unit vectors,
-    Euclidean distance <-> cosine) followed by an exact cosine rerank."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-    c = corpus.select("chunk_id", "embedding", "country", "project_id", "embedding_model",
-                      array_to_vector(F.col("embedding")).alias("features"))
-    q = queries.select("query_id", F.col("embedding").alias("q_embedding"), "country_filter", "project_filter",
-                       F.col("embedding_model").alias("q_model"),
-                       array_to_vector(F.col("embedding")).alias("features"))
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_tables, seed=seed).fit(c)
-    threshold = math.sqrt(max(0.0, 2.0 - 2.0 * min_score)) + 1e-9
-    pairs = lsh.approxSimilarityJoin(F.broadcast(q), c, threshold, distCol="distance")
-    a, b = (lambda n: F.col(f"datasetA.{n}")), (lambda n: F.col(f"datasetB.{n}"))
-    pairs = pairs.where((b("embedding_model") == a("q_model"))
-                        & (a("country_filter").isNull() | (F.lower(b("country")) == F.lower(a("country_filter"))))
-                        & (a("project_filter").isNull() | (b("project_id") == a("project_filter"))))
-    return pairs.select(F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.chunk_id").alias("chunk_id"),
-                        cosine(F.col("datasetB.embedding"), F.col("datasetA.q_embedding")).alias("retrieval_score"))
+# ------------------------------------------------------------------------------ approximate search
+
+SIGNATURE_BITS = 512
+RECALL = 0.95
+BROADCAST_BYTES = 8 << 20
+
+
+def with_signature(vectors: DataFrame, dimensions: int, bits: int = SIGNATURE_BITS, seed: int = 7) -> DataFrame:
+    """Adds ``signature``: the sides of ``bits`` random hyperplanes a vector lies on, 64 to a long (Arrow batches, one matrix
+    product each). A null vector, or one of another length, has none."""
+    planes = np.random.default_rng(seed).standard_normal((dimensions, bits)).astype(np.float32)
+
+    @F.pandas_udf("array<long>")
+    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            good = [v is not None and len(v) == dimensions for v in s]
+            out = pd.Series([None] * len(s), dtype=object)
+            if any(good):
+                sides = np.stack([np.asarray(v, dtype=np.float32) for v, g in zip(s, good) if g]) @ planes > 0
+                words = np.packbits(sides, axis=1, bitorder="little").view("<i8")
+                out[np.flatnonzero(good)] = pd.Series(list(words), index=np.flatnonzero(good))
+            yield out
+
+    return vectors.withColumn("signature", sign("embedding"))
+
+
+def most_differing(min_score: float, bits: int = SIGNATURE_BITS, recall: float = RECALL) -> int:
+    """The differing bits up to which a pair of cosine ``min_score`` is found with probability ``recall``: a bit differs with
+    probability angle / pi, independently (normal approximation). Pairs of higher cosine are found oftener."""
+    p = math.acos(min_score) / math.pi
+    return math.ceil(bits * p + statistics.NormalDist().inv_cdf(recall) * math.sqrt(bits * p * (1 - p)))
+
+
+def ann_index(corpus: DataFrame, path: str, dimensions: int, bits: int = SIGNATURE_BITS) -> DataFrame:
+    """The written signature index: a row a vector, split by model."""
+    cols = ["chunk_id", "embedding", "country", "project_id", "signature", "embedding_model"]
+    signed = with_signature(corpus, dimensions, bits).select(*cols)
+    signed.write.mode("errorifexists").partitionBy("embedding_model").parquet(path)
+    return corpus.sparkSession.read.schema(signed.schema).parquet(path)
+
+
+def ann_candidates(index: DataFrame, queries: DataFrame, dimensions: int, min_score: float = MIN_RETRIEVAL_SCORE,
+                   bits: int = SIGNATURE_BITS, recall: float = RECALL) -> DataFrame:
+    """(query_id, chunk_id, retrieval_score): pairs whose signatures differ in few enough bits, scored exactly.
+
+    Comparing a pair's signatures is a few xors and bit counts inside the scan's generated code; only pairs that
+    pass get a cosine. The query set is a stated one: it is broadcast if its counted bytes fit, else in as many parts.
+    """
+    q = with_signature(queries, dimensions, bits).select(
+        "query_id", F.col("embedding").alias("q_embedding"), "country_filter", "project_filter",
+        F.col("embedding_model").alias("q_model"), F.col("signature").alias("q_signature"))
+    parts = max(1, -(-queries.count() * (dimensions * 8 + bits // 8 + 200) // BROADCAST_BYTES))
+    differing = sum(F.bit_count(F.get("signature", F.lit(i)).bitwiseXOR(F.get("q_signature", F.lit(i)))) for i in range(bits // 64))
+    near = ((F.col("embedding_model") == F.col("q_model")) & (differing <= most_differing(min_score, bits, recall))
+            & (F.col("country_filter").isNull() | (F.lower("country") == F.lower("country_filter")))
+            & (F.col("project_filter").isNull() | (F.col("project_id") == F.col("project_filter"))))
+    out = None
+    for i in range(parts):
+        some = q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        pairs = index.join(F.broadcast(some), near).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q_embedding")).alias("retrieval_score"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def ann_search(index: DataFrame, queries: DataFrame, dimensions: int, k: int = 8, min_score: float = MIN_RETRIEVAL_SCORE,
+               bits: int = SIGNATURE_BITS, recall: float = RECALL) -> DataFrame:
+    """(query_id, rank, chunk_id, retrieval_score): a query's best ``k`` candidates of at least ``min_score``."""
+    found = ann_candidates(index, queries, dimensions, min_score, bits, recall).filter(F.col("retrieval_score") >= min_score)
+    w = Window.partitionBy("query_id").orderBy(F.col("retrieval_score").desc(), F.col("chunk_id"))
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
+        .select("query_id", "rank", "chunk_id", F.round("retrieval_score", 4).alias("retrieval_score"))

@@ -3,11 +3,12 @@ and the review workflow."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EXPECTED_CONTRACTS
 from ..operators import curate, enrichment, evidence, retrieval, review
+from ..session import scratch_path
 from ..sources import adapters
 from ..sources.tables import read_table
 from .catalog import ISSUE_OUT, ing, register
@@ -106,6 +107,9 @@ def _with_corpus(select: str) -> str:
     return "," + _CORPUS_SQL + select
 
 
+VECTOR_DIMENSIONS = 64
+
+
 def corpus(spark, sf) -> DataFrame:
     e = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     vid = F.col("vec_id").cast("string")
@@ -396,26 +400,42 @@ def q_abstention(spark, sf):
     return retrieval.abstention(qs, res).select("query_id", "result_count", "abstained")
 
 
+_ANN: dict = {}
+
+
+def ann_index(spark, sf) -> DataFrame:
+    """The signature index of the corpus, written once a session and tables folder."""
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if key not in _ANN:
+        _ANN[key] = retrieval.ann_index(corpus(spark, sf), scratch_path(spark, "ann-index"), VECTOR_DIMENSIONS)
+    return _ANN[key]
+
+
+def ann_queries(spark, sf) -> DataFrame:
+    """The approximate search's query set: every vector whose id is divisible by 100."""
+    e = read_table(spark, sf, "embeddings", "vec_id", "embedding").filter(F.col("vec_id") % 100 == 0)
+    none = F.lit(None).cast("string")
+    return e.select(F.col("vec_id").alias("query_id"), "embedding", none.alias("country_filter"), none.alias("project_filter"),
+                    F.lit("driver-64d").alias("embedding_model"))
+
+
 @register("ann_recall")
 def q_ann_recall(spark, sf, k: int = 8):
-    """Recall of the LSH approximate search against exact top-k, per query."""
-    qs = labelled_queries(spark, sf)
+    """Per query: how many of the exact best k the approximate search found, and the share of the corpus that it scored."""
+    qs, index = ann_queries(spark, sf), ann_index(spark, sf)
     exact = retrieval.semantic_search_batch(corpus(spark, sf), qs, k=k).select("query_id", "chunk_id")
-    approx = q_ann_search(spark, sf, k).select("query_id", "chunk_id")
+    approx = retrieval.ann_search(index, qs, VECTOR_DIMENSIONS, k).select("query_id", "chunk_id")
+    scored = retrieval.ann_candidates(index, qs, VECTOR_DIMENSIONS).groupBy("query_id").agg(F.count(F.lit(1)).alias("candidates"))
     hits = exact.join(approx, ["query_id", "chunk_id"], "left_semi").groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
     totals = exact.groupBy("query_id").agg(F.count(F.lit(1)).alias("relevant"))
-    return totals.join(hits, "query_id", "left").select(
-        "query_id", "relevant", F.coalesce("hits", F.lit(0)).alias("found"),
+    return totals.join(hits, "query_id", "left").join(scored, "query_id", "left").select(
+        "query_id", "relevant", F.coalesce("hits", F.lit(0)).alias("found"), F.coalesce("candidates", F.lit(0)).alias("candidates"),
         F.round(F.coalesce("hits", F.lit(0)) / F.col("relevant"), 3).alias("recall"))
 
 
 @register("ann_search")
 def q_ann_search(spark, sf, k: int = 8):
-    qs = labelled_queries(spark, sf)
-    cand = retrieval.ann_candidates(corpus(spark, sf), qs)
-    w = Window.partitionBy("query_id").orderBy(F.col("retrieval_score").desc(), F.col("chunk_id"))
-    return cand.filter(F.col("retrieval_score") >= 0.25).withColumn("rank", F.row_number().over(w)) \
-        .filter(F.col("rank") <= k).withColumn("retrieval_score", F.round("retrieval_score", 4))
+    return retrieval.ann_search(ann_index(spark, sf), ann_queries(spark, sf), VECTOR_DIMENSIONS, k)
 
 
 @register("hash_embed",
