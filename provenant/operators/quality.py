@@ -4,9 +4,8 @@ issue ledger.
 All controls of a record are evaluated in one projection: blocking issues
 become an ``array<struct>`` (in control order), warnings another, and the
 ledger is a single ``explode``. The only shuffle is DQ-008 (first sight of a
-content hash), done as a partial-aggregated ``min`` per hash joined back, so
-a hash shared by a third of all rows is combined map-side and its join
-partition can be split by AQE.
+content hash): a partial-aggregated ``min`` per hash, whose hot hashes are
+joined back by broadcast and the others by shuffle.
 """
 
 from __future__ import annotations
@@ -17,8 +16,13 @@ from pyspark.sql import functions as F
 from ..config import CONTROL_CATALOG, QUALITY_FIELDS
 from ..functions import text as T
 from ..functions.hashing import content_hash
+from ..session import scratch_path
 from .contracts import apply_contract
 
+# Records of one content hash beyond which the hash is hot; a first sight's row, and what is broadcast of them at most.
+HOT_ROWS = 10_000
+FIRST_SIGHT_BYTES = 200
+BROADCAST_BYTES = 8 << 20
 ISSUE_COLUMNS = ["issue_id", "run_id", "control_id", "severity", "result", "record_type", "record_id",
                  "source_field", "original_value", "normalized_value", "recommended_handling", "ingest_seq"]
 DISPOSITION_COLUMNS = ["run_id", "record_type", "record_id", "disposition", "reason", "payload",
@@ -162,18 +166,45 @@ def notice_control_issues(classified: DataFrame) -> DataFrame:
     return _issue_rows(classified, F.when(quarantined, F.col("_blocking")).otherwise(F.col("_warnings")))
 
 
-def duplicate_content_flags(classified: DataFrame) -> DataFrame:
-    """DQ-008 candidates: non-quarantined notices whose content hash was seen
-    earlier in the same run (source order = ingest_seq)."""
-    cand = classified.filter(F.col("disposition") != "quarantined") \
+def _candidates(classified: DataFrame) -> DataFrame:
+    return classified.filter(F.col("disposition") != "quarantined") \
         .select("run_id", "record_type", "record_id", "ingest_seq", "_content_hash", F.col("_src.bid_description").alias("_bid"))
-    first = cand.groupBy("run_id", "_content_hash").agg(F.min("ingest_seq").alias("_first_seq"))
-    dup = cand.join(first, ["run_id", "_content_hash"]).filter(F.col("ingest_seq") > F.col("_first_seq"))
-    return dup
 
 
-def duplicate_content_issues(classified: DataFrame) -> DataFrame:
-    dup = duplicate_content_flags(classified)
+def first_sights(classified: DataFrame) -> DataFrame:
+    """(run_id, _content_hash, _first_seq, _rows) of the hashes seen more than once, written to the shared scratch
+    folder. The aggregate combines map-side, so a hot hash is a row a task before the shuffle."""
+    spark = classified.sparkSession
+    path = scratch_path(spark, "first-sights")
+    firsts = _candidates(classified).groupBy("run_id", "_content_hash") \
+        .agg(F.min("ingest_seq").alias("_first_seq"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
+    firsts.write.parquet(path)
+    return spark.read.schema(firsts.schema).parquet(path)
+
+
+def duplicate_content_flags(classified: DataFrame, firsts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """DQ-008 candidates: non-quarantined notices whose content hash was seen
+    earlier in the same run (source order = ingest_seq).
+
+    A hash on more than ``hot_rows`` records is hot. Hot hashes' first sights, as many as fit ``BROADCAST_BYTES`` by their
+    count, the hottest first, are broadcast: their records are compared where they stand. All other records are joined by hash,
+    where no key has more rows than that bound leaves.
+    """
+    firsts = first_sights(classified) if firsts is None else firsts
+    cand, key = _candidates(classified), ["run_id", "_content_hash"]
+    least = hot_rows
+    hot = firsts.filter(F.col("_rows") > least)
+    while hot.count() * FIRST_SIGHT_BYTES > BROADCAST_BYTES:
+        least *= 2
+        hot = firsts.filter(F.col("_rows") > least)
+    here = F.broadcast(hot.drop("_rows"))
+    apart = cand.join(F.broadcast(hot.select(*key)), key, "left_anti").join(firsts.filter(F.col("_rows") <= least).drop("_rows"), key)
+    later = F.col("ingest_seq") > F.col("_first_seq")
+    return cand.join(here, key).filter(later).unionByName(apart.filter(later))
+
+
+def duplicate_content_issues(classified: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
+    dup = duplicate_content_flags(classified, firsts)
     return _issue_rows(dup, F.array(_issue("DQ-008", "bid_description", F.col("_bid"))))
 
 

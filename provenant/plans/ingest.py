@@ -39,6 +39,7 @@ class Ingestion:
     project_url_prefix: str = DEFAULT_PROJECT_URL_PREFIX
     source_notices: DataFrame | None = None
     source_awards: DataFrame | None = None
+    _first_sights: DataFrame | None = None
 
     # ---- routed records --------------------------------------------------------------
     def loaded_notices(self) -> DataFrame:
@@ -78,8 +79,10 @@ class Ingestion:
 
     # ---- ledgers ---------------------------------------------------------------------
     def run_issues(self) -> DataFrame:
+        if self._first_sights is None:  # written once a run
+            self._first_sights = quality.first_sights(self.classified_notices)
         return (quality.notice_control_issues(self.classified_notices)
-                .unionByName(quality.duplicate_content_issues(self.classified_notices))
+                .unionByName(quality.duplicate_content_issues(self.classified_notices, self._first_sights))
                 .unionByName(quality.award_control_issues(self.classified_awards)))
 
     def curation_issues(self) -> DataFrame:
