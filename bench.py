@@ -16,9 +16,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from provenant.operators import evidence, retrieval, review  # noqa: E402
+from provenant.operators.tables import scratch_table  # noqa: E402
 from provenant.plans.catalog_more import corpus, labelled_queries  # noqa: E402
 from provenant.plans.ingest import adapter_ingestion  # noqa: E402
-from provenant.session import checkpoint_dir, get_spark  # noqa: E402
+from provenant.session import checkpoint_dir, get_spark, scratch_path  # noqa: E402
 from provenant.sources import adapters  # noqa: E402
 
 
@@ -44,7 +45,8 @@ def main() -> None:
     timed("projects", lambda: run(ing.projects()))
     timed("project_features", lambda: run(ing.features()))
     timed("document_chunks", lambda: run(ing.chunks()))
-    timed("issue_ledger", lambda: run(ing.issues()))
+    ledger = scratch_path(spark, "issues")  # written, as a run writes it: the review reads the ledger
+    timed("issue_ledger", lambda: ing.issues().write.parquet(ledger))
     timed("disposition_ledger", lambda: run(ing.dispositions()))
 
     def ev():
@@ -62,9 +64,9 @@ def main() -> None:
           lambda: run(retrieval.semantic_search_batch(corpus(spark, sf_dir), labelled_queries(spark, sf_dir))))
 
     def rv():
-        issues = ing.issues()
+        issues = spark.read.parquet(ledger)
         requests, cmds = adapters.review_inputs(spark, sf_dir, issues)
-        cases = review.open_cases(requests, issues)
+        cases = scratch_table(review.open_cases(requests, issues), "review-cases")
         run(review.current_state(cases, review.evaluate_commands(cmds, cases)))
     timed("review_state", rv)
 

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from ..config import CONTROL_CATALOG, QUALITY_FIELDS
 from ..functions import text as T
 from ..functions.hashing import content_hash
-from ..session import scratch_path
 from .contracts import apply_contract
+from .tables import scratch_table
 
 # Records of one content hash beyond which the hash is hot; a first sight's row, and what is broadcast of them at most.
 HOT_ROWS = 10_000
@@ -174,12 +174,9 @@ def _candidates(classified: DataFrame) -> DataFrame:
 def first_sights(classified: DataFrame) -> DataFrame:
     """(run_id, _content_hash, _first_seq, _rows) of the hashes seen more than once, written to the shared scratch
     folder. The aggregate combines map-side, so a hot hash is a row a task before the shuffle."""
-    spark = classified.sparkSession
-    path = scratch_path(spark, "first-sights")
     firsts = _candidates(classified).groupBy("run_id", "_content_hash") \
         .agg(F.min("ingest_seq").alias("_first_seq"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
-    firsts.write.parquet(path)
-    return spark.read.schema(firsts.schema).parquet(path)
+    return scratch_table(firsts, "first-sights")
 
 
 def duplicate_content_flags(classified: DataFrame, firsts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:

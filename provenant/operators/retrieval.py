@@ -174,25 +174,28 @@ def hash_embed(chunks: DataFrame, text_col: str = "text", dimensions: int = HASH
     """Adds ``embedding``: distinct-token counts per hash bucket, L2-normalized.
 
     Row-local native expressions only (no shuffle, no Python). The sorted
-    bucket array is bound once; the count of bucket ``i`` is the span between
-    its first and last position (native ``array_position``), so each row costs
-    one lambda call per dimension. Every lambda touches only bound variables: a
-    lambda naming an outer column would re-evaluate that column per element.
+    bucket array is bound once; the vector is the runs of zeros between the row's few distinct
+    buckets and their weights, so a row costs a lambda call per distinct bucket, not per dimension. Every lambda touches only
+    bound variables: a lambda naming an outer column would re-evaluate that column per element.
     """
     buckets = F.array_sort(F.transform(T.tokens(F.col(text_col), TOKEN_PATTERN),
                                        lambda t: token_bucket(t, dimensions)))
 
-    def span(bs, b):
-        first = F.array_position(bs, b)
-        last = F.size(bs) - F.array_position(F.reverse(bs), b) + 1
-        return F.when(first > 0, (last - first + 1).cast("double")).otherwise(F.lit(0.0))
+    def zeros(n):
+        return F.array_repeat(F.lit(0.0).cast("float"), n)
 
     def embed(bs):
-        # norm from the few distinct buckets, then one pass over the dimensions
-        norm_ = F.sqrt(F.aggregate(F.array_distinct(bs), F.lit(0.0), lambda s_, b: s_ + span(bs, b) * span(bs, b)))
-        return F.element_at(F.transform(F.array(norm_), lambda n: F.transform(
-            F.sequence(F.lit(0), F.lit(dimensions - 1)),
-            lambda i: F.when(n > 0, span(bs, i) / n).otherwise(F.lit(0.0)).cast("float"))), 1)
+        def counted(x):  # x: distinct buckets in order, and how often each stands in bs
+            length = F.sqrt(F.aggregate(x["n"], F.lit(0.0), lambda s_, n: s_ + n * n))
+
+            def run(length_):
+                return F.flatten(F.transform(x["d"], lambda d, i: F.concat(
+                    zeros(d - F.coalesce(F.get(x["d"], i - 1), F.lit(-1)) - 1), F.array((F.get(x["n"], i) / length_).cast("float")))))
+            return F.concat(F.element_at(F.transform(F.array(length), run), 1), zeros(dimensions - 1 - F.coalesce(F.array_max(x["d"]), F.lit(-1))))
+
+        distinct = F.array_distinct(bs)
+        times = F.transform(distinct, lambda d: F.size(F.filter(bs, lambda b: b == d)).cast("double"))
+        return F.element_at(F.transform(F.array(F.struct(distinct.alias("d"), times.alias("n"))), counted), 1)
 
     emb = F.element_at(F.transform(F.array(buckets), embed), 1)
     return chunks.withColumn("embedding", emb)

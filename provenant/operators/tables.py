@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def _order(cols: list, descending: bool) -> list[Column]:
     out = []
@@ -61,6 +63,8 @@ def append_ledger(df: DataFrame, path: str, partition_by: list[str] | None = Non
     return path
 
 
-def overwrite_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
-    df.write.mode("overwrite").format(fmt).save(path)
-    return path
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` into the shared scratch folder and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
