@@ -66,21 +66,32 @@ def normalize_date(c) -> Column:
     return F.when(raw.isNull() | (raw == ""), F.lit(None).cast("date")).otherwise(parsed)
 
 
+# First digits of the decimal digit runs that a number's text may use beside 0-9 (ten code points each).
+_DIGIT_ZEROS = (0x0660, 0x06F0, 0x07C0, 0x0966, 0x09E6, 0x0A66, 0x0AE6, 0x0B66, 0x0BE6, 0x0C66, 0x0CE6, 0x0D66, 0x0E50, 0x0ED0, 0x0F20, 0x1040, 0x17E0,
+                0x1810, 0xFF10)
+_DIGITS = ("".join(chr(z + d) for z in _DIGIT_ZEROS for d in range(10)), "0123456789" * len(_DIGIT_ZEROS))
+
+
+def ascii_digits(c) -> Column:
+    """Decimal digits of other scripts as 0-9."""
+    return F.translate(as_column(c).cast("string"), *_DIGITS)
+
+
 def is_python_float(c) -> Column:
-    return as_column(c).cast("string").rlike(_PY_FLOAT_RE)
+    return ascii_digits(c).rlike(_PY_FLOAT_RE)
 
 
 def to_number(c) -> Column:
-    """null / '' -> null; Python float syntax -> double; anything else -> null
+    """null / '' -> null; Python float syntax, in digits of any script -> double; anything else -> null
     (the caller flags it as a ValueError through :func:`to_number_error`)."""
-    s = as_column(c).cast("string")
+    s = ascii_digits(c)
     cleaned = F.regexp_replace(py_strip(s), "_", "")
     return F.when(s.isNull() | (s == ""), F.lit(None).cast("double")) \
         .when(is_python_float(s), cleaned.try_cast("double"))
 
 
 def to_number_error(c) -> Column:
-    s = as_column(c).cast("string")
+    s = ascii_digits(c)
     return s.isNotNull() & (s != "") & ~is_python_float(s)
 
 
