@@ -4,16 +4,18 @@ A text's lower-cased (A-Z) UTF-8 bytes give subwords: the byte n-grams of ``GRAM
 one boundary byte each side, hashed into ``BUCKETS`` rows of an embedding table. A text is the mean of its
 subwords' embeddings; a linear softmax gives the language. Embeddings and softmax are
 trained by stochastic gradient descent in numpy on at most ``TRAIN_ROWS`` labelled texts (the bound is a
-parameter; they are the labelled rows of the smallest id hashes, whole texts). Scores are calibrated by a
-temperature fitted on held-back training texts, and the rejection threshold is the score below
-which only ``REJECT`` of those that are predicted rightly fall.
+parameter; they are the labelled rows of the smallest id hashes, whole texts). A sixth of them, by id hash, is held back to fit the
+temperature that calibrates the scores. The rejection threshold is the score below
+which ``REJECT`` of the rightly predicted texts fall among the held-back ones and about ``CALIBRATE_ROWS`` further labelled texts, those of
+the next id hashes, which Spark scores and whose quantile it takes.
 
 Because the softmax is linear, each bucket's logits are computed once; scoring sums them over the whole
 text in slabs, so neither a long text nor a large table needs more memory.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0 and rejected; without a
 labelled text every text is ``und``; labels that are null are not learned from; ids, labels and
-sources are never inputs; repeated rows each come back; extra columns are ignored.
+sources are never inputs; of equal scores the first language in code-point order wins; repeated rows each come back; very long texts are
+read whole; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +33,12 @@ GRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
 WIDTH = 16
 TRAIN_ROWS = 2500
+CALIBRATE_ROWS = 40000
 EPOCHS = 20
 RATE = 2.0
 REJECT = 0.0005
 UNKNOWN = "und"
+_DRAWS = 1 << 40
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -94,7 +98,7 @@ def _separated(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, buckets, weights) of each training text: its distinct subwords and their shares."""
+    """(lang, draw, buckets, weights) of each training text: its distinct subwords and their shares."""
     for whole in batches:
         for batch in C.slabs(whole):
             for row in range(batch.num_rows):
@@ -102,8 +106,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 buckets = np.concatenate([b for _, b in _grams(data)] or [np.zeros(0, dtype=np.int64)])
                 ids, n = np.unique(buckets, return_counts=True)
                 if len(ids):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), pa.array([ids.astype(np.uint16).tobytes()], pa.binary()), pa.array([(n / n.sum()).astype(np.float32).tobytes()], pa.binary())],
-                                                     names=["lang", "buckets", "weights"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(2).slice(row, 1), pa.array([ids.astype(np.uint16).tobytes()], pa.binary()), pa.array([(n / n.sum()).astype(np.float32).tobytes()], pa.binary())],
+                                                     names=["lang", "draw", "buckets", "weights"])
 
 
 class Model:
@@ -118,21 +122,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: DataFrame, key: str, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled texts, those with the smallest hash of ``key``."""
-    labelled = texts.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+def train(texts: DataFrame, key: str, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, calibrate: int = CALIBRATE_ROWS) -> Model:
+    """Fit on at most ``rows`` labelled texts, those with the smallest hash of ``key``; calibrate on those held back and about ``calibrate`` more."""
+    draw = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(_DRAWS))
+    labelled = texts.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
     total = labelled.count()
-    share = labelled
-    if total > rows:  # a cut on the hash keeps about the bound; the sorted limit makes it one
-        share = labelled.where(F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 30)) < int(1.2 * rows / total * (1 << 30)))
-    share = share.orderBy(F.xxhash64(key, F.lit(11)), key).limit(rows)
-    got = C.written(share.select(F.col(label).alias("lang"), F.col(text).alias("text")).mapInArrow(_counts, "lang string, buckets binary, weights binary"), "subwords").toArrow()
+    # A cut on the hash keeps about the bound; the sorted limit makes it one.
+    share = labelled.where(F.col("draw") < int(min(1.0, 1.2 * rows / max(total, 1)) * _DRAWS)).orderBy("draw", "text").limit(rows)
+    got = C.written(share.mapInArrow(_counts, "lang string, draw long, buckets binary, weights binary"), "subwords").toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     if not names:
         return Model([], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 0.0)
-    labels, content, shares = (got.column(c).to_pylist() for c in ("lang", "buckets", "weights"))
+    labels, draws, content, shares = (got.column(c).to_pylist() for c in ("lang", "draw", "buckets", "weights"))
     del got
-    order = sorted(range(len(content)), key=content.__getitem__)
+    order = sorted(range(len(content)), key=lambda i: (draws[i], content[i]))
     y = np.array([names.index(labels[i]) for i in order])
     ids = [np.frombuffer(content[i], dtype=np.uint16) for i in order]
     share_ = [np.frombuffer(shares[i], dtype=np.float32) for i in order]
@@ -157,11 +160,14 @@ def train(texts: DataFrame, key: str, text: str = "text", label: str = "lang", r
     options = np.geomspace(0.25, 4, 33)
     loss = [-np.log(np.maximum(_softmax(raw / t)[np.arange(back), y[held]], 1e-12)).mean() for t in options]
     temperature = float(options[int(np.argmin(loss))])
-    p = _softmax(raw / temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[held]])
-    floor = 1.0 / len(names)
-    threshold = float(min(right[int(REJECT * len(right))] if len(right) else floor, 0.5 if len(names) > 1 else 0.0))
-    return Model(names, logits, bias, temperature, threshold)
+    model = Model(names, logits, bias, temperature, 0.0)
+    last_held, last = draws[order[back - 1]], draws[order[-1]]
+    more = last + int(calibrate / max(total, 1) * _DRAWS) if total > rows else last
+    apart = labelled.where((F.col("draw") <= last_held) | ((F.col("draw") > last) & (F.col("draw") <= more)))
+    right = predict(apart, model, "draw", "text", ("lang",)).where("lang_pred = c0")
+    low = right.agg(F.percentile_approx("score", F.lit(REJECT), F.lit(100000))).first()[0]
+    model.threshold = float(min(1.0 / len(names) if low is None else low, 0.5 if len(names) > 1 else 0.0))
+    return model
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

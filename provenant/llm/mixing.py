@@ -19,7 +19,8 @@ A hot source is never one task: documents are only summed (combined before a shu
 the source's row (one a source; broadcast only if their counted size fits).
 
 Defined results: a null text has size 0; size 0 documents are copied by their rate; a null source is a
-source of its own; repeated rows of one doc_id are decided alike; an empty table gives an empty result.
+source of its own; repeated rows of one doc_id are decided alike, and so are ties of a hash; very long texts are whole; an empty table gives an
+empty result; other columns, whatever their names, are kept by ``repeated`` and not read elsewhere.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ from provenant.llm import common as C
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-STEPS = 24
+# Newton or bisecting steps after which a source that is not close is an error.
+STEPS = 80
 # A source's words differ from its target by this share at most when the steps end.
 CLOSE = 1e-6
 BINS = 1024
@@ -48,10 +50,18 @@ def word_count(text: str):
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size, target) of rows (source, size)."""
     sources = C.written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
-    # One row a source: the ranking needs the source names alone.
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # Ranks by range partitions: a source's place in its partition, and the sources of the partitions before.
+    name = F.col("source").asc_nulls_last()
+    placed = C.written(sources.repartitionByRange(name).sortWithinPartitions(name).withColumn("place", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("place", 33)
+    before, seen = {}, 0
+    for row in placed.groupBy(part.alias("part")).count().orderBy("part").collect():  # a row a partition
+        before[row["part"]], seen = seen, seen + row["count"]
+    offsets = placed.sparkSession.createDataFrame(list(before.items()) or [(0, 0)], "part long, offset long")
+    rank = F.col("offset") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
     weights = F.array(*(F.lit(float(w)) for w in WEIGHTS))
-    sources = C.written(sources.withColumn("weight", F.get(weights, F.pmod(rank, F.lit(len(WEIGHTS))).cast("int"))), "weights")
+    ranked = placed.withColumn("part", part).join(F.broadcast(offsets), "part")
+    sources = C.written(ranked.select("source", "source_size", F.get(weights, F.pmod(rank, F.lit(len(WEIGHTS))).cast("int")).alias("weight")), "weights")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     while True:
@@ -99,6 +109,8 @@ def document_rates(sizes: DataFrame) -> DataFrame:
         if not state.where("not done").limit(1).count():
             break
         state = state.drop("done")
+    else:
+        raise ArithmeticError("the sources' multipliers did not settle")
     return state.select("source", "source_size", "target", "scale", "multiplier", "full")
 
 
@@ -135,7 +147,9 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
 
 
 def repeated(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents, each as often as its copies say."""
+    """The documents, each as often as its copies say, with all their columns, whatever their names."""
+    columns = docs.columns
+    inside = [f"c{i}" for i in range(len(columns))]
     copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    out = docs.join(copies, F.col(doc_id).eqNullSafe(F.col("_id"))).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(docs[c] for c in docs.columns))
+    out = docs.toDF(*inside).join(copies, F.col(inside[columns.index(doc_id)]).eqNullSafe(F.col("_id"))).where("_copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*inside).toDF(*columns)

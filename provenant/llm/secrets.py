@@ -13,8 +13,11 @@ Only DataFrame functions run. Texts that can hold no candidate leave after cheap
 are exploded and summed by text. Distinct (value, owner, repository) rows are combined before
 they are shuffled, so a value in a third of all texts is a few rows a task.
 
-Defined results: a null text is empty and has no spans; a null owner or repository is one of its own; repeated rows
-each come back; no column but the named ones is read; an empty table gives an empty result.
+Without a repository column an owner's documents are one repository.
+
+Defined results: a null text is empty and has no spans; a null owner or repository is one of its own; spans that begin together
+are listed by kind; repeated rows each come back; very long texts are whole; no column but the named ones is read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -117,11 +120,14 @@ def scan(docs: DataFrame, **names) -> DataFrame:
                        _listed(F.col("found"), False).alias("spans"), of("owned").alias("n_owned"), count(lambda s: s["live"]).alias("n_live"))
 
 
-def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", **names) -> DataFrame:
-    """The documents with every span (overlapping ones as one) replaced by MASK; other texts and all other columns as they are."""
+def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: str = "source", repository: str | None = None) -> DataFrame:
+    """The documents with every span (overlapping ones as one) replaced by MASK; other texts and all other columns, whatever their
+    names, as they are."""
     columns = docs.columns
-    docs = C.written(docs.withColumn("_key", F.monotonically_increasing_id()), "texts")
-    rows, found = _gathered(docs, doc_id="_key", text=text, owner=owner, **names)
+    inside = {c: f"c{i}" for i, c in enumerate(columns)}
+    docs = C.written(docs.toDF(*inside.values()).withColumn("_key", F.monotonically_increasing_id()), "texts")
+    rows, found = _gathered(docs, doc_id="_key", text=inside[text], owner=inside[owner], repository=repository and inside[repository])
+    text = inside[text]
     hits = rows.join(found, "row").select(F.col("doc_id").alias("_hit"), "found")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -134,7 +140,7 @@ def redacted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner:
     t = F.col(text)
     new = F.aggregate("found", start, step(t), lambda a: F.concat(a["out"], t.substr(a["at"].cast("int") + 1, F.length(t))))
     joined = docs.join(hits, F.col("_key") == F.col("_hit"), "left")
-    return joined.withColumn(text, F.when(F.col("found").isNotNull(), new).otherwise(t)).select(*columns)
+    return joined.withColumn(text, F.when(F.col("found").isNotNull(), new).otherwise(t)).select(*inside.values()).toDF(*columns)
 
 
 ORACLE = r"""

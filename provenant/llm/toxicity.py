@@ -1,26 +1,29 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words are read as classes: insults (a lexicon learned from labels), threats, targets, negations and
-words of reported speech. Five small transducers read the classes of a clause: the insult transducer
-emits a word's weight, the threat transducer a threat that is followed by a target, the target transducer
-raises insults next to a target, the negation transducer lowers insults behind a negation, and the
-reported-speech transducer lowers what follows a word of saying. Their composition is one
-table over product states; a clause's score is what the composed machine emits, so words
-are never scored alone. A logistic curve over a text's clause scores (their sum, the largest and the rate a
+words of reported speech. Five weighted transducers read a clause's classes one after another, each the classes that the one before
+writes: the insult transducer passes the weight of insults alone, the target transducer
+raises insults next to a target, the threat transducer writes a menace where a threat and a target meet, the negation
+transducer lowers insults and menaces behind a negation, and the reported-speech transducer lowers what follows a word of
+saying. ``compose`` multiplies weights over product states, so all five run as one
+table; a clause's score is what the composed machine emits, and words are never scored alone. The factors are
+constants; what they are worth is learned with the curve. A logistic curve over a text's clause scores (their sum, the largest and the rate a
 word) gives the probability.
 
 Learning uses at most ``TRAIN_ROWS`` labelled texts (a documented bound: those of the smallest id hashes),
 whole. Two thirds of them teach the lexicon: whole words and word beginnings that stand in ``CONTEXTS``
-different contexts of toxic texts and are far rarer in others; copies of one text give one context
-each word, so they teach nothing. The last third fits the curve.
+different contexts of toxic texts and are far rarer in others (Spark joins the counts of both kinds, so only the
+lexicon reaches the driver); copies of one text give one context each word, so they teach nothing. The last third fits the curve.
 
 Defined results: a null or empty text has no clauses and the curve's lowest score; without labelled texts of both kinds
 scores are 0; null labels aren't learned from; repeated rows each come back; labels, ids, languages and sources
-are never inputs of a score; extra columns are ignored; very long texts are read whole.
+are never inputs of a score; of several labels of one id the greatest counts; terms of equal odds are all kept; an empty table gives an
+empty result; other columns, whatever their names, are not read; very long texts are read whole.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -32,16 +35,18 @@ from pyspark.sql import functions as F
 from provenant.llm import common as C
 
 TRAIN_ROWS = 12000
-MAX_TERMS = 50000
 CONTEXTS = 5
 LEAST_ODDS = 2.5
 PREFIXES = (4, 5, 6)
 REACH = 3
 WITH_TARGET, NEGATED, REPORTED, THREATENED = 1.5, 0.4, 0.6, 4.0
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP = range(7)
-# Function words of English, German, French and Spanish.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, STOP, MENACE = range(8)
+KINDS = 8
+# Function words of English, German, French and Spanish, and words of threats with their regular endings.
 WORDS = {
-    THREAT: "kill hurt destroy beat stab töten umbringen schlagen verletzen tuer frapper blesser matar herir golpear".split(),
+    THREAT: [w + e for w in "kill murder destroy shoot hurt".split() for e in ("", "s", "ed", "ing")]
+    + "stab stabs stabbed stabbing beat beats beaten beating töten töte tötet getötet umbringen umbringe umgebracht schlagen schlage schlägt "
+      "verletzen verletze tuer tue tué frapper frappe blesser blessé matar mato mataré herir golpear".split(),
     TARGET: "you your yourself they them he she him her people du dich dir ihr euch sie tu toi te vous ils elles tú ti usted ustedes vosotros ellos ellas".split(),
     NEGATION: "not never no isn aren wasn don doesn nicht nie kein keine keinen niemals ne pas jamais aucun nunca jamás tampoco".split(),
     REPORT: "said says called wrote quoted claimed reported sagte schrieb nannte zitierte dit écrit appelé cité dijo escribió llamó citó".split(),
@@ -49,36 +54,79 @@ WORDS = {
 TOKEN = re.compile(r"[^\W\d_]+|[.!?;:\n]")
 
 
-def compose() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(next state, factor on an insult's weight, threat emitted) by product state and class.
-
-    A state is (words left of a threat, of a target, of a negation, reported), as one number.
-    """
+class Transducer:
+    """For each state and class read: the next state, the class written and the factor on the symbol's weight. State 0 is the start."""
+
+    def __init__(self, next_: np.ndarray, writes: np.ndarray, factor: np.ndarray):
+        self.next, self.writes, self.factor = next_, writes, factor
+
+    @classmethod
+    def of(cls, states: int, rule) -> "Transducer":
+        """From ``rule(state, kind)``, which gives the next state, and if they change the class written and the factor."""
+        next_, writes, factor = np.zeros((states, KINDS), dtype=np.int64), np.zeros((states, KINDS), dtype=np.int64), np.ones((states, KINDS))
+        for state in range(states):
+            for kind in range(KINDS):
+                told = rule(state, kind)
+                told = told if isinstance(told, tuple) else (told,)
+                next_[state, kind] = told[0]
+                writes[state, kind] = told[1] if len(told) > 1 else kind
+                factor[state, kind] = told[2] if len(told) > 2 else 1.0
+        return cls(next_, writes, factor)
+
+    def apply(self, kinds: list[int], weights: list[float]) -> tuple[list[int], list[float]]:
+        """What it writes for one clause."""
+        state, out, scaled = 0, [], []
+        for kind, weight in zip(kinds, weights, strict=True):
+            out.append(int(self.writes[state, kind]))
+            scaled.append(weight * float(self.factor[state, kind]))
+            state = int(self.next[state, kind])
+        return out, scaled
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The transducer that does what ``second`` does with what ``first`` writes."""
+    many = len(second.next)
+    pair = np.arange(len(first.next) * many)
+    one, two = pair // many, pair % many
+    read = first.writes[one]
+    return Transducer(first.next[one] * many + second.next[two[:, None], read], second.writes[two[:, None], read], first.factor[one] * second.factor[two[:, None], read])
+
+
+def _after(kind: int, changed: tuple[int, ...], by: float, reach: int | None) -> Transducer:
+    """Changes the weight of classes within ``reach`` words (None: to the clause's end) after a word of a class."""
+    longest = 1 if reach is None else reach
+
+    def rule(state: int, read: int):
+        left = longest if read == kind else 0 if read == STOP else state if reach is None else max(state - 1, 0)
+        return left, read, by if state and read in changed else 1.0
+    return Transducer.of(longest + 1, rule)
+
+
+def _threats() -> Transducer:
+    """Writes a menace for a target soon after a threat, or a threat soon after a target."""
     n = REACH + 1
-    size = n * n * n * 2
-    next_, factor, threat = np.zeros((size, 7), dtype=np.int64), np.ones((size, 7)), np.zeros((size, 7))
-    for state in range(size):
-        rest, said = divmod(state, 2)
-        rest, no = divmod(rest, n)
-        danger, aim = divmod(rest, n)
-        for kind in range(7):
-            d, a, g, r = max(danger - 1, 0), max(aim - 1, 0), max(no - 1, 0), said
-            if kind == THREAT:
-                d = REACH
-            elif kind == TARGET:
-                a = REACH
-                if danger:
-                    threat[state, kind] = THREATENED * (NEGATED if no else 1) * (REPORTED if said else 1)
-                    d = 0
-            elif kind == NEGATION:
-                g = REACH
-            elif kind == REPORT:
-                r = 1
-            elif kind == STOP:
-                d = a = g = r = 0
-            factor[state, kind] = (WITH_TARGET if aim else 1) * (NEGATED if no else 1) * (REPORTED if said else 1)
-            next_[state, kind] = ((d * n + a) * n + g) * 2 + r
-    return next_, factor, threat
+
+    def rule(state: int, read: int):
+        threat, target = divmod(state, n)
+        if (read == TARGET and threat) or (read == THREAT and target):
+            return 0, MENACE
+        threat = REACH if read == THREAT else 0 if read == STOP else max(threat - 1, 0)
+        target = REACH if read == TARGET else 0 if read == STOP else max(target - 1, 0)
+        return threat * n + target
+    return Transducer.of(n * n, rule)
+
+
+def transducers() -> list[Transducer]:
+    """Insult, target, threat, negation and reported speech, in the order they read."""
+    insults = Transducer.of(1, lambda state, read: (0, read, 1.0 if read in (INSULT, THREAT, TARGET) else 0.0))
+    return [insults, _after(TARGET, (INSULT,), WITH_TARGET, REACH), _threats(), _after(NEGATION, (INSULT, MENACE), NEGATED, REACH),
+            _after(REPORT, (INSULT, MENACE), REPORTED, None)]
+
+
+def machine() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(next state, factor on an insult's weight, menace emitted) of the composed machine, by state and class."""
+    whole = functools.reduce(compose, transducers())
+    return whole.next, np.where(whole.writes == INSULT, whole.factor, 0.0), np.where(whole.writes == MENACE, whole.factor * THREATENED, 0.0)
 
 
 class Lexicon(dict):
@@ -104,7 +152,7 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def features(text: str, lexicon: Lexicon, machine) -> tuple[float, float, float]:
+def features(text: str, lexicon: Lexicon, tables) -> tuple[float, float, float]:
     """(log of 1 + sum, largest, sum per hundred words) of the clauses' scores."""
     tokens = TOKEN.findall(text.lower())
     read = [lexicon[t] for t in tokens]
@@ -112,7 +160,7 @@ def features(text: str, lexicon: Lexicon, machine) -> tuple[float, float, float]
     hot = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
     if not len(hot):
         return 0.0, 0.0, 0.0
-    next_, factor, threat = machine
+    next_, factor, threat = tables
     stops = np.flatnonzero(kinds == STOP)
     total = largest = 0.0
     # Clauses without an insult or a threat emit nothing.
@@ -138,7 +186,7 @@ class Grammar:
         return 1 / (1 + np.exp(-np.clip(x @ np.array(self.curve[1:]) + self.curve[0], -30, 30)))
 
 
-def _context_rows(wanted: set[str] | None):
+def _context_rows():
     """Rows (term, n, contexts) of a slab: texts with the term, and a 64-bit set of the words before it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -153,9 +201,8 @@ def _context_rows(wanted: set[str] | None):
                         bit = 1 << (zlib.crc32(before.encode()) & 63)
                         before = word
                         for term in terms_of(word):
-                            if wanted is None or term in wanted:
-                                seen.add(term)
-                                bits[term] = bits.get(term, 0) | bit
+                            seen.add(term)
+                            bits[term] = bits.get(term, 0) | bit
                     for term in seen:
                         many[term] = many.get(term, 0) + 1
                 names = list(many)
@@ -166,10 +213,10 @@ def _context_rows(wanted: set[str] | None):
 
 def _features_of(terms: dict[str, float], keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, machine = Lexicon(terms), compose()
+        lexicon, tables = Lexicon(terms), machine()
         for whole in batches:
             for batch in C.slabs(whole):
-                rows = [features(t or "", lexicon, machine) for t in batch.column(1).to_pylist()]
+                rows = [features(t or "", lexicon, tables) for t in batch.column(1).to_pylist()]
                 x = np.array(rows, dtype=np.float64).reshape(len(rows), 3)
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + [pa.array(x[:, i]) for i in range(3)], names=[*keep, "total", "largest", "rate"])
     return run
@@ -203,12 +250,11 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return Grammar({}, None)
     shape = "term string, n long, contexts long"
     agg = (F.sum("n").alias("n"), F.bit_count(F.bit_or("contexts")).alias("contexts"))
-    bad = teach.where("toxic = 1").select("toxic", "text").mapInArrow(_context_rows(None), shape).groupBy("term").agg(*agg).where(F.col("contexts") >= CONTEXTS)
-    bad = {r["term"]: r["n"] for r in bad.orderBy(F.desc("contexts"), F.desc("n"), "term").limit(MAX_TERMS).toArrow().to_pylist()}
-    good = teach.where("toxic = 0").select("toxic", "text").mapInArrow(_context_rows(set(bad)), shape).groupBy("term").agg(*agg)
-    good = {r["term"]: r["n"] for r in good.toArrow().to_pylist()}
-    odds = {t: float(np.log((n + 0.5) / (many[1] + 1)) - np.log((good.get(t, 0) + 0.5) / (many[0] + 1))) for t, n in bad.items()}
-    terms = {t: w for t, w in odds.items() if w >= LEAST_ODDS}
+    bad = teach.where("toxic = 1").select("toxic", "text").mapInArrow(_context_rows(), shape).groupBy("term").agg(*agg).where(F.col("contexts") >= CONTEXTS)
+    good = teach.where("toxic = 0").select("toxic", "text").mapInArrow(_context_rows(), shape).groupBy("term").agg(F.sum("n").alias("good"))
+    odds = F.log((F.col("n") + 0.5) / (many[1] + 1)) - F.log((F.coalesce("good", F.lit(0)) + 0.5) / (many[0] + 1))
+    chosen = bad.join(good, "term", "left").select("term", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS).toArrow()
+    terms = dict(zip(chosen.column("term").to_pylist(), chosen.column("odds").to_pylist(), strict=True))
     # A beginning stands for its longer ones.
     terms = {t: w for t, w in terms.items() if not any(p != t and p in terms for p in terms_of(t.rstrip("*")) if len(p.rstrip("*")) < len(t.rstrip("*")))}
     got = sample.where("curve").select("toxic", "text").mapInArrow(_features_of(terms, ["toxic"]), "toxic int, total double, largest double, rate double").toArrow()

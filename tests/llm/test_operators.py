@@ -216,6 +216,71 @@ def test_mix_hits_its_targets(spark, nothing):
     assert twice.columns == table.columns and twice.count() == sum(r.copies for r in got)
 
 
+def test_dual_is_a_plain_solution_and_sources_rank_by_code_point(spark):
+    rng = np.random.default_rng(8)
+    names = [f"s{i}" for i in range(300)] + ["é", "Z", "日本", None]
+    rows = [(s, int(rng.integers(1, 90))) for s in names for _ in range(int(rng.integers(1, 12)))]
+    got = {r.source: r for r in mixing.document_rates(spark.createDataFrame(rows, "source string, size long").repartition(5)).collect()}
+    sizes = {s: [n for t, n in rows if t == s] for s in names}
+    order = sorted((s for s in names if s is not None), key=lambda s: [ord(c) for c in s]) + [None]
+    open_ = [r for r in got.values() if not r.full]
+    level = open_[0].target / (5, 2, 1)[order.index(open_[0].source) % 3]
+    for place, s in enumerate(order):
+        r = got[s]
+        assert r.source_size == sum(sizes[s]) and math.isclose(r.target, min((5, 2, 1)[place % 3] * level, 2 * sum(sizes[s])), rel_tol=1e-9)
+        if r.full:
+            continue
+        scale, low, high = max(1.0, float(np.mean(sizes[s]))), -60.0, 60.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            have = sum(n * 2 / (1 + math.exp(-middle * n / scale)) for n in sizes[s])
+            low, high = (middle, high) if have < r.target else (low, middle)
+        for n in sizes[s]:
+            assert math.isclose(2 / (1 + math.exp(-r.multiplier * n / scale)), 2 / (1 + math.exp(-low * n / scale)), abs_tol=1e-4)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    odd = ["found", "_hit", "_key", "_copies", "_id", "_copy", "c0", "row"]
+    docs = spark.createDataFrame([(1, "see password=abcdef123 x", "s", *range(8)), (2, None, None, *range(8))], "doc_id long, text string, source string, " + ", ".join(f"{c} int" for c in odd))
+    masked = secrets.redacted(docs)
+    assert masked.columns == docs.columns and {r.doc_id: (r.text, r.found) for r in masked.collect()} == {1: ("see [SECRET] x", 0), 2: (None, 0)}
+    twice = mixing.repeated(docs, mixing.mix_sources(docs))
+    assert twice.columns == docs.columns and {r._copies for r in twice.collect()} == {3}
+    assert secrets.redacted(docs.where("false")).count() == 0
+
+
+def test_owners_and_repositories_each_decide(spark):
+    few, owners, repos = "Few1" + "a2" * 10, "Own2" + "b3" * 10, "Rep3" + "c4" * 10
+    rows = [(1, few, "o1", "r1"), (2, few, "o2", "r2")]
+    rows += [(10 + k, owners, f"o{k}", "same") for k in range(3)]  # three owners of one repository name each
+    rows += [(20 + k, repos, "o1", f"r{k}") for k in range(5)]  # one owner's five repositories
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string")
+    got = {r.doc_id: r.n_owned for r in secrets.scan(table, repository="repo").collect()}
+    assert got == {r[0]: int(r[1] == few) for r in rows}
+    without = {r.doc_id: r.n_owned for r in secrets.scan(table).collect()}
+    assert without == {r[0]: int(r[1] != owners) for r in rows}
+    for limit, value, shown in (("MOST_OWNERS", 3, owners), ("MOST_REPOSITORIES", 5, repos)):
+        before = getattr(secrets, limit)
+        setattr(secrets, limit, value)
+        try:
+            assert {r.doc_id: r.n_owned for r in secrets.scan(table, repository="repo").collect()} == {r[0]: int(r[1] in (few, shown)) for r in rows}
+        finally:
+            setattr(secrets, limit, before)
+
+
+def test_language_rejection_is_a_quantile(spark):
+    rng = np.random.default_rng(3)
+    sound = {"aa": "ka ta ra na ma".split(), "bb": "sch zug ber ung ein".split()}
+    rows = [(i, " ".join("".join(rng.choice(sound[("aa", "bb")[i % 2]], 3)) for _ in range(6)), ("aa", "bb")[i % 2]) for i in range(3000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(table, "doc_id", rows=300)
+    scores = sorted(r.score for r in language_id.predict(table, model).collect())
+    assert 0 < model.threshold <= 0.5
+    assert sum(x < model.threshold for x in scores) <= 0.002 * len(scores)
+    junk = spark.createDataFrame([(1, "q w q w 7 x y v j"), (2, "kataran schzug")], "doc_id long, text string")
+    assert language_id.predict(junk, model).count() == 2
+
+
 def test_toxicity_learns_words_and_stems(spark, nothing, docs):
     rng = np.random.default_rng(5)
     fill = [f"f{c}ll{d}" for c in "abcdefgh" for d in "abcdefgh"]
@@ -244,7 +309,7 @@ def test_toxicity_learns_words_and_stems(spark, nothing, docs):
 
 
 def test_grammar_composes_negation_report_target_and_threat():
-    lexicon, machine = toxicity.Lexicon({"zork": 4.0}), toxicity.compose()
+    lexicon, machine = toxicity.Lexicon({"zork": 4.0}), toxicity.machine()
 
     def largest(text):
         return toxicity.features(text, lexicon, machine)[1]
@@ -253,6 +318,27 @@ def test_grammar_composes_negation_report_target_and_threat():
     assert largest("not a zork") < plain < largest("you zork") and largest("she said a zork") < largest("she is a zork")
     assert largest("kill you") > 0 and largest("kill. you") == 0 and largest("never kill you") < largest("kill you")
     assert largest("not a b c d zork") == plain
+    assert largest("killing you") == largest("you will be killed") == largest("I will murder you") == largest("kill you")
+    assert largest("kill") == largest("you") == 0
+
+
+def test_the_composed_machine_is_the_five_transducers_one_after_another():
+    rng = np.random.default_rng(6)
+    parts = toxicity.transducers()
+    next_, factor, menace = toxicity.machine()
+    assert len(parts) == 5 and len(next_) == np.prod([len(p.next) for p in parts])
+    for _ in range(400):
+        read = rng.integers(0, 7, rng.integers(1, 25)).tolist()
+        weights = [float(rng.integers(1, 9)) if k == toxicity.INSULT else 1.0 for k in read]
+        kinds, scaled = read, weights
+        for part in parts:
+            kinds, scaled = part.apply(kinds, scaled)
+        stepwise = sum(w for k, w in zip(kinds, scaled, strict=True) if k == toxicity.INSULT) + toxicity.THREATENED * sum(w for k, w in zip(kinds, scaled, strict=True) if k == toxicity.MENACE)
+        state, whole = 0, 0.0
+        for kind, weight in zip(read, weights, strict=True):
+            whole += (weight if kind == toxicity.INSULT else 1.0) * factor[state, kind] + menace[state, kind]
+            state = next_[state, kind]
+        assert math.isclose(stepwise, whole, rel_tol=1e-9, abs_tol=1e-12)
 
 
 def test_hidden_markov_likelihoods(spark, nothing):
