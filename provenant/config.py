@@ -60,6 +60,18 @@ UAT_SCENARIOS = [
 UAT_ENVIRONMENTS = ["development", "staging", "production"]
 MIN_SIGN_OFF_NOTE_CHARS = 20
 MIN_NAME_CHARS = 2
+UAT_ERRORS = {
+    "tester": "Tester name must contain at least 2 characters",
+    "release": "Release ID must contain at least 2 characters",
+    "environment": "Environment must be development, staging or production",
+}
+SIGN_OFF_ERRORS = {
+    "approver": "Approver name must contain at least 2 characters",
+    "note": "Sign-off note must contain at least 20 characters",
+    "missing": "UAT execution was not found",
+    "failed": "Only a passing UAT execution can be signed off",
+    "signed": "UAT execution is already signed off",
+}
 
 # --- Fixed values: evidence gates (id, label) ---
 GATES = [

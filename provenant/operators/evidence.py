@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EXPECTED_CONTRACTS, GATES, UAT_SCENARIOS, UAT_SUITE_VERSION
+from ..config import (EXPECTED_CONTRACTS, GATES, MIN_NAME_CHARS, MIN_SIGN_OFF_NOTE_CHARS, SIGN_OFF_ERRORS, UAT_ENVIRONMENTS,
+                      UAT_ERRORS, UAT_SCENARIOS, UAT_SUITE_VERSION)
 from ..functions.hashing import unordered_digest
 from .contracts import contract
 from .tables import append_ledger
@@ -286,6 +287,12 @@ def uat_results(evidence: DataFrame, mappings: DataFrame, dispositions: DataFram
 
 def uat_execution(results: DataFrame, execution_id: str, release_id: str, environment: str, tester: str,
                   executed_at) -> DataFrame:
+    """One execution of the suite over the evaluated runs; a request without a proper tester, release or environment is refused."""
+    tester, release_id, environment = tester.strip(), release_id.strip(), environment.strip()
+    for bad, name in ((len(tester) < MIN_NAME_CHARS, "tester"), (len(release_id) < MIN_NAME_CHARS, "release"),
+                      (environment not in UAT_ENVIRONMENTS, "environment")):
+        if bad:
+            raise ValueError(UAT_ERRORS[name])
     agg = results.groupBy("run_id").agg(
         F.every(F.col("status") == "passed").alias("_ok"),
         F.array_sort(F.collect_list(F.struct("expected", "observed", "scenario_id", "status", "title"))).alias("_r"))
@@ -303,17 +310,8 @@ def uat_execution(results: DataFrame, execution_id: str, release_id: str, enviro
         F.lit(None).cast("string").alias("sign_off_note"))
 
 
-SIGN_OFF_ERRORS = {
-    "approver": "Approver name must contain at least 2 characters",
-    "note": "Sign-off note must contain at least 20 characters",
-    "missing": "UAT execution was not found",
-    "failed": "Only a passing UAT execution can be signed off",
-    "signed": "UAT execution is already signed off",
-}
-
-
 def sign_off(executions: DataFrame, commands: DataFrame,
-             min_name: int = 2, min_note: int = 20) -> tuple[DataFrame, DataFrame]:
+             min_name: int = MIN_NAME_CHARS, min_note: int = MIN_SIGN_OFF_NOTE_CHARS) -> tuple[DataFrame, DataFrame]:
     """Apply sign-off commands (execution_id, approver, note, signed_at).
 
     The first valid command per passing, unsigned execution signs it; every

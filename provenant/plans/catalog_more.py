@@ -21,10 +21,13 @@ from .oracle import AWARD_HASH, NOTICE_HASH, RUN_ID
           "SELECT p.project_id, p.title, p.country, p.region, p.sector, f.notice_count, f.award_count, "
           "round(f.award_amount, 2) AS award_amount, f.linkage_status, f.quality_score "
           "FROM projects p LEFT JOIN features f USING (project_id)")
-def q_projects_with_features(spark, sf):
+def q_projects_with_features(spark, sf, limit: int | None = None):
+    """All projects with their features; with ``limit`` the first by id."""
     i = ing(spark, sf)
-    f = i.features()
-    return i.projects().join(f, "project_id", "left").select(
+    f, projects = i.features(), i.projects()
+    if limit is not None:  # a top-k by id before the join
+        projects = projects.orderBy("project_id").limit(limit)
+    return projects.join(f, "project_id", "left").select(
         "project_id", "title", "country", "region", "sector", "notice_count", "award_count",
         F.round("award_amount", 2).alias("award_amount"), "linkage_status", "quality_score")
 
@@ -317,17 +320,28 @@ def q_schema_drift(spark, sf):
     return evidence.schema_drift(adapters.raw_notices(spark, sf), adapters.raw_awards(spark, sf))
 
 
-_ROWTEXT_SQL = "concat_ws(chr(1), " + ", ".join(f"coalesce({c}, chr(0))" for c in adapters.NOTICE_COLUMNS) + ")"
 _HEX = "CAST(('0x' || substr(h, {s}, 15)) AS HUGEINT)"
+_LISTS = ("supp_name", "mjsecname")
 
 
-@register("payload_checksum",
-          "SELECT 'notice' AS record_type, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), "
-          + ", ".join(f"CAST(coalesce(sum({_HEX.format(s=1 + 15 * i)}), 0) AS VARCHAR)" for i in range(4))
-          + f")) AS digest, count(*) AS rows FROM (SELECT sha256({_ROWTEXT_SQL}) AS h FROM raw_notice)")
+def _checksum_sql(kind: str, table: str, columns: list[str]) -> str:
+    texts = [f"coalesce(array_to_string({c}, chr(2)), chr(0))" if c in _LISTS else f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in columns]
+    return (f"SELECT '{kind}' AS record_type, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), "
+            + ", ".join(f"CAST(coalesce(sum({_HEX.format(s=1 + 15 * i)}), 0) AS VARCHAR)" for i in range(4))
+            + f")) AS digest, count(*) AS rows FROM (SELECT sha256(concat_ws(chr(1), {', '.join(texts)})) AS h FROM {table})")
+
+
+@register("payload_checksum", _checksum_sql("notice", "raw_notice", adapters.NOTICE_COLUMNS) + " UNION ALL "
+          + _checksum_sql("award", "raw_award", adapters.AWARD_COLUMNS))
 def q_payload_checksum(spark, sf):
-    d = evidence.payload_checksum(adapters.raw_notices(spark, sf), adapters.NOTICE_COLUMNS)
-    return d.select(F.lit("notice").alias("record_type"), "digest", "rows")
+    """Both feeds, order-insensitive; a list's items are joined by U+0002."""
+    out = None
+    for kind, raw, columns in (("notice", adapters.raw_notices(spark, sf), adapters.NOTICE_COLUMNS),
+                               ("award", adapters.raw_awards(spark, sf), adapters.AWARD_COLUMNS)):
+        flat = raw.select(*[F.when(F.col(c).isNotNull(), F.array_join(c, "\u0002")).alias(c) if c in _LISTS else F.col(c) for c in columns])
+        one = evidence.payload_checksum(flat, columns).select(F.lit(kind).alias("record_type"), "digest", "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @register("token_vocabulary",
