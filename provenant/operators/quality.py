@@ -171,12 +171,16 @@ def _candidates(classified: DataFrame) -> DataFrame:
         .select("run_id", "record_type", "record_id", "ingest_seq", "_content_hash", F.col("_src.bid_description").alias("_bid"))
 
 
-def first_sights(classified: DataFrame) -> DataFrame:
-    """(run_id, _content_hash, _first_seq, _rows) of the hashes seen more than once, written to the shared scratch
-    folder. The aggregate combines map-side, so a hot hash is a row a task before the shuffle."""
-    firsts = _candidates(classified).groupBy("run_id", "_content_hash") \
+def repeated_hashes(classified: DataFrame) -> DataFrame:
+    """(run_id, _content_hash, _first_seq, _rows) of the hashes seen more than once. The aggregate combines
+    map-side, so a hot hash is a row a task before the shuffle."""
+    return _candidates(classified).groupBy("run_id", "_content_hash") \
         .agg(F.min("ingest_seq").alias("_first_seq"), F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > 1)
-    return scratch_table(firsts, "first-sights")
+
+
+def first_sights(classified: DataFrame) -> DataFrame:
+    """The repeated hashes, written to the shared scratch folder."""
+    return scratch_table(repeated_hashes(classified), "first-sights")
 
 
 def duplicate_content_flags(classified: DataFrame, firsts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -171,14 +171,14 @@ def token_vocabulary(chunks: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def hash_embed(chunks: DataFrame, text_col: str = "text", dimensions: int = HASH_EMBED_DIMENSIONS) -> DataFrame:
-    """Adds ``embedding``: distinct-token counts per hash bucket, L2-normalized.
+    """Adds ``embedding``: distinct-token counts per hash bucket, L2-normalized; all zeros for a text that is null or has no token.
 
     Row-local native expressions only (no shuffle, no Python). The sorted
     bucket array is bound once; the vector is the runs of zeros between the row's few distinct
     buckets and their weights, so a row costs a lambda call per distinct bucket, not per dimension. Every lambda touches only
     bound variables: a lambda naming an outer column would re-evaluate that column per element.
     """
-    buckets = F.array_sort(F.transform(T.tokens(F.col(text_col), TOKEN_PATTERN),
+    buckets = F.array_sort(F.transform(T.tokens(F.coalesce(F.col(text_col), F.lit("")), TOKEN_PATTERN),
                                        lambda t: token_bucket(t, dimensions)))
 
     def zeros(n):

@@ -36,5 +36,5 @@ def test_scans_read_only_needed_columns_and_broadcast_nation(spark):
 
 def test_duplicate_flag_uses_a_partial_min_per_hash(spark):
     ing = adapter_ingestion(spark, SF)
-    p = plan(quality.duplicate_content_issues(ing.classified_notices))
+    p = plan(quality.repeated_hashes(ing.classified_notices))
     assert "partial_min" in p
