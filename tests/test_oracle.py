@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.001"
 SAMPLE = ["quality_summary", "append_issue_ledger", "upsert_latest", "insert_if_absent", "apply_mapping",
           "project_features", "build_chunks", "record_accounting", "schema_fingerprint", "payload_checksum",
           "token_vocabulary", "hash_embed", "semantic_search_batch", "retrieval_metrics", "review_current_state",
-          "review_event_history", "migration_evidence", "release_readiness", "fx_convert", "country_context"]
+          "review_event_history", "migration_evidence", "release_readiness", "fx_convert", "country_context",
+          "index_upsert", "index_counts", "semantic_search", "query_log", "embed_chunks", "run_ledger", "runs_feed",
+          "dq008_duplicate_content"]
 
 
 @pytest.fixture(scope="module")
