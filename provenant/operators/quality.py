@@ -183,25 +183,30 @@ def first_sights(classified: DataFrame) -> DataFrame:
     return scratch_table(repeated_hashes(classified), "first-sights")
 
 
-def duplicate_content_flags(classified: DataFrame, firsts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """DQ-008 candidates: non-quarantined notices whose content hash was seen
-    earlier in the same run (source order = ingest_seq).
+def after_first_sight(records: DataFrame, firsts: DataFrame, key: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The records whose ``ingest_seq`` lies after their key's ``_first_seq``; ``firsts`` is a written table that also counts
+    each key's ``_rows``.
 
-    A hash on more than ``hot_rows`` records is hot. Hot hashes' first sights, as many as fit ``BROADCAST_BYTES`` by their
-    count, the hottest first, are broadcast: their records are compared where they stand. All other records are joined by hash,
+    A key on more than ``hot_rows`` records is hot. Hot keys' first sights, as many as fit ``BROADCAST_BYTES`` by their
+    count, the hottest first, are broadcast: their records are compared where they stand. All other records are joined by key,
     where no key has more rows than that bound leaves.
     """
-    firsts = first_sights(classified) if firsts is None else firsts
-    cand, key = _candidates(classified), ["run_id", "_content_hash"]
     least = hot_rows
     hot = firsts.filter(F.col("_rows") > least)
     while hot.count() * FIRST_SIGHT_BYTES > BROADCAST_BYTES:
         least *= 2
         hot = firsts.filter(F.col("_rows") > least)
     here = F.broadcast(hot.drop("_rows"))
-    apart = cand.join(F.broadcast(hot.select(*key)), key, "left_anti").join(firsts.filter(F.col("_rows") <= least).drop("_rows"), key)
+    apart = records.join(F.broadcast(hot.select(*key)), key, "left_anti").join(firsts.filter(F.col("_rows") <= least).drop("_rows"), key)
     later = F.col("ingest_seq") > F.col("_first_seq")
-    return cand.join(here, key).filter(later).unionByName(apart.filter(later))
+    return records.join(here, key).filter(later).unionByName(apart.filter(later))
+
+
+def duplicate_content_flags(classified: DataFrame, firsts: DataFrame | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """DQ-008 candidates: non-quarantined notices whose content hash was seen
+    earlier in the same run (source order = ingest_seq), see :func:`after_first_sight`."""
+    firsts = first_sights(classified) if firsts is None else firsts
+    return after_first_sight(_candidates(classified), firsts, ["run_id", "_content_hash"], hot_rows)
 
 
 def duplicate_content_issues(classified: DataFrame, firsts: DataFrame | None = None) -> DataFrame:
