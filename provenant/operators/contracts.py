@@ -159,6 +159,8 @@ TRANSFORMS: dict[str, Transform] = {
     "normalize_date": Transform(lambda c, t: T.normalize_date(c)),
     "join_list": Transform(lambda c, t: T.join_list(c, t)),
     "to_number": Transform(lambda c, t: T.to_number(c), lambda c, t: T.to_number_error(c)),
+    # The landed text is kept while records are classified and fingerprinted; sinks write it in canonical form
+    # (functions/jsontext.py), so that no row goes through Python before it is known to be loaded.
     "serialize_json": Transform(lambda c, t: c),
 }
 

@@ -38,22 +38,33 @@ def fx_convert(awards: DataFrame, rates: DataFrame) -> DataFrame:
                         .otherwise(F.col("amount")))
 
 
-def latest_indicator(indicators: DataFrame) -> DataFrame:
-    """Most recent non-empty value per country (the ``mrnev=1`` rule)."""
-    return indicators.filter(F.col("value").isNotNull()).groupBy("country").agg(
-        F.max("year").alias("indicator_year"), F.max_by("value", "year").alias("indicator_value"))
-
-
-def country_context(countries: DataFrame, indicators: DataFrame) -> DataFrame:
-    regional = F.col("country").rlike(REGIONAL_PATTERN)
-    j = countries.join(latest_indicator(indicators), "country", "left")
-    return j.select("country",
-                    F.when(regional, F.lit("regional")).otherwise(F.lit("ready")).alias("context_status"),
-                    F.when(~regional, F.col("indicator_year")).alias("indicator_year"),
-                    F.when(~regional, F.col("indicator_value")).alias("indicator_value"))
-
-
-def project_context(api: DataFrame) -> DataFrame:
-    """Fallback field names of the project service payload."""
-    return api.select("project_id", F.coalesce("proj_name", "project_name").alias("title"),
-                      F.coalesce(F.col("sector1.Name"), F.col("sector_name")).alias("sector"))
+def latest_indicators(indicators: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Most recent non-empty value of each named indicator, one row per country (the ``mrnev=1`` rule): ``names`` gives the output
+    column of each indicator, its year is ``<column>_year``."""
+    found = []
+    for column, name in names.items():
+        year = F.when((F.col("indicator") == name) & F.col("value").isNotNull(), F.col("year"))
+        found += [F.max(year).alias(f"{column}_year"), F.max_by("value", year).alias(column)]
+    return indicators.groupBy("country").agg(*found)
+
+
+def country_context(countries: DataFrame, indicators: DataFrame, attributes: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Attributes (code, region, currencies) and latest indicators of each country. Regional labels have none of them, and a
+    country that the attributes don't know is ``unavailable``. ``attributes`` has one row per country."""
+    regional = F.coalesce(F.col("country").rlike(REGIONAL_PATTERN), F.lit(False))
+    known = attributes.withColumn("_known", F.lit(True))
+    j = countries.join(known, "country", "left").join(latest_indicators(indicators, names), "country", "left")
+    ready = ~regional & F.col("_known").isNotNull()
+    values = ["code", "region", "currencies", *[c for n in names for c in (n, f"{n}_year")]]
+    return j.select("country", F.when(regional, F.lit("regional")).when(ready, F.lit("ready")).otherwise(F.lit("unavailable")).alias("context_status"),
+                    *[F.when(ready, F.col(c)).alias(c) for c in values])
+
+
+def project_context(projects: DataFrame, api: DataFrame) -> DataFrame:
+    """Title, sector, approval date and status of the project service's record, by its fallback field names; a project without a
+    record is ``unavailable``. ``api`` has one row per project."""
+    found = api.select("project_id", F.coalesce("proj_name", "project_name").alias("title"),
+                       F.coalesce(F.col("sector1.Name"), F.col("sector_name")).alias("sector"),
+                       F.col("boardapprovaldate").alias("approval_date"), "status", F.lit("ready").alias("_status"))
+    return projects.select("project_id").join(found, "project_id", "left").select(
+        "project_id", F.coalesce("_status", F.lit("unavailable")).alias("context_status"), "title", "sector", "approval_date", "status")

@@ -56,3 +56,33 @@ def review_queue_filter(state: DataFrame, text: str = "", status: str = "all", p
     elif owner == "unassigned":
         cond = cond & (F.col("assigned_to").isNull() | (F.col("assigned_to") == ""))
     return state.filter(cond)
+
+
+PROJECT_ROWS = ("section string, project_id string, record_id string, title string, country string, region string, category string, "
+                "sector string, supplier string, event_date date, amount double, official_url string, notice_count long, "
+                "award_count long, linkage_status string, quality_score double")
+
+
+def project_360(projects: DataFrame, features: DataFrame, notices: DataFrame, awards: DataFrame, project_id: str) -> DataFrame:
+    """Everything about one project as rows of four sections: the project, its features, each notice and each award.
+    An unknown project has no rows, whatever notices name it. Every table is filtered by the key first."""
+    pid = project_id.upper()
+    own = projects.filter(F.col("project_id") == pid)
+
+    def section(name: str, df: DataFrame, **columns: str) -> DataFrame:
+        picked = df.filter(F.col("project_id") == pid).join(F.broadcast(own.select("project_id").limit(1)), "project_id", "left_semi")
+        cols = []
+        for part in PROJECT_ROWS.split(", "):
+            out, dtype = part.split(" ")
+            value = F.lit(name) if out == "section" else F.col(columns[out]) if out in columns else F.lit(None)
+            cols.append(value.cast(dtype).alias(out))
+        return picked.select(*cols)
+
+    same = {c: c for c in ("project_id", "title", "country", "category", "sector", "official_url")}
+    return section("project", projects, record_id="project_id", region="region", amount="total_amount",
+                   **{k: v for k, v in same.items() if k != "category"}) \
+        .unionByName(section("features", features, project_id="project_id", record_id="project_id", notice_count="notice_count",
+                             award_count="award_count", amount="award_amount", linkage_status="linkage_status", quality_score="quality_score")) \
+        .unionByName(section("notice", notices, record_id="notice_id", event_date="publication_date", quality_score="quality_score", **same)) \
+        .unionByName(section("award", awards, project_id="project_id", record_id="award_id", title="description", country="country",
+                             category="category", supplier="supplier", event_date="signed_date", amount="amount", official_url="official_url"))

@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..functions.hashing import content_hash
 from ..operators import contracts, curate, quality
 from ..operators.tables import write_snapshot
+from ..functions.jsontext import canonical_json
 from ..session import scratch_path
 from ..sources import adapters, snapshots
 from . import oracle
@@ -158,16 +159,21 @@ def q_country_counts(spark, sf):
           f"SELECT 'aggregated curated record metadata' AS source, sum(records) AS count, count(*) AS countries "
           f"FROM ({_COUNTRY_COUNTS_SQL})")
 def q_export_geography(spark, sf):
-    counts = country_counts(ing(spark, sf).chunks())
-    payload = counts.agg(
-        F.lit("aggregated curated record metadata").alias("source"),
-        F.sum("records").alias("count"),
-        F.count(F.lit(1)).alias("countries"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("country", "records")))).alias("countries_map"))
+    """The export's head, from the rows read back."""
+    rows = _geography(spark, sf)
+    return rows.agg(F.max("source").alias("source"), F.sum("records").alias("count"), F.count(F.lit(1)).alias("countries"))
+
+
+def _geography(spark, sf):
     path = scratch_path(spark, "geography-counts")
-    payload.coalesce(1).write.json(path)
-    return spark.read.json(path).select("source", F.col("count").cast("long").alias("count"),
-                                        F.col("countries").cast("long").alias("countries"))
+    country_counts(ing(spark, sf).chunks()).withColumn("source", F.lit("aggregated curated record metadata")).write.json(path)
+    return spark.read.schema("country string, records long, source string").json(path)
+
+
+@register("export_geography_rows", f"SELECT 'aggregated curated record metadata' AS source, country, records FROM ({_COUNTRY_COUNTS_SQL})")
+def q_export_geography_rows(spark, sf):
+    """A row a country, however many there are: no map of all of them in one row."""
+    return _geography(spark, sf).select("source", "country", "records")
 
 
 CHUNK_OUT = ["chunk_id", "record_type", "record_id", "project_id", "text", "official_url", "country"]
@@ -252,11 +258,14 @@ for _name, _table, _src, _tr, _sql_value in [
         _transform_query(_table, _src, _tr, _id))
 
 
-@register("t_serialize_json")
+_CANONICAL_SQL = "'{' || concat_ws(', ', " + ", ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\": ' || CAST(to_json({c}) AS VARCHAR) END" for c in sorted(adapters.NOTICE_COLUMNS)) + ") || '}'"
+
+
+@register("t_serialize_json", f"SELECT id AS record_id, ingest_seq, {_CANONICAL_SQL} AS value FROM raw_notice")
 def q_t_serialize_json(spark, sf):
     raw = adapters.raw_notices(spark, sf)
-    return raw.select(F.col("id").alias("record_id"), "ingest_seq",
-                      contracts.TRANSFORMS["serialize_json"].build(F.col("raw_json"), None).alias("value"))
+    return raw.select(F.col("id").alias("record_id"), "ingest_seq", canonical_json("raw_json").alias("value"))
 
 
 @register("required_guard",

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EXPECTED_CONTRACTS
-from ..operators import curate, enrichment, evidence, retrieval, review
+from ..operators import curate, drift, enrichment, evidence, readmodels, retrieval, review
 from ..session import scratch_path
 from ..sources import adapters
 from ..sources.tables import read_table
@@ -73,6 +73,33 @@ def q_project_360(spark, sf, project_id: str = PROJECT_360_ID):
         F.round("award_amount", 2).alias("award_amount"), "linkage_status")
 
 
+def _section_sql(name: str, table: str, **columns: str) -> str:
+    cols = []
+    for part in readmodels.PROJECT_ROWS.split(", "):
+        out, dtype = part.split(" ")
+        duck = {"string": "VARCHAR", "date": "DATE", "double": "DOUBLE", "long": "BIGINT"}[dtype]
+        cols.append(f"CAST({chr(39) + name + chr(39) if out == 'section' else columns.get(out, 'NULL')} AS {duck}) AS {out}")
+    return (f"SELECT {', '.join(cols)} FROM {table} WHERE project_id = '{PROJECT_360_ID}' "
+            f"AND EXISTS (SELECT 1 FROM projects WHERE project_id = '{PROJECT_360_ID}')")
+
+
+_NAMES = {c: c for c in ("project_id", "title", "country", "official_url")}
+
+
+@register("project_360_records", " UNION ALL ".join([
+    _section_sql("project", "projects", record_id="project_id", region="region", sector="sector", amount="total_amount", **_NAMES),
+    _section_sql("features", "features", project_id="project_id", record_id="project_id", notice_count="notice_count", award_count="award_count",
+                 amount="round(award_amount, 2)", linkage_status="linkage_status", quality_score="quality_score"),
+    _section_sql("notice", "notices", record_id="notice_id", category="category", sector="sector", event_date="publication_date",
+                 quality_score="quality_score", **_NAMES),
+    _section_sql("award", "awards", record_id="award_id", project_id="project_id", title="description", country="country", category="category",
+                 supplier="supplier", event_date="signed_date", amount="amount", official_url="official_url")]))
+def q_project_360_records(spark, sf, project_id: str = PROJECT_360_ID):
+    i = ing(spark, sf)
+    features = i.features().withColumn("award_amount", F.round("award_amount", 2))
+    return readmodels.project_360(i.projects(), features, i.notices(), i.awards(), project_id)
+
+
 _COS = ("list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])) / "
         "(sqrt(list_dot_product(CAST({a} AS DOUBLE[]), CAST({a} AS DOUBLE[]))) * "
         "sqrt(list_dot_product(CAST({b} AS DOUBLE[]), CAST({b} AS DOUBLE[]))))")
@@ -206,48 +233,74 @@ def q_fx_convert(spark, sf):
         "award_id", F.round("amount", 2).alias("amount"), "currency", F.round("usd_amount", 2).alias("usd_amount"))
 
 
-_INDICATOR_SQL = ("(SELECT n.n_name AS country, 'ORDER_VALUE' AS indicator, year(o.o_orderdate) AS year, "
-                  "CASE WHEN year(o.o_orderdate) % 5 = 0 THEN NULL ELSE round(sum(o.o_totalprice), 2) END AS value "
+INDICATORS = {"gdp": "ORDER_VALUE", "population": "ORDER_COUNT"}
+_INDICATOR_SQL = ("(SELECT n.n_name AS country, year(o.o_orderdate) AS year, "
+                  "CASE WHEN year(o.o_orderdate) % 5 = 0 THEN NULL ELSE round(sum(o.o_totalprice), 2) END AS gdp, "
+                  "CASE WHEN year(o.o_orderdate) % 3 = 0 THEN NULL ELSE CAST(count(*) AS DOUBLE) END AS population "
                   "FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey "
                   "GROUP BY n.n_name, year(o.o_orderdate))")
 
 
 @register("country_context",
-          "SELECT p.country, "
-          "CASE WHEN regexp_matches(p.country, '(?i)region|africa$') THEN 'regional' ELSE 'ready' END AS context_status, "
-          "CASE WHEN regexp_matches(p.country, '(?i)region|africa$') THEN NULL ELSE i.year END AS indicator_year, "
-          "CASE WHEN regexp_matches(p.country, '(?i)region|africa$') THEN NULL ELSE i.value END AS indicator_value "
-          "FROM (SELECT DISTINCT country FROM projects) p LEFT JOIN "
-          f"(SELECT country, max(year) AS year, arg_max(value, year) AS value FROM {_INDICATOR_SQL} WHERE value IS NOT NULL "
-          "GROUP BY country) i ON p.country = i.country")
+          "SELECT p.country, CASE WHEN regexp_matches(p.country, '(?i)region|africa$') THEN 'regional' "
+          "WHEN a.country IS NULL THEN 'unavailable' ELSE 'ready' END AS context_status, "
+          + ", ".join(f"CASE WHEN NOT regexp_matches(p.country, '(?i)region|africa$') AND a.country IS NOT NULL THEN {v} END AS {n}" for v, n in (
+              ("a.code", "code"), ("a.region", "region"), ("a.currencies", "currencies"), ("i.gdp", "gdp"), ("i.gdp_year", "gdp_year"),
+              ("i.population", "population"), ("i.population_year", "population_year")))
+          + " FROM (SELECT DISTINCT country FROM projects) p LEFT JOIN "
+          "(SELECT n_name AS country, upper(substr(n_name, 1, 2)) AS code, r_name AS region, c.currency AS currencies FROM nation "
+          "JOIN region ON n_regionkey = r_regionkey LEFT JOIN "
+          f"{_values_sql(REGION_CURRENCY, ['region', 'currency'], 'c')} ON c.region = 'Region ' || CAST(n_regionkey AS VARCHAR) "
+          "WHERE n_nationkey % 6 <> 5) a ON p.country = a.country LEFT JOIN "
+          "(SELECT country, arg_max(gdp, year) FILTER (gdp IS NOT NULL) AS gdp, max(year) FILTER (gdp IS NOT NULL) AS gdp_year, "
+          "arg_max(population, year) FILTER (population IS NOT NULL) AS population, max(year) FILTER (population IS NOT NULL) AS population_year "
+          f"FROM {_INDICATOR_SQL} GROUP BY country) i ON p.country = i.country")
 def q_country_context(spark, sf):
+    """Every sixth nation is left out of the attributes, as a service may not know a country."""
     i = ing(spark, sf)
     o = read_table(spark, sf, "orders", "o_custkey", "o_orderdate", "o_totalprice")
     c = read_table(spark, sf, "customer", "c_custkey", "c_nationkey")
-    n = read_table(spark, sf, "nation", "n_nationkey", "n_name")
-    yr = F.year("o_orderdate")
-    ind = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")) \
-        .groupBy(F.col("n_name").alias("country"), yr.alias("year")) \
-        .agg(F.round(F.sum("o_totalprice"), 2).alias("_v")) \
-        .select("country", "year", F.when(F.col("year") % 5 == 0, F.lit(None).cast("double"))
-                .otherwise(F.col("_v")).alias("value"))
-    countries = i.projects().select("country").distinct()
-    return enrichment.country_context(countries, ind)
+    n = read_table(spark, sf, "nation", "n_nationkey", "n_name", "n_regionkey")
+    r = read_table(spark, sf, "region", "r_regionkey", "r_name")
+    by_year = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")) \
+        .groupBy(F.col("n_name").alias("country"), F.year("o_orderdate").alias("year")) \
+        .agg(F.round(F.sum("o_totalprice"), 2).alias("value"), F.count(F.lit(1)).cast("double").alias("orders"))
+    long = by_year.select("country", "year", F.explode(F.array(
+        F.struct(F.lit("ORDER_VALUE").alias("indicator"), F.when(F.col("year") % 5 != 0, F.col("value")).alias("value")),
+        F.struct(F.lit("ORDER_COUNT").alias("indicator"), F.when(F.col("year") % 3 != 0, F.col("orders")).alias("value")))).alias("x")) \
+        .select("country", "year", "x.*")
+    currency = spark.createDataFrame(REGION_CURRENCY, "region string, currencies string")
+    attributes = n.filter(F.col("n_nationkey") % 6 != 5).join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_name").alias("country"), F.upper(F.substring("n_name", 1, 2)).alias("code"), F.col("r_name").alias("region"),
+        F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("_r"))
+    attributes = attributes.join(F.broadcast(currency.withColumnRenamed("region", "_r")), "_r", "left").drop("_r")
+    return enrichment.country_context(i.projects().select("country").distinct(), long, attributes, INDICATORS)
+
+
+_PNUM = "CAST(substr(p.project_id, 2) AS BIGINT)"
 
 
 @register("project_context",
-          "SELECT project_id, coalesce(CASE WHEN CAST(substr(project_id, 2) AS BIGINT) % 2 = 0 THEN title END, title) AS title, "
-          "coalesce(CASE WHEN CAST(substr(project_id, 2) AS BIGINT) % 3 = 0 THEN sector END, "
-          "CASE WHEN CAST(substr(project_id, 2) AS BIGINT) % 3 <> 0 THEN lower(sector) END) AS sector FROM projects")
+          "SELECT p.project_id, CASE WHEN {n} % 11 = 0 THEN 'unavailable' ELSE 'ready' END AS context_status, "
+          "CASE WHEN {n} % 11 <> 0 THEN title END AS title, "
+          "CASE WHEN {n} % 11 <> 0 THEN CASE WHEN {n} % 3 = 0 THEN sector ELSE lower(sector) END END AS sector, "
+          "CASE WHEN {n} % 11 <> 0 THEN d.approval END AS approval_date, "
+          "CASE WHEN {n} % 11 <> 0 THEN CASE {n} % 4 WHEN 0 THEN 'Active' WHEN 1 THEN 'Closed' WHEN 2 THEN 'Pipeline' END END AS status "
+          "FROM projects p LEFT JOIN (SELECT 'P' || CAST(100000 + o_custkey AS VARCHAR) AS project_id, min(CAST(o_orderdate AS DATE)) AS approval "
+          "FROM orders GROUP BY o_custkey) d ON p.project_id = d.project_id".replace("{n}", _PNUM))
 def q_project_context(spark, sf):
     p = ing(spark, sf).projects()
     num = F.substring("project_id", 2, 10).cast("long")
-    api = p.select("project_id",
-                   F.when(num % 2 == 0, F.col("title")).alias("proj_name"),
-                   F.col("title").alias("project_name"),
-                   F.when(num % 3 == 0, F.struct(F.col("sector").alias("Name"))).alias("sector1"),
-                   F.when(num % 3 != 0, F.lower("sector")).alias("sector_name"))
-    return enrichment.project_context(api)
+    first = read_table(spark, sf, "orders", "o_custkey", "o_orderdate").groupBy("o_custkey").agg(F.min(F.to_date("o_orderdate")).alias("boardapprovaldate")) \
+        .select(F.concat(F.lit("P"), (F.col("o_custkey") + 100000).cast("string")).alias("project_id"), "boardapprovaldate")
+    api = p.filter(num % 11 != 0).join(first, "project_id", "left").select(
+        "project_id", "boardapprovaldate",
+        F.when(num % 2 == 0, F.col("title")).alias("proj_name"),
+        F.col("title").alias("project_name"),
+        F.when(num % 3 == 0, F.struct(F.col("sector").alias("Name"))).alias("sector1"),
+        F.when(num % 3 != 0, F.lower("sector")).alias("sector_name"),
+        F.when(num % 4 == 0, F.lit("Active")).when(num % 4 == 1, F.lit("Closed")).when(num % 4 == 2, F.lit("Pipeline")).alias("status"))
+    return enrichment.project_context(p, api)
 
 
 # =============================================================================== 2.5 aggregates
@@ -344,6 +397,51 @@ def q_payload_checksum(spark, sf):
     return out
 
 
+def _two_runs(spark, sf, ledger_of):
+    """Ledger rows of two runs: the first before amendments were published and without a sector, the second without a country code."""
+    n, a = adapters.raw_notices(spark, sf), adapters.raw_awards(spark, sf)
+    awards = a.select(F.lit("award").alias("record_type"), F.col("contr_id").alias("record_id"), "raw_json",
+                      *[F.lit(None).cast("string").alias(c) for c in adapters.NOTICE_COLUMNS], F.array_join("supp_name", "\u0002").alias("supplier"))
+    out = None
+    for run, rows, gone in (("run-1", n.filter(F.col("procurement_method") != "AMENDED"), "sector"), ("run-2", n, "country_code")):
+        kept = [c for c in adapters.NOTICE_COLUMNS if c != gone]
+        notices = rows.select(F.lit("notice").alias("record_type"), F.col("id").alias("record_id"), adapters.raw_json_of(*kept).alias("raw_json"),
+                              *[F.col(c) for c in adapters.NOTICE_COLUMNS], F.lit(None).cast("string").alias("supplier"))
+        one = ledger_of(notices.unionByName(awards), run)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_RUN_1 = "(SELECT * FROM raw_notice WHERE procurement_method <> 'AMENDED')"
+
+
+@register("source_key_drift",
+          f"SELECT 'notice' AS record_type, 'country_code' AS key, 'removed' AS change, count(country_code) AS before_records, 0 AS after_records FROM {_RUN_1} "
+          "UNION ALL SELECT 'notice', 'sector', 'added', 0, count(sector) FROM raw_notice")
+def q_source_key_drift(spark, sf):
+    return drift.key_changes(_two_runs(spark, sf, drift.source_keys), "run-1", "run-2")
+
+
+_DRIFT_TEXT = ["id", "project_id", "publication_date", "procurement_method"]
+
+
+def _bucket_sql(table: str) -> str:
+    texts = [f"coalesce({c}, chr(0))" for c in _DRIFT_TEXT]
+    return ("SELECT bucket, count(*) AS records, concat_ws(':', " + ", ".join(f"CAST(sum({_HEX.format(s=1 + 15 * i)}) AS VARCHAR)" for i in range(4))
+            + f") AS digest FROM (SELECT substr(sha256(coalesce(id, '')), 1, 2) AS bucket, sha256(concat_ws(chr(1), {', '.join(texts)})) AS h FROM {table}) GROUP BY bucket")
+
+
+@register("source_bucket_drift",
+          "SELECT 'notice' AS record_type, coalesce(b.bucket, a.bucket) AS bucket, CASE WHEN b.bucket IS NULL THEN 'added' "
+          "WHEN a.bucket IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(b.records, 0) AS before_records, "
+          f"coalesce(a.records, 0) AS after_records FROM ({_bucket_sql(_RUN_1)}) b FULL JOIN ({_bucket_sql('raw_notice')}) a ON a.bucket = b.bucket "
+          "WHERE a.digest IS DISTINCT FROM b.digest")
+def q_source_bucket_drift(spark, sf):
+    text = F.sha2(evidence.canonical_row_text([*_DRIFT_TEXT, "supplier"]), 256)
+    ledger = _two_runs(spark, sf, lambda records, run: drift.source_buckets(records, run, text))
+    return drift.bucket_changes(ledger, "run-1", "run-2")
+
+
 @register("token_vocabulary",
           "SELECT token, CAST(CAST(('0x' || substr(sha256(token), 1, 8)) AS BIGINT) % 256 AS INTEGER) AS bucket FROM "
           "(SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) AS token FROM chunks)")

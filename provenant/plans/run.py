@@ -26,7 +26,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import curate, evidence
+from ..functions.jsontext import canonical_json
+from ..operators import curate, drift, evidence
 from ..operators.index import ChunkIndex
 from ..operators.store import DEFAULT_BUCKETS, KeyedTable
 from ..sources import adapters
@@ -97,8 +98,9 @@ def run_migration(spark: SparkSession, raw_notices: DataFrame | Callable[[], Dat
     # 3. curated versions
     order = ["run_seq", "ingest_seq"]
     tables = {t: curated_table(spark, out, t, buckets) for t in CURATED}
-    tables["notices"].upsert(ing.loaded_notices().select(*curate.NOTICE_TABLE_COLUMNS, *order), order, run_seq)
-    tables["awards"].upsert(ing.loaded_awards().select(*curate.AWARD_TABLE_COLUMNS, *order), order, run_seq)
+    canonical = canonical_json("raw_json")
+    tables["notices"].upsert(ing.loaded_notices().select(*curate.NOTICE_TABLE_COLUMNS, *order).withColumn("raw_json", canonical), order, run_seq)
+    tables["awards"].upsert(ing.loaded_awards().select(*curate.AWARD_TABLE_COLUMNS, *order).withColumn("raw_json", canonical), order, run_seq)
     tables["projects"].insert(curate.project_candidates(ing.loaded_awards(), ing.project_url_prefix), order, run_seq)
     notices = tables["notices"].read(run_seq).select(*curate.NOTICE_TABLE_COLUMNS)
     awards = tables["awards"].read(run_seq).select(*curate.AWARD_TABLE_COLUMNS)
@@ -108,6 +110,10 @@ def run_migration(spark: SparkSession, raw_notices: DataFrame | Callable[[], Dat
     _write_partition(ing.run_issues(), f"{led}/issues", run_id)
     _write_partition(curate.linkage_issues(notices, projects), f"{led}/curation_issues", run_id)
     _write_partition(ing.dispositions(), f"{led}/dispositions", run_id)
+    records = ing.classified_notices.select("record_type", "record_id", "raw_json") \
+        .unionByName(ing.classified_awards.select("record_type", "record_id", "raw_json"))
+    _write_partition(drift.source_keys(records, run_id), f"{led}/source_keys", run_id)
+    _write_partition(drift.source_buckets(records, run_id), f"{led}/source_buckets", run_id)
     maps = evidence.mapping_executions(ing)
     _write_partition(maps, f"{led}/mapping_executions", run_id)
     dispositions = spark.read.parquet(f"{led}/dispositions").filter(F.col("run_id") == run_id)
