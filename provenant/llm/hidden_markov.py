@@ -9,8 +9,10 @@ class) = (c + 1) / (class tokens + class words + 1) leaves one share of each cla
 2. Training counts of all words are summed over the corpus by word, and every block's words look
    their counts up in a join; no task and no driver holds the vocabulary.
 3. Baum-Welch: each pass sums expected counts of starts, transitions and emissions over the blocks.
-   Each of the ``PASSES`` passes runs over all training texts (cut into pieces of ``PIECE`` tokens for the
-   recursion). The sums are at most STATES * (STATES + classes + 1) numbers.
+   Each of the ``PASSES`` passes runs over all training texts. Texts of more than ``PIECE`` tokens run as pieces side by side, each with
+   ``MARGIN`` tokens of its neighbours on both sides, which carry the recursions over the cut and are counted by their owner: every token
+   and transition counts once, and only a text's first token counts as a start. What the recursions still remember of
+   the margin's far end shrinks with every token (a test holds the counts to 1e-4 of the uncut ones). The sums are at most STATES * (STATES + classes + 1) numbers.
 4. The scaled forward recursion runs over each whole text and gives its exact log likelihood.
 
 Words are known by 64-bit hashes whose low bits are the class of the word's ending.
@@ -39,10 +41,12 @@ SUFFIX_BYTES = 3
 CLASSES = TOP + SUFFIXES
 BLOCK_BYTES = 8 << 20
 PASSES = 10
-PIECE = 256
+PIECE = 1024
+MARGIN = 64
 ROWS = 512
 STICKY = 0.9
 SMOOTH = 0.01
+PLACE_BITS = 27  # a block's distinct words: more than any text that fits a column has
 END = np.uint64(0x5851F42D4C957F2D)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -87,13 +91,13 @@ _BLOCK_TYPE = "block long, doc_ids array<long>, train binary, at binary, low bin
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, word, own): place is the block and the word's number in it (below 2 ** 24)."""
+    """(place, word, own): place is the block and the word's number in it."""
     for batch in batches:
         for row in batch.to_pylist():
             names = np.frombuffer(row["names"], dtype=np.int64)
-            if len(names) >> 24:
+            if len(names) >> PLACE_BITS:
                 raise ValueError("a block has too many distinct words")
-            yield pa.RecordBatch.from_arrays([pa.array((row["block"] << 24) + np.arange(len(names))), pa.array(names), pa.array(np.frombuffer(row["own"], dtype=np.uint32).astype(np.int64))],
+            yield pa.RecordBatch.from_arrays([pa.array((row["block"] << PLACE_BITS) + np.arange(len(names))), pa.array(names), pa.array(np.frombuffer(row["own"], dtype=np.uint32).astype(np.int64))],
                                              names=["place", "word", "own"])
 
 
@@ -143,31 +147,40 @@ def first_guess(classes: np.ndarray, seed: int = 5) -> Hmm:
     return Hmm(np.full(STATES, 1 / STATES), move, emit / emit.sum(axis=1, keepdims=True))
 
 
-def _pieces(at: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and lengths of the training texts' pieces, longest first."""
+def _pieces(at: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The training texts' pieces, longest first: starts and lengths with margins, the margin before and the own tokens."""
     many = -(-np.diff(at) // PIECE) * train
     owner = np.repeat(np.arange(len(train)), many)
     within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    starts = at[:-1][owner] + within * PIECE
-    lengths = np.minimum(PIECE, at[1:][owner] - starts)
+    begin = at[:-1][owner] + within * PIECE
+    own = np.minimum(PIECE, at[1:][owner] - begin)
+    lead = np.where(within > 0, MARGIN, 0)
+    lengths = lead + np.minimum(own + MARGIN, at[1:][owner] - begin)
     order = np.argsort(-lengths, kind="stable")
-    return starts[order], lengths[order]
+    return (begin - lead)[order], lengths[order], lead[order], own[order]
 
 
-def expected(model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, out: list[np.ndarray]) -> None:
-    """Add the expected starts, transitions and emissions of equal batches of pieces (longest first) to ``out``."""
+def expected(model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, out: list[np.ndarray],
+             lead: np.ndarray | None = None, own: np.ndarray | None = None) -> None:
+    """Add the expected starts, transitions and emissions of equal batches of pieces (longest first) to ``out``. Of a piece with
+    margins (``lead`` tokens before its ``own``), its own tokens and the transitions into them count."""
     move, emit = model.move.astype(np.float32), np.ascontiguousarray(model.emit.T.astype(np.float32))
+    lead = np.zeros(len(starts), dtype=np.int64) if lead is None else lead
+    own = lengths if own is None else own
     for low in range(0, len(starts), ROWS):
-        s, n = starts[low:low + ROWS], lengths[low:low + ROWS]
+        s, n, before, mine = (x[low:low + ROWS] for x in (starts, lengths, lead, own))
         longest, m = int(n[0]), len(s)
         active = np.searchsorted(-n, -np.arange(longest), side="left")
         symbols = np.zeros((longest, m), dtype=np.int64)
         for t in range(longest):
             symbols[t, :active[t]] = classes[s[:active[t]] + t]
+        step = np.arange(longest)[:, None]
+        counted = (step >= before) & (step < before + mine)
+        margins = bool((mine != n).any())
         b = emit[symbols]
         alpha = np.zeros((longest, m, STATES), dtype=np.float32)
         scale = np.ones((longest, m, 1), dtype=np.float32)
-        x = model.start.astype(np.float32) * b[0]
+        x = np.where(before[:, None] > 0, np.float32(1 / STATES), model.start.astype(np.float32)) * b[0]
         for t in range(longest):
             k = active[t]
             if t:
@@ -180,13 +193,12 @@ def expected(model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.nd
             if t < longest - 1:
                 after = active[t + 1]
                 pull = b[t + 1, :after] * beta[:after] / scale[t + 1, :after]
-                out[1] += alpha[t, :after].T @ pull
+                out[1] += alpha[t, :after].T @ (pull * counted[t + 1, :after, None] if margins else pull)
                 beta[:after] = pull @ move.T
             alpha[t, :k] *= beta[:k]
         gamma = alpha / np.maximum(alpha.sum(axis=2, keepdims=True), 1e-30)
-        out[0] += gamma[0].sum(axis=0)
-        used = np.arange(m) < active[:, None]
-        flat, symbols = gamma[used], symbols[used]
+        out[0] += gamma[0][before == 0].sum(axis=0)
+        flat, symbols = gamma[counted], symbols[counted]
         for k in range(STATES):
             out[2][k] += np.bincount(symbols, flat[:, k], CLASSES)
 
@@ -196,9 +208,9 @@ def _gather(model: Hmm):
         out = [np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES))]
         for batch in batches:
             for row in batch.to_pylist():
-                starts, lengths = _pieces(np.frombuffer(row["at"], dtype=np.int64), np.frombuffer(row["train"], dtype=np.uint8).astype(np.int64))
+                starts, lengths, lead, own = _pieces(np.frombuffer(row["at"], dtype=np.int64), np.frombuffer(row["train"], dtype=np.uint8).astype(np.int64))
                 if len(starts):
-                    expected(model, np.frombuffer(row["classes"], dtype=np.uint16), starts, lengths, out)
+                    expected(model, np.frombuffer(row["classes"], dtype=np.uint16), starts, lengths, out, lead, own)
         flat = np.concatenate([x.ravel() for x in (out[0], out[1] * model.move, out[2])])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(flat[at])], names=["at", "value"])
@@ -275,7 +287,7 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
         counts[i] = r.c
     # Words that no training text has keep the count 0.
     known = words.select("place", "word").join(vocabulary.select("word", "c"), "word").select(
-        F.shiftright("place", 24).alias("block"), F.col("place").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("idx"), "c")
+        F.shiftright("place", PLACE_BITS).alias("block"), F.col("place").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int").alias("idx"), "c")
     sequences = blocks.select("block", "doc_ids", "train", "at", "low", "high", "names")
     coded = C.written(sequences.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_coded(total, distinct, ranks, sizes), _CODED_TYPE), "coded")
     model = first_guess(counts)

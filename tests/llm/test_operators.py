@@ -383,6 +383,29 @@ def test_forward_recursion_and_counts_by_enumeration():
     assert np.allclose(out[0], start, atol=1e-4) and np.allclose(out[1] * model.move, move, atol=1e-4) and math.isclose(out[2].sum(), 4, rel_tol=1e-4)
 
 
+def test_hidden_markov_counts_of_long_texts_are_the_uncut_ones(monkeypatch):
+    rng = np.random.default_rng(8)
+    k = hidden_markov.STATES
+    model = hidden_markov.first_guess(rng.random(hidden_markov.CLASSES))
+    seq = rng.integers(0, hidden_markov.CLASSES, 6400).astype(np.uint16)
+    at, train = np.array([0, 5, 2900, 2901, 3901, 6400]), np.array([1, 1, 1, 0, 1])
+
+    def counts():
+        out = [np.zeros(k), np.zeros((k, k)), np.zeros((k, hidden_markov.CLASSES))]
+        starts, lengths, lead, own = hidden_markov._pieces(at, train)
+        hidden_markov.expected(model, seq, starts, lengths, out, lead, own)
+        return out
+
+    monkeypatch.setattr(hidden_markov, "PIECE", 10_000)
+    whole = counts()
+    monkeypatch.setattr(hidden_markov, "PIECE", 200)
+    cut = counts()
+    assert np.isclose(cut[0].sum(), 4, atol=1e-4)  # a start a training text, not a piece
+    assert np.isclose(cut[2].sum(), 5 + 2895 + 1 + 2499, rtol=1e-5) and np.isclose((cut[1] * model.move).sum(), cut[2].sum() - 4, rtol=1e-4)
+    for a, b in zip(whole, cut):
+        assert np.abs(a - b).max() <= 1e-4 * np.abs(a).max()
+
+
 def test_hidden_markov_passes_see_every_block(spark, monkeypatch):
     seen, plain = [], hidden_markov.baum_welch
 
