@@ -7,9 +7,10 @@ cells would only be more copies); a vector's home
 is its nearest pivot of its label. By the triangle inequality a vector within e of x whose home
 is h has d(x, h) <= d(x, home of x) + 2e, and d(x, h) <= r(h) + e where r(h) is the farthest
 home distance of cell h: x is copied to the cells that satisfy both. All links of a home vector
-are then in its own cell, so cells join independently and nothing is found twice. A cell is
-compared in blocks of ``BLOCK`` home vectors by ``BLOCK`` vectors, so a crowded cell is many tasks, and a comparison
-returns one row a vector, never its pairs.
+are then in its own cell, so cells join independently and nothing is found twice. A cell is cut into rings of equal depth
+by the distance from its pivot (one for ``BLOCK`` vectors, ``RINGS`` at most); by the triangle inequality two rings more than e apart
+hold no link and are never brought together. A ring is compared in blocks of about ``BLOCK`` vectors, so a crowded cell or ring (of many
+vectors at one distance, say) is many tasks, and a comparison returns one row a vector, never its pairs.
 
 Equal vectors of one label are one point with a count, so copies never meet each other.
 
@@ -35,6 +36,7 @@ PIVOTS = 48
 ALL_PIVOTS = 4096
 CELL = 2048
 BLOCK = 1024
+RINGS = 64
 
 
 def _units(column: pa.Array) -> np.ndarray:
@@ -75,11 +77,12 @@ def _copies(pivots: dict[tuple[int, int], np.ndarray], radius: dict[tuple[int, i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             home, far = batch.column("home").to_numpy(), batch.column("far").to_numpy()
-            rows_out, cells_out = [], []
+            rows_out, cells_out, far_out = [], [], []
             for kind, rows in _by_kind(batch):
                 if kind not in pivots:
                     rows_out.append(rows)
                     cells_out.append(np.zeros(len(rows), dtype=np.int64))
+                    far_out.append(np.zeros(len(rows)))
                     continue
                 d = _distances(_units(batch.column("unit").take(pa.array(rows))), pivots[kind])
                 r = np.array([radius.get((*kind, p), -np.inf) for p in range(len(pivots[kind]))])
@@ -88,16 +91,18 @@ def _copies(pivots: dict[tuple[int, int], np.ndarray], radius: dict[tuple[int, i
                 row, cell = np.nonzero(to)
                 rows_out.append(rows[row])
                 cells_out.append(cell)
+                far_out.append(d[row, cell])
             if rows_out:
                 rows, cells = np.concatenate(rows_out), np.concatenate(cells_out)
                 out = batch.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("label", "dim", "point", "cnt", "unit")), pa.array(cells.astype(np.int32)), pa.array(home[rows] == cells)],
-                                                 names=["label", "dim", "point", "cnt", "unit", "cell", "own"])
+                yield pa.RecordBatch.from_arrays([*(out.column(c) for c in ("label", "dim", "point", "cnt", "unit")), pa.array(cells.astype(np.int32)), pa.array(home[rows] == cells), pa.array(np.concatenate(far_out))],
+                                                 names=["label", "dim", "point", "cnt", "unit", "cell", "own", "d"])
 
     return run
 
 
-KEYS = ["label", "dim", "cell", "i", "j"]
+CELL_KEYS = ["label", "dim", "cell"]
+KEYS = [*CELL_KEYS, "i", "j"]
 
 
 def _compare(cosine: float):
@@ -124,6 +129,28 @@ def _compare(cosine: float):
     return run
 
 
+def with_rings(cells: DataFrame) -> DataFrame:
+    """Adds ``ring``: runs of equal depth of the distance ``d``, as many as the cell has blocks, RINGS at most."""
+    size = cells.groupBy(*CELL_KEYS).agg(
+        F.percentile_approx("d", [k / RINGS for k in range(1, RINGS)], 10_000).alias("_bounds"), F.count("*").alias("_n"))
+    rings = F.least(F.ceil(F.col("_n") / BLOCK), F.lit(RINGS))
+    placed = C.with_small(cells, size.select(*CELL_KEYS, "_bounds", rings.alias("_rings")), CELL_KEYS, "inner", 8 * RINGS + 64)
+    rank = F.when(F.col("_rings") > 1, F.expr("size(filter(_bounds, b -> b < d))")).otherwise(0)
+    return placed.withColumn("ring", F.floor(rank * F.col("_rings") / RINGS).cast("long")).drop("_bounds", "_rings")
+
+
+def ring_pairs(cells: DataFrame, reach: float) -> DataFrame:
+    """(cell, i, j, homes, alls, i_blocks, j_blocks): the pairs of rings of a cell that may hold links, from i's home vectors to all of
+    j's; at most RINGS * RINGS a cell. ``cells`` has rings."""
+    own = F.when(F.col("own"), F.col("d"))
+    rings = C.written(cells.groupBy(*CELL_KEYS, "ring").agg(
+        F.count(own).alias("homes"), F.min(own).alias("low"), F.max(own).alias("high"),
+        F.count("*").alias("alls"), F.min("d").alias("all_low"), F.max("d").alias("all_high")), "rings")
+    left = rings.where("homes > 0").select(*CELL_KEYS, F.col("ring").alias("i"), "homes", "low", "high", F.ceil(F.col("homes") / BLOCK).alias("i_blocks"))
+    right = rings.select(*CELL_KEYS, F.col("ring").alias("j"), "alls", "all_low", "all_high", F.ceil(F.col("alls") / BLOCK).alias("j_blocks"))
+    return left.join(right, CELL_KEYS).where((F.col("all_low") - F.col("high") <= reach) & (F.col("low") - F.col("all_high") <= reach))
+
+
 def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE) -> DataFrame:
     """One row per vector: vec_id, n_links (other vectors of its label at the cosine or above),
     component_id (smallest vec_id reachable, itself included), kept (vec_id = component_id)."""
@@ -153,18 +180,23 @@ def embedding_links(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     with_pivots = spark.createDataFrame(list(chosen), "label long, dim int")
     radii = homes.join(F.broadcast(with_pivots), ["label", "dim"]).groupBy("label", "dim", "home").agg(F.max("far").alias("far"))
     radius = {(r.label, r.dim, r.home): r.far for r in radii.collect()}
-    cells = C.written(homes.mapInArrow(_copies(chosen, radius, reach), kind + ", cell int, own boolean"), "cells")
-    blocks = [F.ceil(F.count(x) / BLOCK).cast("int").alias(name) for x, name in ((F.when(F.col("own"), 1), "homes"), (F.lit(1), "alls"))]
-    placed = C.with_small(cells, cells.groupBy("label", "dim", "cell").agg(*blocks).where("homes > 0"), ["label", "dim", "cell"], "inner", 32)
+    cells = C.written(homes.mapInArrow(_copies(chosen, radius, reach), kind + ", cell int, own boolean, d double"), "cells")
+    cells = C.written(with_rings(cells), "rings-of-cells")
+    pairs = C.written(ring_pairs(cells, reach), "ring-pairs")
+
+    def block(ring, of):
+        return F.expr(f"shiftleft({ring}, 32) + pmod(xxhash64(point, 5), {of})")
 
-    def block(of):
-        return F.expr(f"cast(pmod(xxhash64(point, 5), {of}) as int)")
+    def every(ring, of):
+        return F.explode(F.expr(f"transform(sequence(0L, {of} - 1), k -> shiftleft({ring}, 32) + k)"))
 
-    def every(of):
-        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    def side(which, rows, own_ring, own_blocks, other_ring, other_blocks):
+        met = C.with_small(rows.withColumnRenamed("ring", own_ring), pairs.select(*CELL_KEYS, "i", "j", "i_blocks", "j_blocks"), [*CELL_KEYS, own_ring], "inner", 64)
+        return met.select(*CELL_KEYS, "point", "cnt", "unit", F.lit(which).alias("side"), block(own_ring, own_blocks).alias(f"_{own_ring}"),
+                          every(other_ring, other_blocks).alias(f"_{other_ring}")).withColumnsRenamed({"_i": "i", "_j": "j"})
 
-    left = placed.where("own").withColumn("side", F.lit(0)).withColumn("i", block("homes")).withColumn("j", every("alls"))
-    right = placed.withColumn("side", F.lit(1)).withColumn("j", block("alls")).withColumn("i", every("homes"))
+    left = side(0, cells.where("own").drop("own", "d"), "i", "i_blocks", "j", "j_blocks")
+    right = side(1, cells.drop("own", "d"), "j", "j_blocks", "i", "i_blocks")
     names = [*KEYS, "side", "point", "cnt", "unit"]
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     found = C.written(left.select(names).unionByName(right.select(names)).repartition(tasks, *KEYS).sortWithinPartitions(*KEYS)

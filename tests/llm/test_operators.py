@@ -453,6 +453,34 @@ def test_embedding_join_keeps_radii_beside_many_small_labels(spark, monkeypatch)
     assert got == {**{i: int(n) for i, n in enumerate(near)}, **{1000 + i: 0 for i in range(3000)}}
 
 
+def test_embedding_join_leaves_far_rings_out(spark, monkeypatch):
+    monkeypatch.setattr(embedding_join, "CELL", 100)
+    monkeypatch.setattr(embedding_join, "BLOCK", 16)
+    rng = np.random.default_rng(15)
+    hot = rng.normal(size=(500, 3))
+    rows = [(i, x.tolist(), 5) for i, x in enumerate(hot)]
+    ring = [[math.cos(t), math.sin(t), 0.0] for t in np.linspace(0, 6, 60)]  # at one distance from the pole
+    rows += [(1000 + i, [*x[:2], 3.0], 6) for i, x in enumerate(ring)] + [(2000, [0.0, 0.0, 1.0], 6)]
+    seen, plain = [], embedding_join.ring_pairs
+
+    def counted(cells, reach):
+        out = plain(cells, reach)
+        every = plain(cells, 9.0)
+        seen.append(tuple(x.agg(F.sum(F.col("homes") * F.col("alls"))).first()[0] for x in (out, every)))
+        assert all(r.i_blocks == 1 for r in out.collect() if r.homes <= 16)
+        return out
+
+    monkeypatch.setattr(embedding_join, "ring_pairs", counted)
+    got = {r.vec_id: r.n_links for r in embedding_join.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), cosine=0.99).collect()}
+    want = {}
+    for label in (5, 6):
+        x = np.array([v for _, v, lab in rows if lab == label])
+        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+        want.update(zip([i for i, _, lab in rows if lab == label], ((x @ x.T >= 0.99).sum(axis=1) - 1).tolist()))
+    assert got == want
+    assert seen[0][0] < 0.8 * seen[0][1]
+
+
 def test_language_id_accuracy_and_rejection(spark, docs, nothing):
     rng = np.random.default_rng(9)
     sound = {"aa": "ka ta ra na ma".split(), "bb": "sch zug ber ung ein".split()}
