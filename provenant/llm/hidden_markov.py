@@ -41,7 +41,7 @@ SUFFIX_BYTES = 3
 CLASSES = TOP + SUFFIXES
 BLOCK_BYTES = 8 << 20
 PASSES = 10
-PIECE = 1024
+PIECE = 512
 MARGIN = 64
 ROWS = 512
 STICKY = 0.9
@@ -196,11 +196,12 @@ def expected(model: Hmm, classes: np.ndarray, starts: np.ndarray, lengths: np.nd
                 out[1] += alpha[t, :after].T @ (pull * counted[t + 1, :after, None] if margins else pull)
                 beta[:after] = pull @ move.T
             alpha[t, :k] *= beta[:k]
-        gamma = alpha / np.maximum(alpha.sum(axis=2, keepdims=True), 1e-30)
-        out[0] += gamma[0][before == 0].sum(axis=0)
-        flat, symbols = gamma[counted], symbols[counted]
+        first = alpha[0][before == 0]
+        out[0] += (first / np.maximum(first.sum(axis=1, keepdims=True), 1e-30)).sum(axis=0)
+        flat, symbols = alpha[counted], symbols[counted]
+        flat = np.ascontiguousarray((flat / np.maximum(flat.sum(axis=1, keepdims=True), 1e-30)).T)
         for k in range(STATES):
-            out[2][k] += np.bincount(symbols, flat[:, k], CLASSES)
+            out[2][k] += np.bincount(symbols, flat[k], CLASSES)
 
 
 def _gather(model: Hmm):
