@@ -2,12 +2,12 @@
 
 A text's lower-cased (A-Z) UTF-8 bytes give subwords: the byte n-grams of ``GRAMS`` inside words with
 one boundary byte each side, hashed into ``BUCKETS`` rows of an embedding table. A text is the mean of its
-subwords' embeddings; a linear softmax gives the language. Embeddings and softmax are
-trained by stochastic gradient descent in numpy on at most ``TRAIN_ROWS`` labelled texts (the bound is a
-parameter; they are the labelled rows of the smallest id hashes, whole texts). A sixth of them, by id hash, is held back to fit the
-temperature that calibrates the scores. The rejection threshold is the score below
-which ``REJECT`` of the rightly predicted texts fall among the held-back ones and about ``CALIBRATE_ROWS`` further labelled texts, those of
-the next id hashes, which Spark scores and whose quantile it takes.
+subwords' embeddings; a linear softmax gives the language. Every labelled text is learned from or held back: the texts are dealt by
+id hash over parts of about ``PART_ROWS``, sorted inside them, and each part's task trains embeddings and softmax by stochastic gradient
+descent in numpy, ``EPOCHS`` times over small tables and once over those of ``STEPS`` texts or more. The parts' models become bucket
+logits, which are linear, and Spark averages them, weighted by their texts. A sixth of the labelled texts, by id hash, is held back to fit
+the temperature that calibrates the scores. The rejection threshold is the score below which ``REJECT`` of all rightly predicted labelled
+texts fall; their logits are computed once and Spark takes the quantile.
 
 Because the softmax is linear, each bucket's logits are computed once; scoring sums them over the whole
 text in slabs, so neither a long text nor a large table needs more memory.
@@ -32,11 +32,16 @@ from provenant.llm import common as C
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 15
 WIDTH = 16
-TRAIN_ROWS = 2500
-CALIBRATE_ROWS = 40000
+PART_ROWS = 12500
 EPOCHS = 20
+STEPS = 50000
+# Subword counts that a task holds at most while it goes over them, and the buckets of a model's row.
+PENDING_BYTES = 64 << 20
+BLOCK = 1024
 RATE = 2.0
 REJECT = 0.0005
+HELD = 6
+TEMPERATURES = np.geomspace(1 / 64, 4, 65)
 UNKNOWN = "und"
 _DRAWS = 1 << 40
 _U = np.uint64
@@ -97,17 +102,90 @@ def _separated(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, new
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, draw, buckets, weights) of each training text: its distinct subwords and their shares."""
-    for whole in batches:
-        for batch in C.slabs(whole):
-            for row in range(batch.num_rows):
-                data, _ = _separated(batch.column(1).slice(row, 1))
-                buckets = np.concatenate([b for _, b in _grams(data)] or [np.zeros(0, dtype=np.int64)])
-                ids, n = np.unique(buckets, return_counts=True)
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(2).slice(row, 1), pa.array([ids.astype(np.uint16).tobytes()], pa.binary()), pa.array([(n / n.sum()).astype(np.float32).tobytes()], pa.binary())],
-                                                     names=["lang", "draw", "buckets", "weights"])
+def _counts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(label, buckets, shares) of each text: its distinct subwords and their shares."""
+    for row, label in enumerate(batch.column(0).to_pylist()):
+        data, _ = _separated(batch.column(1).slice(row, 1))
+        ids, n = np.unique(np.concatenate([b for _, b in _grams(data)] or [np.zeros(0, dtype=np.int64)]), return_counts=True)
+        if len(ids):
+            yield label, ids.astype(np.uint16), (n / n.sum()).astype(np.float32)
+
+
+def _fitted(languages: int, epochs: int, expected: float):
+    """Trains on a partition's (label, text) rows; gives the model's bucket logits and bias as blocks of rows, and its texts' number."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(7)
+        embed, soft, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)), rng.normal(0, 0.1, (WIDTH, languages)), np.zeros(languages)
+        steps, learned, pending, held = 0, 0, [], 0
+
+        def learn() -> None:
+            nonlocal steps, learned, bias, soft
+            for _ in range(epochs):
+                for i in rng.permutation(len(pending)):
+                    rate = RATE * max(1 - steps / max(expected * epochs, 1), 0.02)
+                    y, ids, share = pending[i]
+                    x = share @ embed[ids]
+                    p = _softmax((x @ soft + bias)[None])[0]
+                    p[y] -= 1
+                    step = soft @ p
+                    soft -= rate * np.outer(x, p)
+                    bias -= rate * 0.05 * p
+                    embed[ids] -= rate * 4 * share[:, None] * step
+                    steps += 1
+            learned += len(pending)
+
+        for whole in batches:
+            for batch in C.slabs(whole):
+                for one in _counts(batch):
+                    pending.append(one)
+                    held += 6 * len(one[1]) + 300
+                if held > PENDING_BYTES:
+                    learn()
+                    pending, held = [], 0
+        learn()
+        if learned:
+            rows = np.vstack([embed @ soft, bias[None]])
+            blocks = [rows[i:i + BLOCK].astype(np.float32).tobytes() for i in range(0, len(rows), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array(np.full(len(blocks), learned)), pa.array(blocks, pa.binary())],
+                                             names=["block", "n", "rows"])
+    return run
+
+
+def _mean(table: pa.Table) -> pa.Table:
+    """The mean of a block's rows over all parts' models, weighted by their texts; in an order of its own."""
+    parts = sorted(zip(table.column("n").to_pylist(), table.column("rows").to_pylist(), strict=True))
+    total = sum(n for n, _ in parts)
+    mean = sum(n / total * np.frombuffer(rows, dtype=np.float32).astype(np.float64) for n, rows in parts)
+    return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([total]), "rows": pa.array([mean.tobytes()], pa.binary())})
+
+
+def _logits(model: Model):
+    """(label, held, logits) of a partition's (label, text, held) rows; texts without subwords have the bias alone."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in C.slabs(whole):
+                sums, many = _sums(*_separated(batch.column(1)), model.logits)
+                raw = sums / np.maximum(many, 1)[:, None] + model.bias
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(raw), pa.list_(pa.float64()))], names=["y", "held", "raw"])
+    return run
+
+
+def _losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(option, loss): a batch's summed loss at each temperature."""
+    for batch in batches:
+        if batch.num_rows:
+            raw, y = np.array(batch.column(1).to_pylist()), np.asarray(batch.column(0))
+            loss = [-np.log(np.maximum(_softmax(raw / t)[np.arange(len(y)), y], 1e-12)).sum() for t in TEMPERATURES]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(loss), dtype=np.int32)), pa.array(loss)], names=["option", "loss"])
+
+
+def _right_scores(temperature: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                raw, y = np.array(batch.column(1).to_pylist()), np.asarray(batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(_softmax(raw / temperature).max(axis=1)[raw.argmax(axis=1) == y], pa.float64())], names=["score"])
+    return run
 
 
 class Model:
@@ -122,49 +200,35 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: DataFrame, key: str, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, calibrate: int = CALIBRATE_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled texts, those with the smallest hash of ``key``; calibrate on those held back and about ``calibrate`` more."""
-    draw = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(_DRAWS))
-    labelled = texts.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.col(text).alias("text"), draw.alias("draw"))
-    total = labelled.count()
-    # A cut on the hash keeps about the bound; the sorted limit makes it one.
-    share = labelled.where(F.col("draw") < int(min(1.0, 1.2 * rows / max(total, 1)) * _DRAWS)).orderBy("draw", "text").limit(rows)
-    got = C.written(share.mapInArrow(_counts, "lang string, draw long, buckets binary, weights binary"), "subwords").toArrow()
-    names = sorted(set(got.column("lang").to_pylist()))
+def train(texts: DataFrame, key: str, text: str = "text", label: str = "lang", rows: int = PART_ROWS) -> Model:
+    """Fit on all labelled texts, about ``rows`` of them to a part's model."""
+    known = texts.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    names = sorted(r[0] for r in known.select(F.col(label).cast("string")).distinct().collect())
     if not names:
         return Model([], np.zeros((BUCKETS, 1)), np.zeros(1), 1.0, 0.0)
-    labels, draws, content, shares = (got.column(c).to_pylist() for c in ("lang", "draw", "buckets", "weights"))
-    del got
-    order = sorted(range(len(content)), key=lambda i: (draws[i], content[i]))
-    y = np.array([names.index(labels[i]) for i in order])
-    ids = [np.frombuffer(content[i], dtype=np.uint16) for i in order]
-    share_ = [np.frombuffer(shares[i], dtype=np.float32) for i in order]
-    rng = np.random.default_rng(7)
-    embed, soft, bias = rng.normal(0, 0.1, (BUCKETS, WIDTH)), rng.normal(0, 0.1, (WIDTH, len(names))), np.zeros(len(names))
-    back = max(1, len(y) // 6) if len(y) >= 12 else 0
-    fit, held = np.arange(back, len(y)), np.arange(back)
-    for epoch in range(EPOCHS):
-        rate = RATE * (1 - epoch / EPOCHS)
-        for i in rng.permutation(fit):
-            x = share_[i] @ embed[ids[i]]
-            p = _softmax((x @ soft + bias)[None])[0]
-            p[y[i]] -= 1
-            step = soft @ p
-            soft -= rate * np.outer(x, p)
-            bias -= rate * 0.05 * p
-            embed[ids[i]] -= rate * 4 * share_[i][:, None] * step
-    logits = embed @ soft
-    if not back:
-        return Model(names, logits, bias, 1.0, 0.0)
-    raw = np.stack([share_[i] @ logits[ids[i]] for i in held]) + bias
-    options = np.geomspace(0.25, 4, 33)
-    loss = [-np.log(np.maximum(_softmax(raw / t)[np.arange(back), y[held]], 1e-12)).mean() for t in options]
-    temperature = float(options[int(np.argmin(loss))])
-    model = Model(names, logits, bias, temperature, 0.0)
-    last_held, last = draws[order[back - 1]], draws[order[-1]]
-    more = last + int(calibrate / max(total, 1) * _DRAWS) if total > rows else last
-    apart = labelled.where((F.col("draw") <= last_held) | ((F.col("draw") > last) & (F.col("draw") <= more)))
-    right = predict(apart, model, "draw", "text", ("lang",)).where("lang_pred = c0")
+    y = F.array_position(F.array(*map(F.lit, names)), F.col(label).cast("string")) - 1
+    draw = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(_DRAWS))
+    labelled = known.select(y.cast("int").alias("y"), F.col(text).alias("text"), draw.alias("draw"), (draw % HELD == 0).alias("held"))
+    total, back = labelled.agg(F.count(F.lit(1)), F.count(F.when(F.col("held"), 1))).first()
+    apart = total >= 2 * HELD and 0 < back < total
+    fit = labelled.where("not held") if apart else labelled
+    n = total - back if apart else total
+    parts = max(1, -(-n // rows))
+    epochs = max(1, min(EPOCHS, -(-STEPS // n)))
+    dealt = fit.repartition(parts, "draw", "text").sortWithinPartitions("draw", "text", "y").select("y", "text")
+    shape = "block int, n long, rows binary"
+    models = dealt.mapInArrow(_fitted(len(names), epochs, n / parts), shape).groupBy("block").applyInArrow(_mean, shape)
+    blocks = {r["block"]: r["rows"] for r in models.toLocalIterator()}
+    if not blocks:
+        return Model(names, np.zeros((BUCKETS, len(names))), np.zeros(len(names)), 1.0, 0.0)
+    table = np.frombuffer(b"".join(blocks[i] for i in range(len(blocks)))).reshape(BUCKETS + 1, len(names))
+    model = Model(names, table[:-1].copy(), table[-1].copy(), 1.0, 0.0)
+    if not apart:
+        return model
+    scored = C.written(labelled.select("y", "text", "held").mapInArrow(_logits(model), "y int, held boolean, raw array<double>"), "logits")
+    loss = {r["option"]: r["loss"] for r in scored.where("held").select("y", "raw").mapInArrow(_losses, "option int, loss double").groupBy("option").agg(F.sum("loss").alias("loss")).collect()}
+    model.temperature = float(TEMPERATURES[min(loss, key=lambda k: (loss[k], k))])
+    right = scored.select("y", "raw").mapInArrow(_right_scores(model.temperature), "score double")
     low = right.agg(F.percentile_approx("score", F.lit(REJECT), F.lit(100000))).first()[0]
     model.threshold = float(min(1.0 / len(names) if low is None else low, 0.5 if len(names) > 1 else 0.0))
     return model
