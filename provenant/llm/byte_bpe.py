@@ -1,16 +1,12 @@
-"""Byte-level BPE encoding and decoding by Spark higher-order functions.
+"""Byte-level BPE encoding and decoding.
 
-A text is cut into the matches of the vocabulary's pattern. A match (word) becomes an array of its bytes' ids,
-and a fold merges, until no pair has a rank, the leftmost pair of lowest rank; a merge asks for
-the ranks of the two new pairs only. Words of more than ``LONG_BYTES`` bytes are folded in rounds that merge all places of
-the lowest pair at once, which gives the same ids for ranks that were trained (a pair that a merge makes never
-ranks below it) and takes a round a distinct merge. The ranks are a literal: a table of pair keys
-in which every key stands at one of two places, so that a look-up costs two probes at most.
+Spark's regular expressions cut a text into the matches of the vocabulary's pattern (words). In Arrow batches the distinct words of
+a batch are merged, all words of one length together: a word is a row of ids, and until no pair of a row has a rank, a step merges each row's
+leftmost pair of lowest rank and asks for the ranks of the two new pairs only. Words of more than ``LONG_BYTES`` bytes are merged one by
+one over a heap of their pairs. The ranks are a table of pair keys in which every key stands at one of two places, so that a look-up costs two probes
+at most; it travels with the tasks. Nothing is shuffled or counted over the corpus, and a task holds ``SLAB_WORDS`` words or one text.
 
-Distinct words are counted over all documents. The most frequent (at most ``MEMO_WORDS``, chosen by
-their count alone, of at most ``MEMO_BYTES`` bytes each) are folded once, and their ids become a literal, too.
-All others are folded where they stand, so nothing but the counted words is shuffled, and the literal's size
-is bounded whatever the corpus holds.
+``folded`` is the same by Spark's higher-order functions over literal tables: about fifty times the work a word, so it only checks ``encode``.
 
 Decoding joins the ids' byte pieces. The rank file is a parameter, read once on the driver.
 
@@ -22,16 +18,25 @@ empty table gives an empty result; other columns, whatever their names, are not
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import math
 import zlib
+from collections.abc import Iterator
+from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from provenant.llm import common as C
 
 LONG_BYTES = 200
+# Words that a task takes at once (a longer text is taken whole), and rows of equal lengths that are merged at once.
+SLAB_WORDS = 1 << 20
+MERGED_ROWS = 1 << 14
 MEMO_WORDS = 1 << 17
 # The literals are megabytes: the plan's text, which Spark keeps for every execution, ends after so many characters.
 PLAN_TEXT = 1 << 20
@@ -222,8 +227,140 @@ def frequent_words(docs: DataFrame, pattern: str, text: str = "text", most: int
     return counts.where(F.lit(False) if least is None else F.col("step") >= least).select("word")
 
 
+class Merges:
+    """The merges of words in numpy: the tables of :class:`Ranks` as arrays."""
+
+    def __init__(self, own: Ranks):
+        self.first, self.second = own.pairs.first, own.pairs.second
+        self.keys, self.found = np.array(own.pairs.keys(), dtype=np.int64), np.array(own.pairs.values(0), dtype=np.int64)
+        self.none, self.rows = own.size, MERGED_ROWS
+        self.bytes = np.array([own.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.found.tolist(), strict=True))
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ranks of pairs; ``none`` without one."""
+        key = left * _SIDE + right
+        one, two = key % self.first, key % self.second
+        return np.where(self.keys[one] == key, self.found[one], np.where(self.keys[two] == key, self.found[two], self.none))
+
+    def equal(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, their ids) of words of equal lengths, as they come to have no pair left."""
+        rows = np.arange(len(ids))
+        ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+        while ids.shape[1] > 1:
+            at = ranks.argmin(axis=1)
+            low = ranks[np.arange(len(ranks)), at]
+            going = low < self.none
+            if not going.all():
+                yield rows[~going], ids[~going]
+                rows, ids, ranks, at, low = rows[going], ids[going], ranks[going], at[going], low[going]
+            if not len(rows):
+                return
+            every, width = np.arange(len(rows)), ids.shape[1] - 1
+            places = np.arange(width)
+            ids = np.take_along_axis(ids, places + (places > at[:, None]), axis=1)
+            ids[every, at] = low
+            ranks = np.take_along_axis(ranks, places[:-1] + (places[:-1] >= at[:, None]), axis=1)
+            some = np.flatnonzero(at > 0)
+            ranks[some, at[some] - 1] = self.ranks(ids[some, at[some] - 1], low[some])
+            some = np.flatnonzero(at < width - 1)
+            ranks[some, at[some]] = self.ranks(low[some], ids[some, at[some] + 1])
+        yield rows, ids
+
+    def long(self, ids: np.ndarray) -> np.ndarray:
+        """A long word's ids: its pairs in a heap, by rank and place."""
+        n = len(ids)
+        held, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, at, at + 1) for at, rank in enumerate(self.ranks(ids[:-1], ids[1:]).tolist()) if rank < self.none]
+        heapq.heapify(heap)
+        made = self.pairs
+        now = {(at, nxt): rank for rank, at, nxt in heap}
+
+        def offer(at, nxt):
+            rank = made.get(held[at] * _SIDE + held[nxt], self.none)
+            now[at, nxt] = rank
+            if rank < self.none:
+                heapq.heappush(heap, (rank, at, nxt))
+
+        while heap:
+            rank, at, nxt = heapq.heappop(heap)
+            if held[at] < 0 or nxt >= n or held[nxt] < 0 or after[at] != nxt or now[at, nxt] != rank:
+                continue
+            held[at], held[nxt] = rank, -1
+            after[at] = after[nxt]
+            if after[at] < n:
+                before[after[at]] = at
+                offer(at, after[at])
+            if before[at] >= 0:
+                offer(before[at], at)
+        return np.array([i for i in held if i >= 0], dtype=np.int64)
+
+    def merged(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and each word's start and number there."""
+        data, at = C.text_bytes(words)
+        sizes = np.diff(at)
+        starts, counts, parts, total = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64), [], 0
+
+        def put(rows, ids):
+            nonlocal total
+            starts[rows], counts[rows] = total + np.arange(len(rows)) * ids.shape[1], ids.shape[1]
+            parts.append(ids.astype(np.int32).ravel())
+            total += ids.size
+
+        order = np.argsort(sizes, kind="stable")
+        bounds = np.flatnonzero(np.diff(sizes[order], prepend=-1, append=-1))
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            size = int(sizes[order[low]])
+            for a in range(low, high if size else low, self.rows):
+                rows = order[a:min(a + self.rows, high)]
+                if size > LONG_BYTES:
+                    for row in rows:
+                        put(np.array([row]), self.long(self.bytes[data[at[row]:at[row + 1]]])[None])
+                    continue
+                for done, ids in self.equal(self.bytes[data[at[rows][:, None] + np.arange(size)]]):
+                    put(rows[done], ids)
+        return np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32), starts, counts
+
+    def ids(self, words: pa.Array) -> pa.Array:
+        """The ids of each list of words."""
+        cuts = words.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        flat, starts, counts = self.merged(coded.dictionary)
+        word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        many = counts[word]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        out = flat[np.arange(ends[-1]) + np.repeat(starts[word] - ends[:-1], many)]
+        return pa.ListArray.from_arrays(pa.array(ends[cuts - cuts[0]], pa.int32()), pa.array(out, pa.int32()))
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, ids): the ids of every whole text."""
+    C.ship_package(docs.sparkSession)
+    settings, name = docs.sparkSession.conf, "spark.sql.maxPlanStringLength"
+    longest = str(settings.get(name))
+    if longest.isdigit() and int(longest) > PLAN_TEXT:
+        settings.set(name, PLAN_TEXT)
+    merges, most = Merges(Ranks(ranks)), SLAB_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts, first = batch.column(1).offsets.to_numpy().astype(np.int64), 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(cuts, cuts[first] + most, side="right")) - 1)
+                rows = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([rows.column(0), merges.ids(rows.column(1))], names=["doc_id", "ids"])
+                first = last
+
+    cut = docs.select(F.col(doc_id).alias("doc_id"), _words(text, word_pattern(pattern)).alias("words"))
+    return cut.mapInArrow(run, StructType([StructField("doc_id", cut.schema["doc_id"].dataType), StructField("ids", ArrayType(IntegerType()))]))
+
+
+def folded(docs: DataFrame, ranks: dict[bytes, int], pattern: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same as ``encode`` by higher-order functions: the most frequent words (at most ``MEMO_WORDS``, chosen by their count) are folded once and a
+    literal, all others are folded where they stand."""
     pattern = word_pattern(pattern)
     own = Ranks(ranks)
     settings, name = docs.sparkSession.conf, "spark.sql.maxPlanStringLength"
