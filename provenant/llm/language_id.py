@@ -135,7 +135,7 @@ def _fitted(languages: int, epochs: int, expected: float):
             learned += len(pending)
 
         for whole in batches:
-            for batch in C.slabs(whole):
+            for batch in C.slabs(whole, most=C.WIDE_SLAB_BYTES):
                 for one in _counts(batch):
                     pending.append(one)
                     held += 6 * len(one[1]) + 300

@@ -106,7 +106,7 @@ def _counted(docs: DataFrame, words: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = max(len(words.hashes), 1)
         for whole in batches:
-            for batch in C.slabs(whole, "text"):
+            for batch in C.slabs(whole, "text", C.WIDE_SLAB_BYTES):
                 data, starts, ends, owner, hashes = _terms(batch.column(1))
                 n = np.bincount(owner, minlength=batch.num_rows)
                 ids = words.ids(data, starts, ends, hashes)

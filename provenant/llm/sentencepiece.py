@@ -283,7 +283,7 @@ def encode(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces(model)
         for whole in batches:
-            for batch in C.slabs(whole, "text"):
+            for batch in C.slabs(whole, "text", C.WIDE_SLAB_BYTES):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 ids, bounds = own.encode(texts)
                 back = own.decode(ids, bounds)

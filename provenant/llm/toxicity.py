@@ -191,7 +191,7 @@ def _context_rows():
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
         for whole in batches:
-            for batch in C.slabs(whole):
+            for batch in C.slabs(whole, most=C.WIDE_SLAB_BYTES):
                 many: dict[str, int] = {}
                 bits: dict[str, int] = {}
                 for text in batch.column(1).to_pylist():
@@ -215,7 +215,7 @@ def _features_of(terms: dict[str, float], keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon, tables = Lexicon(terms), machine()
         for whole in batches:
-            for batch in C.slabs(whole):
+            for batch in C.slabs(whole, most=C.WIDE_SLAB_BYTES):
                 rows = [features(t or "", lexicon, tables) for t in batch.column(1).to_pylist()]
                 x = np.array(rows, dtype=np.float64).reshape(len(rows), 3)
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)) for k in keep] + [pa.array(x[:, i]) for i in range(3)], names=[*keep, "total", "largest", "rate"])
