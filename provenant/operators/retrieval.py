@@ -20,6 +20,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -27,6 +29,7 @@ from pyspark.sql.types import ArrayType, FloatType
 from ..config import (ABSTAIN_MESSAGE, ANSWER_MESSAGE, HASH_EMBED_DIMENSIONS, MIN_RETRIEVAL_SCORE,
                       TOKEN_PATTERN)
 from ..functions import text as T
+from ..session import ship_package
 
 MAX_BROADCAST_QUERIES = 50_000
 
@@ -91,13 +94,134 @@ def semantic_search(corpus: DataFrame, query_vector: list[float], model: str | N
         .withColumn("retrieval_score", F.round("retrieval_score", 4))
 
 
-def _scored_batch(corpus: DataFrame, queries: DataFrame) -> DataFrame:
+# Vectors and queries of a block, and pairs that leave a block in one row.
+BLOCK_VECTORS = 4096
+BLOCK_QUERIES = 512
+PAIRS_A_ROW = 1024
+# By more than this no double product differs from the cosine that is compared; lengths of vectors that such a product can take.
+PRODUCT_ERROR = 1e-9
+PLAIN_LENGTHS = (1e-100, 1e100)
+
+
+def _blocks(df: DataFrame, name: str, rows: int, total: int, *keys: str) -> DataFrame:
+    """One row for at most ``rows`` of about ``total`` rows: column ``name`` holds them as structs. Dealt by a hash of ``keys``, and cut by
+    place where many rows share them; spread over the cores, as a small file would else be one task's."""
+    n = max(1, -(-6 * total // (5 * rows)))
+    place = Window.partitionBy("_b").orderBy("_b")
+    return (df.withColumn("_b", F.pmod(F.xxhash64(*keys), F.lit(n)))
+            .repartition(max(1, min(n, 4 * df.sparkSession.sparkContext.defaultParallelism)), "_b")
+            .withColumn("_c", F.floor((F.row_number().over(place) - 1) / rows))
+            .groupBy("_b", "_c").agg(F.collect_list(F.struct(*df.columns)).alias(name)).select(name))
+
+
+def _unit_rows(vectors, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(unit rows, which of them are plain): ``vectors`` is an Arrow list of vectors. Those that are null, hold a null or a non-finite value,
+    are of another width or of no length that a double can square are not plain, and zero here."""
+    out = np.zeros((len(vectors), width))
+    right = np.asarray(pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False), dtype=bool)
+    flat = vectors.filter(pa.array(right)).flatten()
+    out[right] = np.asarray(pc.fill_null(flat.cast(pa.float64()), float("nan"))).reshape(-1, width)
+    with np.errstate(over="ignore", invalid="ignore"):
+        length = np.sqrt((out * out).sum(axis=1))
+        plain = right & (length > PLAIN_LENGTHS[0]) & (length < PLAIN_LENGTHS[1])
+    out[~plain] = 0.0
+    return out / np.where(plain, length, 1.0)[:, None], plain
+
+
+def _over_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt over the cores by ``keys``. The work on pairs grows with the square, so a shuffle of the vectors is nothing to it; a file
+    of one row group is one task's whatever its splits."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def _differing(a, b) -> np.ndarray:
+    """Differing bits of every signature of ``b`` (rows) and of ``a`` (columns); pairs with a null signature differ in all."""
+    words = max([0, *pc.list_value_length(a).drop_null().to_pylist()[:1]])
+    out = np.full((len(b), len(a)), np.iinfo(np.int32).max, dtype=np.int32)
+    here, there = (np.asarray(x.is_valid()) for x in (a, b))
+    left, right = (np.asarray(x.drop_null().flatten()).astype(np.uint64).reshape(-1, max(words, 1)) for x in (a, b))
+    bits = np.zeros((len(right), len(left)), dtype=np.int32)
+    for w in range(words):
+        bits += np.bitwise_count(right[:, w, None] ^ left[None, :, w])
+    out[np.ix_(there, here)] = bits
+    return out
+
+
+def near_in_block(c: dict, q: dict, k: int, min_score: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(positions of vectors, positions of queries): the pairs of a block that may be among a query's best ``k`` of at least
+    ``min_score``. Only pairs that pass the query's filters count, and with ``most`` only those whose signatures differ in at most so many bits;
+    a pair with a vector that is not plain stays in."""
+    widths = pc.list_value_length(q["q_embedding"]).drop_null()
+    width = pc.mode(widths)[0]["mode"].as_py() if len(widths) else 0
+    (cu, c_plain), (qu, q_plain) = _unit_rows(c["embedding"], width), _unit_rows(q["q_embedding"], width)
+    fits = np.ones((len(qu), len(cu)), dtype=bool)
+    for value, wanted, optional in (("embedding_model", "q_model", False), ("country", "country_filter", True), ("project_id", "project_filter", True)):
+        values = np.array(c[value].to_pylist(), dtype=object)
+        wants = q[wanted].to_pylist()
+        same = {w: values == w for w in set(wants) if w is not None}
+        for j, w in enumerate(wants):
+            if w is not None:
+                fits[j] &= same[w]
+            elif not optional:
+                fits[j] = False
+    if most is not None:
+        fits &= _differing(c["signature"], q["q_signature"]) <= most
+    plain = q_plain[:, None] & c_plain[None, :]
+    score = np.where(fits & plain, qu @ cu.T, -np.inf)
+    least = np.full(len(qu), min_score)
+    if score.shape[1] > k:
+        least = np.maximum(least, np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k])
+    j, i = np.nonzero((fits & ~plain) | ((score >= least[:, None] - PRODUCT_ERROR) & fits))
+    return i, j
+
+
+def _near_pairs(k: int, min_score: float, most: int | None, c_fields: list[str], q_fields: list[str]):
+    """The pairs of :func:`near_in_block` of two blocks, as rows of at most ``PAIRS_A_ROW`` pairs of positions."""
+    pair = pa.struct([("i", pa.int32()), ("j", pa.int32())])
+
+    @F.arrow_udf("array<array<struct<i:int,j:int>>>")
+    def near(blocks: pa.Array) -> pa.Array:
+        out, columns = [], blocks.flatten()
+        for n in range(len(blocks)):
+            parts = [column[n].values for column in columns]
+            i, j = near_in_block(dict(zip(c_fields, parts)), dict(zip(q_fields, parts[len(c_fields):])), k, min_score, most)
+            pairs = pa.StructArray.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32())], fields=list(pair))
+            cuts = pa.array([*range(0, len(i), PAIRS_A_ROW), len(i)], pa.int32())
+            out.append(pa.ListArray.from_arrays(cuts, pairs))
+        ends = np.cumsum([0, *[len(rows) for rows in out]])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.concat_arrays(out))
+
+    return near
+
+
+def _scored_batch(corpus: DataFrame, queries: DataFrame, k: int, min_score: float, most: int | None = None) -> DataFrame:
+    """The pairs that pass their query's filters, with their cosine; of those that cannot be among a query's best ``k`` of at least
+    ``min_score`` most are left out: blocks of vectors meet blocks of queries, one matrix product each (Arrow). With ``most``, both have a
+    ``signature``, and only pairs that differ in at most so many bits are scored."""
+    ship_package(corpus.sparkSession)
     q = queries.select("query_id", F.col("embedding").alias("q_embedding"),
-                       F.col("country_filter"), F.col("project_filter"), F.col("embedding_model").alias("q_model"))
+                       F.col("country_filter"), F.col("project_filter"), F.col("embedding_model").alias("q_model"),
+                       *([] if most is None else [F.col("signature").alias("q_signature")]))
     cond = ((F.col("embedding_model") == F.col("q_model"))
             & (F.col("country_filter").isNull() | (F.lower("country") == F.lower("country_filter")))
             & (F.col("project_filter").isNull() | (F.col("project_id") == F.col("project_filter"))))
-    return corpus.join(F.broadcast(q), cond).withColumn("retrieval_score", cosine(F.col("embedding"), F.col("q_embedding")))
+    # of rows that every query scores alike, the first k are enough
+    alike = Window.partitionBy(F.xxhash64("embedding"), "embedding", "embedding_model", F.lower("country"), "project_id").orderBy("chunk_id")
+    some = _over_cores(corpus, "chunk_id").withColumn("_alike", F.row_number().over(alike)).filter(F.col("_alike") <= k).drop("_alike")
+    blocks = _blocks(some.withColumn("_country", F.lower("country")), "_vectors", BLOCK_VECTORS, corpus.count(), "chunk_id", "embedding") \
+        .crossJoin(F.broadcast(_blocks(q.withColumn("_country_filter", F.lower("country_filter")), "_queries", BLOCK_QUERIES,
+                                       queries.count(), "query_id", "q_embedding")))
+    signature = [] if most is None else ["signature"]
+    c_fields = ["embedding", "embedding_model", "country", "project_id", *signature]
+    q_fields = ["q_embedding", "q_model", "country_filter", "project_filter", *[f"q_{f}" for f in signature]]
+    lower = {"country": "_country", "country_filter": "_country_filter"}
+    near = _near_pairs(k, min_score, most, c_fields, q_fields)(F.struct(
+        *[F.col(f"_vectors.{lower.get(f, f)}").alias(f) for f in c_fields], *[F.col(f"_queries.{lower.get(f, f)}").alias(f) for f in q_fields]))
+    rows = blocks.select("_vectors", "_queries", F.explode(near).alias("_pairs"))
+    pairs = rows.select(F.explode(F.transform("_pairs", lambda p: F.struct(
+        F.get("_vectors", p["i"]).alias("c"), F.get("_queries", p["j"]).alias("q")))).alias("_pair"))
+    return pairs.select("_pair.c.*", "_pair.q.*").drop("_country", "_country_filter").filter(cond) \
+        .withColumn("retrieval_score", cosine(F.col("embedding"), F.col("q_embedding")))
 
 
 def semantic_search_batch(corpus: DataFrame, queries: DataFrame, k: int = 8,
@@ -113,7 +237,7 @@ def semantic_search_batch(corpus: DataFrame, queries: DataFrame, k: int = 8,
         passes = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i) for i in range(slices)]
     out = None
     for qpart in passes:
-        scored = _scored_batch(corpus, qpart)
+        scored = _scored_batch(corpus, qpart, k, min_score)
         w = Window.partitionBy("query_id").orderBy(F.col("retrieval_score").desc(), F.col("chunk_id"))
         top = scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
         res = top.filter(F.col("retrieval_score") >= min_score) \
@@ -277,7 +401,7 @@ def most_differing(min_score: float, bits: int = SIGNATURE_BITS, recall: float =
 def ann_index(corpus: DataFrame, path: str, dimensions: int, bits: int = SIGNATURE_BITS) -> DataFrame:
     """The written signature index: a row a vector, split by model."""
     cols = ["chunk_id", "embedding", "country", "project_id", "signature", "embedding_model"]
-    signed = with_signature(corpus, dimensions, bits).select(*cols)
+    signed = with_signature(_over_cores(corpus, "chunk_id"), dimensions, bits).select(*cols)
     signed.write.mode("errorifexists").partitionBy("embedding_model").parquet(path)
     return corpus.sparkSession.read.schema(signed.schema).parquet(path)
 
@@ -300,15 +424,22 @@ def ann_candidates(index: DataFrame, queries: DataFrame, dimensions: int, min_sc
     out = None
     for i in range(parts):
         some = q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        pairs = index.join(F.broadcast(some), near).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q_embedding")).alias("retrieval_score"))
+        pairs = _over_cores(index, "chunk_id").join(F.broadcast(some), near).select("query_id", "chunk_id", cosine(F.col("embedding"), F.col("q_embedding")).alias("retrieval_score"))
         out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
 def ann_search(index: DataFrame, queries: DataFrame, dimensions: int, k: int = 8, min_score: float = MIN_RETRIEVAL_SCORE,
                bits: int = SIGNATURE_BITS, recall: float = RECALL) -> DataFrame:
-    """(query_id, rank, chunk_id, retrieval_score): a query's best ``k`` candidates of at least ``min_score``."""
-    found = ann_candidates(index, queries, dimensions, min_score, bits, recall).filter(F.col("retrieval_score") >= min_score)
+    """(query_id, rank, chunk_id, retrieval_score): a query's best ``k`` candidates (see :func:`ann_candidates`) of at least ``min_score``.
+    Blocks of vectors meet blocks of queries; what cannot be among the best of its block is not scored again."""
+    q = with_signature(queries, dimensions, bits)
+    parts = max(1, -(-queries.count() * (dimensions * 8 + bits // 8 + 200) // BROADCAST_BYTES))
+    most, found = most_differing(min_score, bits, recall), None
+    for i in range(parts):
+        some = q if parts == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
+        pairs = _scored_batch(index, some, k, min_score, most).filter(F.col("retrieval_score") >= min_score)
+        found = pairs if found is None else found.unionByName(pairs)
     w = Window.partitionBy("query_id").orderBy(F.col("retrieval_score").desc(), F.col("chunk_id"))
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", "chunk_id", F.round("retrieval_score", 4).alias("retrieval_score"))
