@@ -64,7 +64,13 @@ class ChunkIndex:
         """Embed chunks and insert or replace them by ``chunk_id``."""
         if "metadata" not in chunks.columns:
             chunks = chunks.withColumn("metadata", F.to_json(F.struct("country")))
-        return self.index_vectors(embedded(chunks, self.embedder, self.dimensions), version)
+        def made(rows: DataFrame) -> DataFrame:
+            out = embedded(rows, self.embedder, self.dimensions)
+            return out.select(*INDEX_COLUMNS, *[c for c in out.columns if c not in INDEX_COLUMNS])
+
+        # one model: rows of one id that differ have the greatest text's, which alone is embedded
+        given = [c for c in INDEX_COLUMNS if c not in ("embedding_model", "embedding")]
+        return self.table.upsert(chunks.select(*given), ["text"], version, made=made)
 
     def index_vectors(self, documents: DataFrame, version: int) -> dict:
         """Insert or replace documents that have vectors already. Rows of one id that differ: the greatest text stays."""

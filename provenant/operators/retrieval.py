@@ -55,7 +55,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
+    some = F.array_remove(a, 0.0)  # zeros add nothing, and a lambda call costs more than leaving one out
+    return F.sqrt(dot(some, some))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -65,6 +66,25 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) != F.size(b), wrong).otherwise(F.try_divide(dot(a, b), norm(a) * norm(b)))
 
 
+# Values of a query that are written out as one sum.
+SUMMED_VALUES = 64
+
+
+def query_cosine(a: Column, own: Column, query: list[float]) -> Column:
+    """:func:`cosine` of a vector, whose length is ``own``, and the driver's query. The query's length is a constant; of a query with few
+    values the products with its zeros are not made. A zero times an infinite value is NaN, as is such a vector's length times zero."""
+    length = math.sqrt(sum(x * x for x in query))
+    some = [(i, x) for i, x in enumerate(query) if x != 0.0]
+    if len(some) > SUMMED_VALUES:
+        product = dot(a, F.array(*[F.lit(x) for x in query]))
+    else:
+        product = F.lit(0.0) + own * F.lit(0.0)
+        for i, x in some:
+            product = product + F.get(a, F.lit(i)).cast("double") * F.lit(x)
+    wrong = F.raise_error(F.lit(WRONG_DIMENSION)).cast("double")
+    return F.when(F.size(a) != len(query), wrong).otherwise(F.try_divide(product, own * F.lit(length)))
+
+
 def dimension_guard(vectors: DataFrame, col: str, dimensions: int) -> None:
     """Fail before any search when a vector has the wrong length."""
     bad = vectors.filter(F.size(col) != dimensions).limit(1).count()
@@ -87,8 +107,9 @@ def semantic_search(corpus: DataFrame, query_vector: list[float], model: str | N
                     country: str | None = None, project_id: str | None = None, limit: int = 8,
                     min_score: float = MIN_RETRIEVAL_SCORE) -> DataFrame:
     """Top ``limit`` chunks by cosine (equal to six digits: by id), then kept when score >= ``min_score``."""
-    qv = F.array(*[F.lit(float(x)) for x in query_vector])
-    scored = _filtered(corpus, model, country, project_id).withColumn("retrieval_score", cosine(F.col("embedding"), qv))
+    measured = _filtered(corpus, model, country, project_id).withColumn("_length", norm(F.col("embedding")))
+    score = query_cosine(F.col("embedding"), F.col("_length"), [float(x) for x in query_vector])
+    scored = measured.withColumn("retrieval_score", score).drop("_length")
     top = scored.orderBy(F.round("retrieval_score", 6).desc_nulls_last(), F.col("chunk_id")).limit(limit)
     return top.filter(F.col("retrieval_score") >= min_score) \
         .withColumn("retrieval_score", F.round("retrieval_score", 4))

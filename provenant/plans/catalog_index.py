@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evidence, retrieval
 from ..operators.index import ChunkIndex
+from ..operators.tables import scratch_table
 from ..session import scratch_path
 from .catalog import ing, register
 from .catalog_more import _KEYS_SQL, _evidence_parts, corpus
@@ -41,7 +42,7 @@ def chunk_index(spark, sf) -> ChunkIndex:
     key = (spark.sparkContext.applicationId, sf.rstrip("/"))
     if key not in _INDEXES:
         index = ChunkIndex(spark, scratch_path(spark, "chunk-index"), retrieval.HashEmbedder())
-        chunks = ing(spark, sf).chunks()
+        chunks = scratch_table(ing(spark, sf).chunks(), "index-chunks")  # read by both versions
         draft = F.col("record_type") != "award"
         index.index_documents(chunks.withColumn("text", F.when(draft, F.concat(F.lit("draft "), "record_id")).otherwise(F.col("text")))
                               .withColumn("country", F.when(~draft, F.col("country"))), 1)
